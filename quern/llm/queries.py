@@ -40,6 +40,53 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op6_binary_records, op8_packing)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
 
-ORACLES: dict[str, str] = {}
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labelled = labels.where(~held_out).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
+    scored = score_toxicity(docs, train(labelled))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import changed_paragraphs, likeness, marks, merkle_tree, root, with_next
+
+    pairs = with_next(_documents(spark, sf_dir)).withColumn("n_chars", F.length("text").cast("long"))
+    cut = F.expr("cast(n_chars div 3 as int)")
+    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.substring("next_text", F.lit(1), cut))
+    trees = pairs.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(merkle_tree(F.col(c)).alias(t) for c, t in (("text", "_a"), ("edited", "_b"), ("next_text", "_c"))))
+    parts = trees.select("doc_id", "n_chars", "edited_sha256", root(F.col("_a")).alias("fingerprint"), root(F.col("_b")).alias("edited_fingerprint"), F.size(changed_paragraphs(F.col("_a"), F.col("_b"))).alias("n_changed_paragraphs"), *(marks(F.col(t)).alias(m) for t, m in (("_a", "_ma"), ("_b", "_mb"), ("_c", "_mc"))))
+    return parts.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("_ma"), F.col("_mb")).alias("near_edited"), likeness(F.col("_ma"), F.col("_mc")).alias("near_next"), "n_changed_paragraphs")
+
+
+#: Fixed values of the contract: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op8_packing)}
+
+ORACLES: dict[str, str] = {
+    # pages of these tables have no redirects or canonical links, so aliases decide nothing
+    "op5_url_filter": """
+WITH parts AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+places AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM places)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+""",
+}
