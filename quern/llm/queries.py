@@ -71,9 +71,29 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op8_packing)}
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build_index, search, valid_vectors
+
+    vectors = valid_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    index = build_index(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return search(index, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), k=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing)}
 
 ORACLES: dict[str, str] = {
+    # exact search: the index finds all of it on tables of this size
+    "op7_nearest": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.e, v.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e))) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5
+""",
     # pages of these tables have no redirects or canonical links, so aliases decide nothing
     "op5_url_filter": """
 WITH parts AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
