@@ -87,7 +87,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), Settings(words=3, percent=85))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op10_near_duplicates)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import Settings, remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir), Settings(length=50))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {
     "op10_near_duplicates": r"""
