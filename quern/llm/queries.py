@@ -19,6 +19,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_tokens, n_chunks, ids_sum (sum of ids by place in their chunk, from 1) and round_trip (decoded ids equal the text)."""
+    from .sentencepiece_scan import decode, encode
+
+    model = vocabulary("piece_bpe_32k.model")
+    read = decode(encode(_documents(spark, sf_dir), model), model)
+    weighted = F.expr("aggregate(transform(ids, (x, i) -> cast(x as bigint) * (i + 1)), 0L, (a, x) -> a + x)")
+    rows = read.select("doc_id", F.size("ids").cast("long").alias("n"), weighted.alias("w"), (F.col("text") == F.col("decoded")).alias("same"))
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_chunks"), F.sum("w").alias("ids_sum"), F.bool_and("same").alias("round_trip"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -45,8 +56,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    labelled = labels.where(~held_out).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
-    scored = score_toxicity(docs, train(labelled))
+    scored = score_toxicity(docs, train(docs, labels.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -93,7 +103,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), Settings(length=50))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {
     "op10_near_duplicates": r"""

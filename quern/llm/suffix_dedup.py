@@ -251,20 +251,21 @@ def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np
     return order, met.astype(np.int64), np.append(begin, len(order))
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (lower-case hex of the
-    remaining bytes), with keep_bytes also kept (binary).
+    remaining bytes), with keep_bytes also kept (binary), and the `carry` columns.
 
     Null text is empty; a text shorter than `length` bytes loses nothing. Rows with one id do not rob each other. A row without id has
     no place in the order: it loses nothing and robs none. Every row stays; other columns are dropped.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
+    extra = F.struct(*carry).alias("extra") if carry else F.lit(None).cast("struct<x:int>").alias("extra")
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"), extra)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-size // s.bucket_bytes))
     bucket = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(parts)).cast("int")
 
     def dealt() -> DataFrame:  # the same plan each time, so Spark shuffles the texts once
-        return rows.select("doc_id", "text", bucket.alias("bucket"))
+        return rows.select("doc_id", "text", "extra", bucket.alias("bucket"))
 
     def load(table: pa.Table) -> tuple[Bucket, pa.Table]:
         known = table.filter(table["doc_id"].is_valid())
@@ -388,11 +389,15 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         columns = zip(*out, strict=True) if out else [[]] * 6
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+        known_rows = table.filter(table["doc_id"].is_valid())["extra"].take(pa.array(known.order, pa.int64()))
+        extras = pa.chunked_array([*known_rows.chunks, *unordered["extra"].chunks], table["extra"].type)
+        return pa.table([*(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), extras], [*names, "extra"])
 
     sent = dealt().groupBy("bucket").applyInArrow(anchors, "part int, bucket int, blob binary")
     told = sent.groupBy("part").applyInArrow(meet, "bucket int, part int, blob binary")
     around = dealt().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(contexts, "part int, bucket int, blob binary, bits binary")
     answered = around.groupBy("part").applyInArrow(owners, "bucket int, part int, blob binary, bits binary")
-    final = dealt().groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return final if keep_bytes else final.drop("kept")
+    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, extra {rows.schema['extra'].dataType.simpleString()}"
+    final = dealt().groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(remove, schema)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
+    return final.select(*columns, *(F.col(f"extra.`{c}`").alias(c) for c in carry))
