@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, whole_text
+from .common import by_bytes, materialize, whole_text
 
 NGRAMS = range(3, 7)
 #: ASCII letters and digits and bytes of other scripts make words; A-Z are lower-cased, the rest parts words.
@@ -29,11 +29,11 @@ _MAP[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the labelled sample that the classifier is fitted on: `documents` of each class at most for the vectors and as many
-    for the curve (those with the smallest hash of their text), and of each `distinct` words at most, spread evenly. All else covers
-    all rows."""
+    """Bounds of the labelled sample that the classifier is fitted on: `documents` of each class at most (those whose ids have the
+    smallest hash), two thirds for the vectors and the rest for the curve, and of each `distinct` words at most, spread evenly. All
+    else covers all rows."""
 
-    documents: int = 2500
+    documents: int = 4000
     distinct: int = 4000
     words: int = 1
     buckets: int = 1 << 18
@@ -106,15 +106,13 @@ def _windows(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarr
     return begin, end, text
 
 
-def _sample(labelled: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint samples (text, toxic), equal texts in the same: for the vectors and for the curve."""
-    keyed = labelled.select(whole_text().alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").withColumn("key", F.xxhash64("text"))
-
-    def part(k: int) -> DataFrame:
-        rows = keyed.where(F.pmod("key", F.lit(3)) >= 1 if k == 0 else F.pmod("key", F.lit(3)) == 0)
-        return rows.where("toxic = 0").orderBy("key").limit(settings.documents).unionByName(rows.where("toxic = 1").orderBy("key").limit(settings.documents)).drop("key")
-
-    return part(0), part(1)
+def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """text, toxic and curve (whether it is for the curve; equal texts agree) of the sampled rows, written once. The ids, at most two
+    classes of settings.documents, are broadcast, so texts are not shuffled."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.documents) for c in (0, 1)]
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    return materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("curve")), "labelled")
 
 
 def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
@@ -133,7 +131,7 @@ def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
                     zero = pa.array(np.zeros(len(n), np.int64))
                     yield pa.RecordBatch.from_arrays([counted.field("values"), n if toxic else zero, zero if toxic else n], ["word", "toxic", "clean"])
 
-    counts = sample.mapInArrow(count, "word binary, toxic bigint, clean bigint")
+    counts = sample.select("text", "toxic").mapInArrow(count, "word binary, toxic bigint, clean bigint")
     return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= settings.least)
 
 
@@ -198,18 +196,19 @@ def fit_vectors(counts: pa.Table, settings: Settings) -> Model:
     return Model(table, bias, 1.0, 0.0, settings.words)
 
 
-def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fits a model on labelled (text, toxic); rows whose label is null or neither 0 nor 1 are left out. Where a class is missing, all
-    texts score alike."""
-    of_vectors, of_curve = _sample(labelled, settings)
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Fits a model on docs (doc_id, text) that labels (doc_id, toxic) mark; rows whose label is null or neither 0 nor 1 are left out,
+    and a document with both labels is toxic. Where a class is missing, all texts score alike."""
+    sample = _sample(docs, labels, settings)
+    of_vectors, of_curve = sample.where("not curve"), sample.where("curve")
     model = fit_vectors(_word_counts(of_vectors, settings).toArrow(), settings)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(batch.column("text").to_pylist()), pa.float64()), batch.column("toxic")], ["raw", "toxic"])
 
-    scored = of_curve.mapInArrow(score, "raw double, toxic int").toArrow()  # bounded by settings.documents
-    share = {r["toxic"]: r["n"] for r in labelled.where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    scored = of_curve.select("text", "toxic").mapInArrow(score, "raw double, toxic int").toArrow()  # bounded by settings.documents
+    share = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     slope, shift = _logistic(scored["raw"].to_numpy(), scored["toxic"].to_numpy(), share.get(1, 0) / max(1, sum(share.values())))
     return replace(model, slope=slope, shift=shift)
 
