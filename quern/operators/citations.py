@@ -19,7 +19,7 @@ def extract_citations(messages: DataFrame, documents: DataFrame, chunks: DataFra
     """
     brackets = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), "workspace_id", F.posexplode(F.regexp_extract_all("content", F.lit(_BRACKET), F.lit(0))).alias("b", "raw"))
     inner = F.trim(F.expr("substring(raw, 2, length(raw) - 2)"))
-    parts = F.filter(F.transform(F.split(inner, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(inner, ";"), lambda p: F.trim(p)), lambda p: p != "")
     images = F.filter(parts, lambda p: p.rlike(_IMAGE))
     rest = F.array_join(F.filter(parts, lambda p: ~p.rlike(_IMAGE)), "; ")
     empty = F.lit(None).cast("string")

@@ -147,3 +147,94 @@ parts AS (
 conf AS (
   SELECT q_id, round_even(round(least(100, greatest(92 * d + 8 * c, 64 * b + 28 * c + 8 * d, CASE WHEN d <= 0 AND b >= 0.5 THEN 74 ELSE 0 END, 55)), 9), 0)::DOUBLE AS confidence FROM parts),
 levels AS (SELECT q_id, confidence, CASE WHEN confidence >= 85 THEN 'yüksek' WHEN confidence >= 65 THEN 'orta' WHEN confidence >= 45 THEN 'dolaylı' ELSE 'yetersiz' END AS level FROM conf)"""
+
+
+# page blocks: each line of a text is a block, forty to a page, under a header that every page has
+
+_PAGE_BLOCKS = "explode(concat(array(named_struct('no', 0, 'text', concat('Report ', source))), transform(lines, (x, i) -> named_struct('no', (page - 1) * 40 + i + 1, 'text', x)))) AS b"
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "source", "split(text, '\n') AS l").selectExpr("doc_id", "source", "l", "explode(sequence(1, cast(ceil(size(l) / 40.0) AS int))) AS page")
+    rows = rows.selectExpr("doc_id", "source", "page", "slice(l, (page - 1) * 40 + 1, 40) AS lines").selectExpr("doc_id", "page", _PAGE_BLOCKS)
+    rows = rows.selectExpr("doc_id", "page", "b.no AS block_no", "b.text AS text", "CASE WHEN b.no = 0 THEN 20.0D ELSE 100.0D + 14 * ((b.no - 1) % 40) END AS y0")
+    rows = rows.selectExpr("*", "named_struct('x0', 72.0D, 'y0', y0, 'x1', 540.0D, 'y1', y0 + 12) AS bbox", "CASE WHEN block_no % 40 = 1 THEN 16.0D ELSE 11.0D END AS size", "CASE WHEN (doc_id + block_no) % 9 = 0 THEN 'Courier' ELSE 'Helvetica' END AS font", "CASE WHEN block_no % 7 = 0 THEN 16 ELSE 0 END AS flags")
+    return rows.selectExpr("doc_id", "page", "block_no", "0 AS type", "bbox", "text", "size", "array(named_struct('spans', array(named_struct('text', left(text, 5), 'size', size, 'font', font, 'flags', flags), named_struct('text', substring(text, 6), 'size', 10.0D, 'font', font, 'flags', 0)))) AS lines")
+
+
+PAGE_BLOCKS = """plines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INT AS block_no FROM documents),
+blocks AS (SELECT *, CASE WHEN block_no = 0 THEN 20.0 ELSE 100.0 + 14 * ((block_no - 1) % 40) END::DOUBLE AS y0, CASE WHEN block_no % 40 = 1 THEN 16.0 ELSE 11.0 END::DOUBLE AS size,
+  CASE WHEN (doc_id + block_no) % 9 = 0 THEN 'Courier' ELSE 'Helvetica' END AS font, CASE WHEN block_no % 7 = 0 THEN 16 ELSE 0 END AS flags
+  FROM (SELECT doc_id, ((block_no - 1) // 40 + 1)::INT AS page, block_no, text FROM plines
+    UNION ALL SELECT DISTINCT doc_id, ((block_no - 1) // 40 + 1)::INT, 0, 'Report ' || source FROM plines))"""
+
+
+def pages_geom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(1, cast(ceil(size(split(text, '\n')) / 40.0) AS int))) AS page")
+    return rows.selectExpr("doc_id", "page", "612.0D AS width", "792.0D AS height")
+
+
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table over the lines from 142 to 170 of every page of every third document."""
+    cells = "array(array(cast(doc_id AS string), 'a|b'), array('x'), array('', ' '), array('line\nbreak', 'z', 'w'))"
+    return pages_geom(spark, sf_dir).where("doc_id % 3 = 0").selectExpr("doc_id", "page", "0 AS table_no", "named_struct('x0', 72.0D, 'y0', 142.0D, 'x1', 540.0D, 'y1', 170.0D) AS bbox", f"{cells} AS rows")
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages_geom(spark, sf_dir).where("doc_id % 4 > 0").selectExpr("doc_id", "page", "explode(sequence(0, cast(doc_id % 4 AS int))) AS image_no")
+    return rows.selectExpr("doc_id", "page", "image_no", "cast((doc_id + image_no) % 3 AS int) AS xref", "named_struct('x0', 0.0D, 'y0', 0.0D, 'x1', 50.0D * (1 + (doc_id + image_no) % 9), 'y1', 40.0D * (1 + doc_id % 7)) AS bbox")
+
+
+PAGE_IMAGES = """imgs AS (SELECT doc_id, page, image_no, (doc_id + image_no) % 3 AS xref, 50.0 * (1 + (doc_id + image_no) % 9) AS w, 40.0 * (1 + doc_id % 7) AS h
+  FROM (SELECT DISTINCT doc_id, page, unnest(range(0, doc_id % 4 + 1)) AS image_no FROM (SELECT DISTINCT doc_id, page FROM blocks) WHERE doc_id % 4 > 0))"""
+
+
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, ' ')) AS (word_no, text)")
+    return rows.selectExpr("cast(doc_id AS string) AS image_id", "word_no", "text", "CASE WHEN word_no % 10 = 0 THEN -1.0D ELSE cast(60 + doc_id % 40 AS double) END AS conf", "0 AS left", "0 AS top", "cast(5 * length(text) AS int) AS width", "10 AS height", "cast(500 + doc_id AS int) AS img_w", "1000 AS img_h")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line a segment; every fourth a table, every third of the rest an equation."""
+    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "source", "posexplode(split(text, '\n')) AS (order, text)")
+    return rows.selectExpr("doc_id", "cast(order div 40 AS int) + 1 AS page_number", "order", "CASE WHEN order % 4 = 3 THEN 'table' WHEN order % 4 = 2 THEN 'equation' ELSE 'text' END AS content_type", "text", "concat('ctx', order div 3) AS page_context", "array(source) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
+
+
+SEGMENTS = """segs AS (SELECT doc_id, o::INT AS o, (o // 40)::INT + 1 AS page_number, CASE WHEN o % 4 = 3 THEN 'table' WHEN o % 4 = 2 THEN 'equation' ELSE 'text' END AS kind, text, 'ctx' || (o // 3) AS ctx
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS o FROM documents))"""
+
+
+def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one segment."""
+    return _read(spark, sf_dir, "documents").selectExpr("doc_id", "1 AS page_number", "0 AS order", "'text' AS content_type", "text", "left(text, 200) AS page_context", "array(source) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
+
+
+#: White space, as RE2 writes it.
+SQL_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+
+
+def sql_collapse(x: str) -> str:
+    return sql_strip(f"regexp_replace({x}, '{SQL_SPACE}+', ' ', 'g')")
+
+
+NORMAL = f"""normal AS (SELECT doc_id, source, {sql_strip("list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), '([{L}])-' || '{S}*' || chr(10) || '{S}*([{L}])', '{BACK}', 'g'), '[➨➔→]', ' ', 'g'), chr(10)), lambda line: " + sql_collapse("line") + "), 'string_agg', chr(10))").replace("{L}", r"\p{L}\p{N}_").replace("{S}", SQL_SPACE).replace("{BACK}", r"\1\2")} AS t FROM documents)"""
+
+#: The cuts of each normalised text: start and end by code point, one row a window.
+CUTS = """cuts AS (
+  SELECT doc_id, 0 AS n, 0 AS start, 0 AS stop, false AS done, t FROM normal WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, n + 1, nstart, nstop, nstop >= length(t), t FROM (
+    SELECT *, CASE WHEN cut > nstart + 700 THEN cut ELSE e END AS nstop FROM (
+      SELECT *, CASE WHEN e >= length(t) THEN -1 WHEN nl > nstart + 700 THEN nl ELSE sp END AS cut FROM (
+        SELECT *, CASE WHEN strpos(reverse(w), chr(10)) = 0 THEN -1 ELSE e - strpos(reverse(w), chr(10)) END AS nl, CASE WHEN strpos(reverse(w), ' ') = 0 THEN -1 ELSE e - strpos(reverse(w), ' ') END AS sp FROM (
+          SELECT *, substring(t, nstart + 1, e - nstart) AS w FROM (
+            SELECT *, least(nstart + 1400, length(t)) AS e FROM (
+              SELECT doc_id, n, t, CASE WHEN n = 0 THEN 0 WHEN strpos(substring(t, s + 1, least(s + 210, length(t)) - s), ' ') > 0 THEN s + strpos(substring(t, s + 1, least(s + 210, length(t)) - s), ' ') ELSE s END AS nstart
+              FROM (SELECT *, greatest(stop - 210, start + 1) AS s FROM cuts WHERE NOT done)))))))),
+raw AS (SELECT doc_id, n, """ + sql_strip("substring(t, start + 1, stop - start)") + """ AS p FROM cuts WHERE n > 0),
+numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS c, lead(p) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM raw WHERE p <> ''),
+pieces AS (SELECT doc_id, i::INT AS i, CASE WHEN c > 1 AND i = c - 2 AND length(after) < 420 THEN p || chr(10) || chr(10) || after ELSE p END AS piece FROM numbered WHERE NOT (c > 1 AND i = c - 1 AND length(p) < 420))"""

@@ -258,3 +258,374 @@ def o83_rival_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.*, embedded + failed + cancelled AS done, embedded + failed + cancelled = total AS all_terminal, embedded + failed + cancelled = total AND (embedded = 0 OR summary IS NOT NULL) AS stop_waiting FROM p JOIN ws ON ws.id = workspace_id""")
 def o86_workspace_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.workspace_progress(fx.documents(spark, sf_dir), fx.workspaces(spark, sf_dir))
+
+
+# text and chunking
+
+
+@_query(f"SELECT doc_id, md5({fx.sql_collapse('lower(text)')}) AS norm FROM documents")
+def o16_norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.text import norm_text
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(norm_text(F.col("text"))).alias("norm"))
+
+
+@_query(_with(fx.NORMAL) + "SELECT doc_id, md5(t) AS norm FROM normal")
+def o41_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.text import normalize_text
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(normalize_text(F.col("text"))).alias("norm"))
+
+
+@_query(_with(fx.SEGMENTS) + """SELECT doc_id, o AS "order", sum(fresh) OVER (PARTITION BY doc_id ORDER BY page_number, o)::BIGINT AS grp FROM (
+SELECT *, CASE WHEN kind <> 'table' AND lag(kind) OVER w <> 'table' AND lag(page_number) OVER w = page_number AND lag(ctx) OVER w = ctx THEN 0 ELSE 1 END AS fresh
+FROM segs WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, o))""")
+def o42_group_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.group_segments(fx.segments(spark, sf_dir)).select("doc_id", "order", "grp")
+
+
+@_query(_with(fx.NORMAL, fx.CUTS, recursive=True) + "SELECT doc_id, i AS pos, md5(piece) AS piece FROM pieces")
+def o43_split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", chunking.split_text(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.posexplode("p").alias("pos", "piece")).withColumn("piece", F.md5("piece"))
+
+
+@_query()
+def o44_split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines as rows of a table under a caption."""
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("[Tablo: t]\n| a |\n| --- |\n"), body).alias("t"))
+    return rows.select("doc_id", F.posexplode(chunking.split_table(F.col("t"))).alias("pos", "piece")).withColumn("piece", F.md5("piece"))
+
+
+@_query(_with(fx.NORMAL, fx.CUTS, recursive=True) + "SELECT doc_id, i AS chunk_index, 'text' AS content_type, md5('[Bölüm: ' || source || ']' || chr(10) || piece) AS text, md5(piece) AS embed_text FROM pieces JOIN documents USING (doc_id)")
+def o45_chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_segments(fx.text_segments(spark, sf_dir)).select("doc_id", "chunk_index", "content_type", F.md5("text").alias("text"), F.md5("embed_text").alias("embed_text"))
+
+
+@_query(_with(fx.SEGMENTS) + "SELECT doc_id, count(DISTINCT page_number)::INT AS pages, count(*)::INT AS chunks, coalesce(count(*) FILTER (WHERE kind = 'table'), 0)::INT AS tables FROM segs GROUP BY doc_id")
+def o46_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.document_stats(fx.segments(spark, sf_dir)).select("doc_id", "stats.pages", "stats.chunks", F.coalesce(F.try_element_at("stats.types", F.lit("table")), F.lit(0)).alias("tables"))
+
+
+@_query("SELECT doc_id, 'no chunks' AS error FROM documents WHERE doc_id % 5 = 0")
+def o47_assert_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.assert_chunked(spark.read.parquet(f"{sf_dir}/documents.parquet"), fx.chunks(spark, sf_dir).where("doc_id % 5 <> 0"))
+
+
+# layout
+
+
+@_query(_with(fx.PAGE_BLOCKS) + """SELECT doc_id, norm FROM (SELECT doc_id, """ + fx.sql_collapse("lower(text)") + """ AS norm FROM blocks WHERE y0 + 12 <= 79.2 OR y0 >= 792 * 0.9) b
+WHERE length(norm) >= 2 AND regexp_matches(norm, '[\\p{L}\\p{N}]') GROUP BY doc_id, norm HAVING count(*) >= (SELECT greatest(2, ceil(count(DISTINCT page) * 0.6)) FROM blocks p WHERE p.doc_id = b.doc_id)""")
+def o17_detect_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.detect_repeats(fx.page_blocks(spark, sf_dir), fx.pages_geom(spark, sf_dir))
+
+
+@_query(_with(fx.PAGE_BLOCKS) + "SELECT doc_id, page, block_no FROM blocks WHERE NOT (block_no = 0 AND doc_id IN (SELECT doc_id FROM blocks GROUP BY doc_id HAVING count(DISTINCT page) > 1))")
+def o18_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, pages = fx.page_blocks(spark, sf_dir), fx.pages_geom(spark, sf_dir)
+    return layout.drop_repeats(blocks, layout.detect_repeats(blocks, pages), pages).select("doc_id", "page", "block_no")
+
+
+@_query(_with(fx.PAGE_BLOCKS) + "SELECT doc_id, page, block_no FROM blocks WHERE y0 + 12 >= 792 * 0.07 AND y0 <= 792 * 0.93")
+def o19_crop_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.crop_margins(fx.page_blocks(spark, sf_dir), fx.pages_geom(spark, sf_dir)).select("doc_id", "page", "block_no")
+
+
+@_query(_with(fx.PAGE_BLOCKS) + "SELECT doc_id, page, block_no FROM blocks WHERE NOT (doc_id % 3 = 0 AND greatest(least(y0 + 12, 170) - greatest(y0, 142), 0) / 12 > 0.5)")
+def o20_drop_table_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.drop_table_overlaps(fx.page_blocks(spark, sf_dir), fx.page_tables(spark, sf_dir)).select("doc_id", "page", "block_no")
+
+
+_INK = f"{fx.sql_strip('left(text, 5)')} <> ''"
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"""SELECT doc_id, page, block_no, {fx.sql_strip('text')} AS text, greatest(CASE WHEN {_INK} THEN size ELSE 0 END, CASE WHEN {fx.sql_strip('substring(text, 6)')} <> '' THEN 10.0 ELSE 0 END)::DOUBLE AS size, flags = 16 AND {_INK} AS bold
+FROM blocks WHERE {fx.sql_strip('text')} <> ''""")
+def o21_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.block_text(fx.page_blocks(spark, sf_dir).drop("text", "size")).select("doc_id", "page", "block_no", "text", "size", "bold")
+
+
+@_query(_with(fx.CHUNKS) + """SELECT doc_id, chunk_index, lang AS section_title, '["' || workspace_id || '","' || lang || '"]' AS breadcrumbs FROM chunks""")
+def o22_encode_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = fx.chunks(spark, sf_dir).withColumn("bbox", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    encoded = layout.encode_meta(chunks)
+    again = layout.decode_meta(encoded).select("doc_id", "chunk_index", F.to_json("breadcrumbs").alias("breadcrumbs"))
+    return encoded.select("doc_id", "chunk_index", "section_title").join(again, ["doc_id", "chunk_index"])
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"SELECT doc_id, page, block_no, font = 'Courier' AND {fx.sql_strip('text')} <> '' AS code FROM blocks")
+def o23_is_code_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_blocks(spark, sf_dir).select("doc_id", "page", "block_no", layout.is_code_block(F.col("lines")).alias("code"))
+
+
+_SYMBOLS = r"[^=+\-*/^_∑∫√αβγδθλε≤≥±≠≈∂∇π∞×⋅÷μφωηρ]"
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"SELECT doc_id, page, block_no, length(regexp_replace(text, '{fx.SQL_SPACE}', '', 'g'))::INT AS total, length(regexp_replace(text, '{_SYMBOLS}', '', 'g'))::INT AS symbols FROM blocks")
+def o24_equation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_blocks(spark, sf_dir).select("doc_id", "page", "block_no", layout.equation_stats(F.col("lines")).alias("s")).select("doc_id", "page", "block_no", "s.total", "s.symbols")
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"""SELECT doc_id, page, block_no, total > 0 AND ((symbols / total >= 0.25 AND total < 250) OR (total <= 12 AND symbols >= 1)) AND regexp_matches({fx.sql_strip('text')}, '\\(\\s*\\d+(?:\\.\\d+)?\\s*\\)\\s*$') AS equation
+FROM (SELECT *, length(regexp_replace(text, '{fx.SQL_SPACE}', '', 'g')) AS total, length(regexp_replace(text, '{_SYMBOLS}', '', 'g')) AS symbols FROM blocks)""")
+def o25_is_block_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_blocks(spark, sf_dir).select("doc_id", "page", "block_no", layout.is_block_equation(F.col("lines"), F.col("bbox"), F.lit(612.0)).alias("equation"))
+
+
+@_query()
+def o26_equation_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_blocks(spark, sf_dir).select("doc_id", "page", "block_no", layout.equation_route(F.col("lines")).alias("r")).select("doc_id", "page", "block_no", "r.body", "r.route")
+
+
+@_query("SELECT doc_id AS item_id, CASE doc_id % 4 WHEN 0 THEN '$$x^' || doc_id || '$$' WHEN 1 THEN '$$y$$' ELSE md5(text) END AS text FROM documents")
+def o27_apply_equation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("item_id"), F.md5("text").alias("text"))
+    latex = items.selectExpr("item_id", r"CASE item_id % 4 WHEN 0 THEN concat('$$ x^', item_id, ' $$') WHEN 1 THEN ' y' WHEN 2 THEN '\\text{okunamadı}' END AS latex")
+    return layout.apply_equation_results(items, latex)
+
+
+@_query(_with(fx.PAGE_BLOCKS) + r"SELECT DISTINCT doc_id, page, '| ' || doc_id || ' | a\|b |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| x |  |  |' || chr(10) || '| line break | z | w |' AS md FROM blocks WHERE doc_id % 3 = 0")
+def o28_table_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_tables(spark, sf_dir).select("doc_id", "page", layout.table_to_markdown(F.col("rows")).alias("md"))
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"""SELECT DISTINCT t.doc_id, t.page, caption FROM blocks t LEFT JOIN (
+SELECT doc_id, page, {fx.sql_strip('text')} AS caption FROM blocks WHERE y0 + 12 <= 142 AND y0 + 12 >= 82 AND {fx.sql_strip('text')} <> '' AND length({fx.sql_strip('text')}) <= 90
+QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY y0 DESC, block_no) = 1) c ON c.doc_id = t.doc_id AND c.page = t.page WHERE t.doc_id % 3 = 0""")
+def o29_table_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.table_caption(fx.page_blocks(spark, sf_dir), fx.page_tables(spark, sf_dir)).select("doc_id", "page", "caption")
+
+
+@_query(_with(fx.PAGE_BLOCKS) + "SELECT doc_id, page, first(size ORDER BY n DESC, size) AS body FROM (SELECT doc_id, page, size, count(*) AS n FROM blocks GROUP BY ALL) GROUP BY doc_id, page")
+def o30_body_font_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.body_font_size(fx.page_blocks(spark, sf_dir))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with text, and each page's table, as items of a page."""
+    text = layout.block_text(fx.page_blocks(spark, sf_dir).drop("text", "size")).select("doc_id", "page", F.col("block_no").alias("item_no"), F.lit("text").alias("kind"), F.lit("text").alias("content_type"), "text", "line_info", "size", "bbox")
+    tables = fx.page_tables(spark, sf_dir).select("doc_id", "page", F.lit(100_000_000).alias("item_no"), F.lit("table").alias("kind"), F.lit("table").alias("content_type"), layout.table_to_markdown(F.col("rows")).alias("text"), F.lit(None).cast("array<struct<text:string,size:double,bold:boolean>>").alias("line_info"), F.lit(None).cast("double").alias("size"), "bbox")
+    return text.unionByName(tables).withColumns({"caption": F.lit(None).cast("string"), "image_path": F.lit(""), "image_kind": F.lit("")})
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"""SELECT doc_id, page, item_no, (row_number() OVER (PARTITION BY doc_id, page ORDER BY mid, anchor DESC, item_no) - 1)::INT AS "order" FROM (
+SELECT doc_id, page, block_no AS item_no, y0 + 6 AS mid, false AS anchor FROM blocks WHERE {fx.sql_strip('text')} <> '' UNION ALL SELECT DISTINCT doc_id, page, 100000000, 156.0, true FROM blocks WHERE doc_id % 3 = 0)""")
+def o31_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With tables put in."""
+    return layout.order_blocks(_items(spark, sf_dir), fx.pages_geom(spark, sf_dir)).select("doc_id", "page", "item_no", "order")
+
+
+@_query()
+def o35_emit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    ordered = layout.order_blocks(items, fx.pages_geom(spark, sf_dir))
+    segments = layout.emit_segments(ordered, layout.body_font_size(items))
+    return segments.select("doc_id", "page_number", "order", "content_type", F.md5("text").alias("text"), "page_context", F.array_join("breadcrumbs", "|").alias("breadcrumbs"))
+
+
+@_query(_with(fx.PAGE_BLOCKS) + f"SELECT doc_id, page, block_no, {fx.sql_collapse('text')} AS heading, regexp_matches(text, '^{fx.SQL_SPACE}*(?:[➨➔→•·∙◦○●◉■▪‣➢]|[-–—]{fx.SQL_SPACE}|\\*{fx.SQL_SPACE}|\\+{fx.SQL_SPACE}|\\p{{Nd}}{{1,3}}[.)]{fx.SQL_SPACE}*|\\(\\p{{Nd}}{{1,3}}\\){fx.SQL_SPACE}*)') AS item FROM blocks")
+def o33_clean_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.text import clean_heading, is_list_item
+
+    return fx.page_blocks(spark, sf_dir).select("doc_id", "page", "block_no", clean_heading(F.col("text")).alias("heading"), is_list_item(F.col("text")).alias("item"))
+
+
+@_query()
+def o34_is_heading_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .config import DEFAULT
+    from .functions.text import heading_of
+
+    return fx.page_blocks(spark, sf_dir).select("doc_id", "page", "block_no", heading_of(F.col("text"), F.col("size"), F.col("block_no") % 7 == 0, F.lit(11.0), DEFAULT).alias("heading"))
+
+
+@_query(_with(fx.PAGE_BLOCKS, fx.PAGE_IMAGES) + "SELECT doc_id, page, image_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, xref ORDER BY image_no) AS n FROM imgs) WHERE n = 1 AND least(w, h) >= 100 AND (greatest(w, h) >= 300 OR w * h >= 0.15 * 612 * 792)")
+def o36_image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.image_candidates(fx.page_images(spark, sf_dir), fx.pages_geom(spark, sf_dir)).select("doc_id", "page", F.col("image_no").cast("long").alias("image_no"))
+
+
+_OCR = f"""w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM documents),
+ink AS (SELECT doc_id, n, {fx.sql_strip('raw')} AS t, length(raw) AS len FROM w),
+o AS (SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY n) FILTER (WHERE t <> ''), '') AS text, coalesce(avg(60 + doc_id % 40) FILTER (WHERE t <> '' AND n % 10 <> 0), 0)::DOUBLE AS mean_conf, count(*) FILTER (WHERE t <> '') AS word_count,
+  least(coalesce(sum(50 * len) FILTER (WHERE t <> ''), 0) / ((500 + any_value(doc_id)) * 1000.0), 1)::DOUBLE AS coverage FROM ink GROUP BY doc_id),
+stats AS (SELECT doc_id, text, mean_conf, word_count, coverage, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(text) ELSE 0 END AS alnum FROM o)"""
+
+
+@_query(_with(_OCR) + "SELECT doc_id::VARCHAR AS image_id, md5(text) AS text, mean_conf, word_count, round(coverage, 6) AS text_coverage, round(alnum, 6) AS alnum_ratio FROM stats")
+def o37_ocr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.ocr_stats(fx.ocr_words(spark, sf_dir)).select("image_id", F.md5("text").alias("text"), "mean_conf", "word_count", F.round("text_coverage", 6).alias("text_coverage"), F.round("alnum_ratio", 6).alias("alnum_ratio"))
+
+
+_IS_TEXT = "mean_conf >= 70 AND alnum >= 0.75 AND word_count >= 10 AND coverage >= 0.05"
+
+
+@_query(_with(_OCR) + f"SELECT doc_id::VARCHAR AS image_id, {_IS_TEXT} AS mostly_text, word_count < 25 AND coverage < 0.15 AS diagram_like FROM stats")
+def o38_is_mostly_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.ocr_stats(fx.ocr_words(spark, sf_dir)).select("image_id", layout.is_mostly_text().alias("mostly_text"), layout.is_diagram_like().alias("diagram_like"))
+
+
+@_query(_with(_OCR) + f"SELECT doc_id::VARCHAR AS image_id, CASE WHEN {_IS_TEXT} AND word_count < 25 AND coverage < 0.15 THEN 'image' WHEN {_IS_TEXT} THEN 'ocr_text' ELSE 'vision' END AS route FROM stats")
+def o39_route_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.route_image(layout.ocr_stats(fx.ocr_words(spark, sf_dir)), vision=True).select("image_id", "route")
+
+
+@_query(_with(fx.PAGE_BLOCKS, fx.PAGE_IMAGES) + "SELECT DISTINCT doc_id, page FROM imgs WHERE doc_id % 2 = 1")
+def o40_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.scan_pages(fx.pages_geom(spark, sf_dir), fx.page_blocks(spark, sf_dir).where("doc_id % 2 = 0"), fx.page_images(spark, sf_dir))
+
+
+# store
+
+_SUFFIX = "CASE doc_id % 4 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md' WHEN 2 THEN '.docx' ELSE '' END"
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"concat('f', doc_id, {_SUFFIX}) AS filename", "cast(octet_length(text) AS bigint) * 1000 AS size", "cast(octet_length(text) AS bigint) AS received", "CASE doc_id % 5 WHEN 0 THEN octet_length(text) + 1 WHEN 1 THEN octet_length(text) - 1 WHEN 2 THEN 0 ELSE octet_length(text) END AS expected", "cast(text AS binary) AS content")
+
+
+@_query()
+def o01_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.scan_files(spark, sf_dir, "*.parquet").select("filename", "length")
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN 415 WHEN strlen(text) * 1000 > 26214400 THEN 413 END AS reject_code, doc_id % 4 < 2 AND strlen(text) * 1000 <= 26214400 AS accepted FROM documents")
+def o02_admit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.admit_files(_uploads(spark, sf_dir)).select("doc_id", "reject_code", "accepted")
+
+
+@_query("""SELECT doc_id, CASE WHEN e > 0 AND strlen(text) > e THEN 'aborted' WHEN e > 0 AND strlen(text) < e THEN 'incomplete' ELSE 'complete' END AS outcome, CASE WHEN e > 0 AND strlen(text) <> e THEN 'cancelled' ELSE 'pending' END AS status
+FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN strlen(text) + 1 WHEN 1 THEN strlen(text) - 1 WHEN 2 THEN 0 ELSE strlen(text) END AS e FROM documents)""")
+def o03_verify_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.verify_upload(_uploads(spark, sf_dir)).select("doc_id", "outcome", "status")
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'text' END AS handler, doc_id % 4 >= 2 AS failed FROM documents")
+def o04_route_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.route_by_type(_uploads(spark, sf_dir)).select("doc_id", "handler", F.col("error").isNotNull().alias("failed"))
+
+
+@_query(f"SELECT doc_id, md5({fx.sql_strip('text')}) AS text, left({fx.sql_strip('text')}, 200) AS page_context, CASE WHEN {fx.sql_strip('text')} = '' THEN 'empty document' END AS error FROM documents")
+def o05_read_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_text_segments(_uploads(spark, sf_dir)).select("doc_id", F.md5("text").alias("text"), "page_context", "error")
+
+
+@_query("SELECT event_id, user_id, event_type FROM events")
+def o14_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_table(spark, f"{sf_dir}/events.parquet", "event_id bigint, user_id bigint, event_type string")
+
+
+@_query("SELECT doc_id, 0 AS chunk_index, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def o07_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = fx.chunks(spark, sf_dir)
+    target = base.where("doc_id % 2 = 0").select("doc_id", "chunk_index", F.lit("old").alias("text"), F.lit(1).alias("version"))
+    batch = base.where("doc_id % 3 = 0").select("doc_id", "chunk_index", F.explode(F.array(F.struct(F.lit("stale").alias("text"), F.lit(2).alias("version")), F.struct(F.lit("new").alias("text"), F.lit(3).alias("version")))).alias("x")).select("doc_id", "chunk_index", "x.text", "x.version")
+    return store.upsert_chunks(target, batch).drop("version")
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 3")
+def o08_delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = fx.chunks(spark, sf_dir)
+    return store.delete_document(chunks, chunks.where("doc_id % 10 = 3").select("doc_id")).select("doc_id")
+
+
+@_query(_with(fx.DOCUMENTS, fx.DOCUMENT_QUESTIONS, fx.MESSAGES) + "SELECT 'documents' AS kind, count(*) AS n FROM docs WHERE workspace_id <> 'src5' UNION ALL SELECT 'document_questions', count(*) FROM dq JOIN docs ON docs.id = document_id WHERE workspace_id <> 'src5' UNION ALL SELECT 'chat_messages', count(*) FROM msgs WHERE workspace_id <> 'src5'")
+def o09_delete_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"workspaces": fx.workspaces(spark, sf_dir), "documents": fx.documents(spark, sf_dir), "document_questions": fx.document_questions(spark, sf_dir), "chat_messages": fx.messages(spark, sf_dir)}
+    left = store.delete_workspace(tables, tables["workspaces"].where("id = 'src5'").select(F.col("id").alias("workspace_id")))
+    counts = [left[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("documents", "document_questions", "chat_messages")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@_query("SELECT doc_id, 0 AS chunk_index, md5(text) AS text FROM documents WHERE doc_id = 7")
+def o10_chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.chunks_of_document(fx.chunks(spark, sf_dir), 7).select("doc_id", "chunk_index", F.md5("text").alias("text"))
+
+
+@_query("SELECT id, n::INT AS n, doc_id, doc_id IS NOT NULL AS found FROM (VALUES (0, '3:0'), (1, '5:1'), (2, '8:0')) v(n, id) LEFT JOIN documents ON doc_id || ':0' = id")
+def o11_chunks_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.chunks_by_ids(fx.chunks(spark, sf_dir), [" 3:0", "5:1", "", "8:0 "]).select("id", "n", "doc_id", "found")
+
+
+@_query("SELECT doc_id, md5(text) AS text FROM documents WHERE source = 'src2'")
+def o12_chunks_of_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.chunks_of_workspace(fx.chunks(spark, sf_dir), "src2").select("doc_id", F.md5("text").alias("text"))
+
+
+@_query(_with(fx.DOCUMENTS, fx.MESSAGES) + """SELECT id AS q_id, unnest([0, 1, 2])::INT AS seq, unnest(['meta', 'delta', 'done']) AS event, unnest([workspace_id, md5(content), NULL]) AS data FROM msgs WHERE role = 'assistant'
+UNION ALL SELECT id, 0, 'error', 'busy' FROM msgs WHERE role = 'user'""")
+def o15_qa_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = fx.messages(spark, sf_dir).selectExpr("id AS q_id", "CASE WHEN role = 'assistant' THEN workspace_id END AS meta", "CASE WHEN role = 'assistant' THEN array(md5(content)) END AS deltas", "CASE WHEN role = 'user' THEN 'busy' END AS error").where("meta IS NOT NULL OR error IS NOT NULL")
+    return store.qa_events(results)
+
+
+# enrichment and answers
+
+
+@_query("""WITH s AS (SELECT doc_id, 'BAŞLIKLAR:' || chr(10) || '- ' || trim(left(text, 200), ' ') || chr(10) || chr(10) AS h, CASE WHEN length(text) > 700 THEN left(text, 700) || '…' ELSE text END AS body, trim(left(text, 200), ' ') AS c FROM documents)
+SELECT doc_id, left(CASE WHEN c <> '' THEN h ELSE '' END || 'BELGE BAŞI:' || chr(10) || body, 2500) AS sample FROM s""")
+def o69_build_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.build_sample(fx.chunks(spark, sf_dir))
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model in five states of repair."""
+    body = "to_json(named_struct('summary', concat('S', doc_id), 'questions', array(' q1 ', '', concat('q', doc_id))))"
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"""CASE doc_id % 5 WHEN 0 THEN {body} WHEN 1 THEN concat('```json\n', {body}, '\n```') WHEN 2 THEN concat('Here: ', {body}, ' done') WHEN 3 THEN concat("{{'summary': 'S", doc_id, "', 'questions': [' q1 ', '', 'q", doc_id, "']}}") ELSE 'nothing' END AS raw""")
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 'S' || doc_id END AS summary, CASE WHEN doc_id % 5 < 4 THEN ' q1 ||q' || doc_id END AS questions FROM documents")
+def o70_repair_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.repair_json(_outputs(spark, sf_dir)).select("doc_id", "parsed.summary", F.array_join("parsed.questions", "|").alias("questions"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 'S' || doc_id END AS summary, CASE WHEN doc_id % 5 < 4 THEN 'q1|q' || doc_id END AS questions, doc_id % 5 = 4 AS retry FROM documents")
+def o71_clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.clean_summary(enrich.repair_json(_outputs(spark, sf_dir))).withColumn("questions", F.array_join("questions", "|"))
+
+
+@_query(_with(fx.DOCUMENTS) + "SELECT workspace_id, string_agg(CASE WHEN summary IS NOT NULL THEN id END::VARCHAR, ',' ORDER BY id) AS signature FROM docs GROUP BY 1 HAVING count(*) FILTER (WHERE summary_status = 'pending') = 0 AND count(summary) > 0")
+def o72_workspace_summary_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.workspace_summary_due(fx.workspaces(spark, sf_dir), fx.documents(spark, sf_dir)).select("workspace_id", F.array_join("signature", ",").alias("signature"))
+
+
+@_query(_with(fx.DOCUMENTS) + "SELECT workspace_id, 'Workspace ' || workspace_id AS title, string_agg('- ' || filename || ': ' || summary, chr(10) ORDER BY id) AS digest FROM docs WHERE summary IS NOT NULL GROUP BY 1")
+def o73_workspace_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.workspace_digest(fx.workspaces(spark, sf_dir), fx.documents(spark, sf_dir))
+
+
+@_query(_with(fx.DOCUMENTS, fx.DOCUMENT_QUESTIONS) + """SELECT workspace_id, question, place::INT AS place FROM (SELECT workspace_id, question, row_number() OVER (PARTITION BY workspace_id ORDER BY md5(question || ':1'), question) AS place
+FROM dq JOIN docs ON docs.id = document_id WHERE status = 'embedded') WHERE place <= 4""")
+def o74_sample_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = fx.document_questions(spark, sf_dir).withColumn("id", F.col("question"))
+    return enrich.sample_questions(fx.documents(spark, sf_dir), questions)
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    return fx.messages(spark, sf_dir).withColumn("_d", F.length("content") % max(1, n)).withColumn("content", F.concat("content", F.lit(" [Belge: DOC_"), F.col("_d").cast("string"), F.lit(".txt, sayfa 2, parça 1, 4; Görsel: "), F.col("_d").cast("string"), F.lit("/a.png]"))).drop("_d")
+
+
+@_query(_with(fx.DOCUMENTS, fx.MESSAGES) + """, c AS (SELECT id AS message_id, workspace_id, length(content) % (SELECT count(*) FROM documents) AS d FROM msgs WHERE role = 'assistant')
+SELECT message_id, 0 AS n, 'citation' AS kind, 'DOC_' || d || '.txt' AS target, 2 AS page, 1 AS part, docs.id AS document_id, docs.id IS NOT NULL AS supported FROM c LEFT JOIN docs ON docs.id = d AND docs.workspace_id = c.workspace_id
+UNION ALL SELECT message_id, 1, 'image', d || '/a.png', NULL, NULL, NULL, false FROM c""")
+def o84_extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.extract_citations(_cited(spark, sf_dir), fx.documents(spark, sf_dir), fx.chunks(spark, sf_dir))
+
+
+@_query("SELECT doc_id, md5('[doc_' || doc_id || '.txt]') AS answer FROM documents")
+def o85_model_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.hooks import complete, first_block
+
+    prompts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("[doc_"), F.col("doc_id").cast("string"), F.lit(".txt]\n\n"), "text").alias("context"))
+    return complete(prompts, first_block).select("doc_id", F.md5("answer").alias("answer"))
+
+
+@_query(_with(fx.DOCUMENTS, fx.MESSAGES) + """, c AS (SELECT id AS message_id, length(content) % (2 * (SELECT count(*) FROM documents)) AS d FROM msgs WHERE role = 'assistant')
+SELECT message_id, 0 AS n, d || ':0' AS chunk_id, 0.5 AS dense, CAST(NULL AS DOUBLE) AS bm25, md5(text) AS text FROM c LEFT JOIN docs ON docs.id = d
+UNION ALL SELECT message_id, 1, d || ':9', CAST(NULL AS DOUBLE), 2.0, NULL FROM c""")
+def o87_inspect_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    rows = fx.messages(spark, sf_dir).where("role = 'assistant'").selectExpr("id", f"cast(length(content) % {2 * max(1, n)} AS string) AS d")
+    cited = rows.selectExpr("id", "named_struct('sources', cast(array() AS array<struct<label:string,meta:string>>), 'chunk_ids', array(concat(d, ':0'), concat(d, ':9')), 'chunk_scores', array(named_struct('id', concat(d, ':0'), 'dense', 0.5D, 'bm25', cast(NULL AS double)), named_struct('id', concat(d, ':9'), 'dense', cast(NULL AS double), 'bm25', 2.0D))) AS citations")
+    return citations.inspect_answer(cited, fx.chunks(spark, sf_dir)).withColumn("text", F.md5("text"))
