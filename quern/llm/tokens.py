@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Unicode White_Space, what \s means to the tokenizers library.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Units kept by a worker; beyond it the table starts afresh. It bounds memory and doesn't change ids.
-CACHED_UNITS = 1_000_000
+CACHED_UNITS = 250_000
 
 _STOPS = ".,"
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -38,12 +38,11 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         self.library, self.family = _load(path)
-        self.breaks = re.compile(f"(?!^\\n)[{WHITE}\x01]").search
+        self.breaks = re.compile(f"(?!^\\n)[{WHITE}]").search
         if self.family in ("byte", "word"):
-            mark = self.library.encode("\x01", add_special_tokens=False).ids
             vocabulary = self.library.get_vocab()
-            self.first = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.first[mark if self.family == "word" and len(mark) == 1 else [i for t, i in vocabulary.items() if t[0] in "ĠĊ" and self.family == "byte"]] = True
+            self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.edge[[i for t, i in vocabulary.items() if (t[0] in "ĠĊ" if self.family == "byte" else t.endswith("</w>"))]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -123,8 +122,9 @@ class UnitEncoder:
     def _lookup(self, units: list) -> np.ndarray:
         """The table entries of different units, which are words of a text or ("whole", text)."""
         found = list(map(self.entries.get, units))
-        missing = [u for u, at in zip(units, found, strict=True) if at is None]
-        if missing:
+        places = [i for i, at in enumerate(found) if at is None]
+        if places:
+            missing = new = [units[i] for i in places]
             pairs = []
             if self.family in ("byte", "word"):  # a letter and a last comma or full stop never share a token
                 pairs = [u for u in missing if len(u) > 2 and u[-1] in _STOPS and u[-2] <= "ÿ" and u[-2].isalpha()]
@@ -135,7 +135,8 @@ class UnitEncoder:
             if pairs:
                 ids, lengths = self._gather(np.array([at for u in pairs for at in (self.entries[u[:-1]], self.entries["whole", u[-1]])], np.int64))
                 self._append(pairs, ids, lengths.reshape(-1, 2).sum(1))
-            found = list(map(self.entries.__getitem__, units))
+            for i, u in zip(places, new, strict=True):
+                found[i] = self.entries[u]
         return np.array(found, np.int64)
 
     def _append(self, units: list, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -146,9 +147,11 @@ class UnitEncoder:
     def _encode_units(self, units: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each unit as they are within a text, and how many each has."""
         if self.family in ("byte", "word") and len(units) > 500:
-            plain = [isinstance(u, str) and (len(u) > 1 or u not in ("", "\n")) and not self.breaks(u) for u in units]
-            joined = [u for u, p in zip(units, plain, strict=True) if p]
-            if (together := self._encode_joined(joined)) is not None:
+            if self.family == "word":  # one word of letters has one token that ends a word
+                plain = [isinstance(u, str) and u.isalpha() and (u.isascii() or max(u) <= "ÿ") for u in units]
+            else:
+                plain = [isinstance(u, str) and (u.isalnum() or (len(u) > 1 or u not in ("", "\n")) and not self.breaks(u)) for u in units]
+            if (together := self._encode_joined([u for u, p in zip(units, plain, strict=True) if p])) is not None:
                 alone = self._encode_alone([u for u, p in zip(units, plain, strict=True) if not p])
                 lengths, plain = np.empty(len(units), np.int64), np.array(plain)
                 lengths[plain], lengths[~plain] = together[1], alone[1]
@@ -157,21 +160,18 @@ class UnitEncoder:
                 return ids, lengths
         return self._encode_alone(units)
 
-    def _encode_joined(self, units: list[str], each: int = 2000) -> tuple[np.ndarray, np.ndarray] | None:
-        """One call for many words. Byte level: a word begins with the only token that has its space or newline. White space
-        dropped: a control character that no word holds stands between words."""
+    def _encode_joined(self, units: list[str], each: int = 250) -> tuple[np.ndarray, np.ndarray] | None:
+        """One call for many words. Byte level: a word begins with the only token that has its space or newline."""
         texts = []
         for at in range(0, len(units), each):
             part = units[at : at + each]
-            texts.append("".join([u if u[0] == "\n" else " " + u for u in part]) if self.family == "byte" else " \x01 ".join(["", *part]))
+            texts.append("".join([u if u[0] == "\n" else " " + u for u in part]) if self.family == "byte" else " ".join(part))
         encoded = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(encoded), np.uint32, sum(map(len, encoded)))
-        first = self.first[ids]
-        begins = np.flatnonzero(first)
-        if len(begins) != len(units):
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(units):
             return None
-        lengths = np.diff(np.append(begins, len(ids)))
-        return (ids, lengths) if self.family == "byte" else (ids[~first], lengths - 1)
+        return ids, np.diff(np.append(edges, len(ids)) if self.family == "byte" else np.append(-1, edges))
 
     def _encode_alone(self, units: list) -> tuple[np.ndarray, np.ndarray]:
         whole = [isinstance(u, tuple) for u in units]
