@@ -22,9 +22,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """workspace_id, n_chunks, avgdl (1.0 where there are no chunks can't arise: such a workspace has no row)."""
-    return chunks.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size(tokenize(F.col("text")))).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """workspace_id, n_chunks, avgdl. Lengths are summed over the postings, so texts aren't tokenized again."""
+    counts = chunks.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    sizes = index.groupBy("workspace_id").agg(F.sum("tf").alias("_tokens"))
+    return counts.join(sizes, "workspace_id", "left").select("workspace_id", "n_chunks", (F.coalesce("_tokens", F.lit(0)) / F.col("n_chunks")).alias("avgdl"))
 
 
 def vocabulary(index: DataFrame, stats: DataFrame) -> DataFrame:
@@ -78,7 +80,8 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, scores: DataFrame, k: int
 
 def search(questions: DataFrame, chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """bm25_topk from the text."""
-    index, stats = postings(chunks), corpus_stats(chunks)
+    index = postings(chunks)
+    stats = corpus_stats(chunks, index)
     scores = bm25_scores(expand_terms(questions, vocabulary(index, stats), config), index, stats, config)
     return bm25_topk(questions, chunks, scores, config=config)
 

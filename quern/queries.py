@@ -52,21 +52,24 @@ def o54_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(fx.INDEX) + "SELECT workspace_id, term, df, round(idf, 9) AS idf, n_chunks, round(avgdl, 6) AS avgdl FROM idfs JOIN stats USING (workspace_id)")
 def o55_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = fx.chunks(spark, sf_dir)
-    stats = lexical.corpus_stats(chunks)
-    return lexical.vocabulary(lexical.postings(chunks), stats).join(stats, "workspace_id").select("workspace_id", "term", "df", F.round("idf", 9).alias("idf"), "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+    index = lexical.postings(chunks)
+    stats = lexical.corpus_stats(chunks, index)
+    return lexical.vocabulary(index, stats).join(stats, "workspace_id").select("workspace_id", "term", "df", F.round("idf", 9).alias("idf"), "n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
 @_query(_with(fx.INDEX) + "SELECT q_id, workspace_id, pos, token, term, round(idf, 9) AS idf FROM expanded")
 def o56_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = fx.chunks(spark, sf_dir)
-    vocab = lexical.vocabulary(lexical.postings(chunks), lexical.corpus_stats(chunks))
+    index = lexical.postings(chunks)
+    vocab = lexical.vocabulary(index, lexical.corpus_stats(chunks, index))
     return lexical.expand_terms(fx.questions(spark, sf_dir), vocab).select("q_id", "workspace_id", F.col("pos").cast("long").alias("pos"), "token", "term", F.round("idf", 9).alias("idf"))
 
 
 @_query(_with(fx.INDEX) + "SELECT q_id, workspace_id, doc_id, chunk_index, round(bm25, 6) AS bm25 FROM scores")
 def o57_bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = fx.chunks(spark, sf_dir)
-    index, stats = lexical.postings(chunks), lexical.corpus_stats(chunks)
+    index = lexical.postings(chunks)
+    stats = lexical.corpus_stats(chunks, index)
     expanded = lexical.expand_terms(fx.questions(spark, sf_dir), lexical.vocabulary(index, stats))
     return lexical.bm25_scores(expanded, index, stats).select("q_id", "workspace_id", "doc_id", "chunk_index", F.round("bm25", 6).alias("bm25"))
 

@@ -31,7 +31,8 @@ def test_expand_cap(spark, n, cap, token, want):
     from quern.config import DEFAULT
 
     c = chunks(spark, [f"kelime{i}" for i in range(n)])
-    vocab = lexical.vocabulary(lexical.postings(c), lexical.corpus_stats(c))
+    index = lexical.postings(c)
+    vocab = lexical.vocabulary(index, lexical.corpus_stats(c, index))
     q = spark.createDataFrame([(1, "w", token)], "q_id bigint, workspace_id string, question string")
     terms = [r.term for r in lexical.expand_terms(q, vocab, replace(DEFAULT, stem_cap=cap)).collect()]
     assert len(terms) == len(set(terms)) == want and (token == "kelime" or token in terms)
