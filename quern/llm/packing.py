@@ -114,16 +114,30 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ..
     return out
 
 
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """A bound from below (Martello and Toth's second): with lengths under each limit left out, those over half need a bin each, and
+    what the rest has beyond their waste needs more."""
+    n, ids = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * np.arange(len(counts)))])
+    half = capacity // 2
+    best = -(-int(ids[-1]) // capacity)
+    for limit in range(half + 1):
+        top = capacity - limit
+        wide, large = n[-1] - n[top + 1], n[top + 1] - n[half + 1]
+        spare = large * capacity - (ids[top + 1] - ids[half + 1])
+        best = max(best, int(wide + large + max(0, -(-(int(ids[half + 1] - ids[limit]) - int(spare)) // capacity))))
+    return best
+
+
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[tuple[int, tuple[int, ...]]]:
     """Fewest fillings of `capacity` found for counts[length]: (times, lengths), whose times add up to the number of sequences.
 
     Depth first: a node takes the largest length left and branches over its undominated completions, best fit first; a branch whose
     sequences so far and the bound ceil(ids left / capacity) reach the incumbent is pruned; the search ends when the incumbent
-    meets the bound of the whole, or after `nodes` nodes, which keeps the incumbent (never worse than best-fit decreasing).
+    meets least_bins of the whole, or after `nodes` nodes, which keeps the incumbent (never worse than best-fit decreasing).
     """
     incumbent = best_fit(counts, capacity)
     bins = sum(t for t, _ in incumbent)
-    bound = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    bound = least_bins(counts, capacity)
 
     def branch(left: np.ndarray):
         largest = int(np.flatnonzero(left)[-1])
