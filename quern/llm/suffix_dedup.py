@@ -333,17 +333,24 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         one = order[new]
-        text = _gather(data, starts[one], sizes[one])
-        window = window_owners(text, np.cumsum(sizes[one]) - sizes[one], sizes[one], least[one], s.length)
-        windows = sizes[one] - s.length + 1
+        # an anchor with one context: all its windows have that context's owner; only the others' windows need comparing
+        several = np.bincount(place[one], minlength=len(merged))[place[one]] > 1
+        some = one[several]
+        text = _gather(data, starts[some], sizes[some])
+        window = window_owners(text, np.cumsum(sizes[some]) - sizes[some], sizes[some], least[some], s.length) if len(some) else np.zeros(0, np.int64)
+        windows = sizes[some] - s.length + 1
         ends = np.cumsum(windows)
         change = np.ones(len(window), bool)
         change[1:] = window[1:] != window[:-1]
         change[(ends - windows)] = True
         at = np.flatnonzero(change)
-        run_owner, run_size = window[at], np.diff(np.append(at, len(window)))
-        first_run = np.searchsorted(at, ends - windows)
-        runs = np.diff(np.append(first_run, len(at)))
+        first = np.searchsorted(at, ends - windows)
+        runs = np.ones(len(one), np.int64)
+        runs[several] = np.diff(np.append(first, len(at)))
+        first_run = np.cumsum(runs) - runs
+        split = np.repeat(several, runs)
+        run_owner, run_size = np.repeat(least[one], runs), np.repeat(sizes[one] - s.length + 1, runs)
+        run_owner[split], run_size[split] = window[at], np.diff(np.append(at, len(window)))
         blobs, edge = [], 0
         for x in lists:
             mine = of[edge : edge + len(x[0])]
