@@ -3,7 +3,8 @@ hash. Bands of registers propose pairs, a collision-corrected Jaccard estimate s
 
 Documents with equal sets are one node from the start, so exact copies make no pairs. Round one compares the members of a band's
 group with its smallest only. What is then still in different components shares a group in round two: small groups by a join, large
-ones in blocks of members against the few that the first component lacks, so no group is ever in one task or paired up as rows.
+ones by clusters, in blocks of whole sets of all members against those that the first component lacks, so no group is ever in one
+task or paired up as rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ class Settings:
     words: int = 5
     percent: int = 80
     registers: int = 192
-    small_group: int = 24
-    block: int = 512
+    small_group: int = 10
+    block: int = 384
     sigmas: float = 5.0
 
     @property
@@ -162,29 +163,52 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint")
 
 
-def _in_blocks(members: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """members: key, node, component, other (not of the component of its group's smallest), n, n_other. Plausible pairs of others with
-    all members of another component, found in blocks of signatures; only those pairs become rows."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of incidence matrices, some thousand shingles at a time."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    of_x, of_y = np.repeat(np.arange(len(left)), [len(v) for v in left]), np.repeat(np.arange(len(right)), [len(v) for v in right])
+    common = np.intersect1d(x, y)
+    at_x, at_y = np.searchsorted(common, x), np.searchsorted(common, y)
+    in_x = (at_x < len(common)) & (common[np.minimum(at_x, len(common) - 1)] == x) if len(common) else np.zeros(len(x), bool)
+    in_y = (at_y < len(common)) & (common[np.minimum(at_y, len(common) - 1)] == y) if len(common) else np.zeros(len(y), bool)
+    of_x, at_x, of_y, at_y = of_x[in_x], at_x[in_x], of_y[in_y], at_y[in_y]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(common), columns):
+        a, b = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+        i, j = (at_x >= c) & (at_x < c + columns), (at_y >= c) & (at_y < c + columns)
+        a[of_x[i], at_x[i] - c] = 1
+        b[of_y[j], at_y[j] - c] = 1
+        out += a @ b.T
+    return out
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """members: cluster, node, component, other (not of the cluster's own component), n, n_other. Confirmed links of the others with
+    members of another component, one for each other and component, found in blocks of whole sets; only those become rows."""
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [])
         if left.num_rows and right.num_rows:
-            x, y = _registers_of(left["registers"], s.registers), _registers_of(right["registers"], s.registers)
+            x, y = ([np.frombuffer(v, np.uint64) for v in t["set"].to_pylist()] for t in (left, right))
+            both = _shared(x, y)
+            union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+            mate_of = right["component"].to_numpy()
+            linked = (100 * both >= s.percent * union) & (left["component"].to_numpy()[:, None] != mate_of[None, :])
             ids, mates = left["node"].to_numpy(), right["node"].to_numpy()
-            of, mate_of = left["component"].to_numpy(), right["component"].to_numpy()
-            for i in range(len(x)):
-                keep = (mate_of != of[i]) & plausible(np.broadcast_to(x[i], y.shape), y, s)
-                out[0].append(np.minimum(ids[i], mates[keep]))
-                out[1].append(np.maximum(ids[i], mates[keep]))
+            for i in np.flatnonzero(linked.any(1)):
+                places = np.flatnonzero(linked[i])
+                places = places[np.unique(mate_of[places], return_index=True)[1]]
+                out[0].append(np.minimum(ids[i], mates[places]))
+                out[1].append(np.maximum(ids[i], mates[places]))
         a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
         return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
-    full, again = (m.join(v.select("node", "registers"), "node") for m, v in ((members, nodes), (members.toDF(*members.columns), nodes.toDF(*nodes.columns))))
+    full, again = (m.join(v, "node") for m, v in ((members, sets), (members.toDF(*members.columns), sets.toDF(*sets.columns))))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / s.block).cast("int") - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / s.block)).cast("int")
-    others = full.where("other").select("key", own("n_other").alias("i"), spread("n").alias("j"), "node", "component", "registers")
-    everyone = again.select("key", spread("n_other").alias("i"), own("n").alias("j"), "node", "component", "registers")
-    return others.groupBy("key", "i", "j").cogroup(everyone.groupBy("key", "i", "j")).applyInArrow(check, "a bigint, b bigint")
+    others = full.where("other").select("cluster", own("n_other").alias("i"), spread("n").alias("j"), "node", "component", "set")
+    everyone = again.select("cluster", spread("n_other").alias("i"), own("n").alias("j"), "node", "component", "set")
+    return others.groupBy("cluster", "i", "j").cogroup(everyone.groupBy("cluster", "i", "j")).applyInArrow(check, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -213,13 +237,16 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     heads = placed.where("node = first").select("key", F.col("component").alias("_main"))
     placed = placed.join(heads, "key").withColumn("other", F.col("component") != F.col("_main"))
     mixed = placed.groupBy("key").agg(F.count_if("other").alias("n_other")).where("n_other > 0")
-    placed = materialize(placed.join(mixed, "key").select("key", "node", "component", "other", "n", "n_other"), "apart")
+    placed = materialize(placed.join(mixed, "key").select("key", "node", "component", F.col("_main").alias("cluster"), "other", "n"), "apart")
     small = placed.where(F.col("n") <= s.small_group)
     x = small.where("other").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
     y = small.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
     near = x.join(y, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _sift(near, nodes, s).union(_in_blocks(placed.where(F.col("n") > s.small_group), nodes, s)).distinct()
-    late = materialize(_confirm(more, sets, s), "late-links")
+    # groups whose smallest lie in one component share their members, so one cluster holds each member once
+    large = placed.where(F.col("n") > s.small_group).select("cluster", "node", "component", "other").distinct()
+    sizes = large.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("n_other"))
+    large = materialize(large.join(sizes, "cluster"), "clusters")
+    late = materialize(_confirm(_sift(near, nodes, s), sets, s).union(_in_blocks(large, sets, s)).distinct(), "late-links")
     if not late.isEmpty():
         found = connected_components(links.union(late), "all")
     placed_sets = firsts.join(found, "node", "left").select(*digest, F.coalesce("component", "node").alias("component_id"))
