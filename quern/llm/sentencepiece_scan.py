@@ -243,26 +243,38 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
 
     matrices = materialize(chunks.select("row", "chunk", "low", "high", "text").mapInArrow(transfer, "row string, chunk int, matrix binary").dropDuplicates(["row", "chunk"]).withColumn("block", F.expr(f"chunk div {BLOCK}").cast("int")), "matrices")
 
+    # thousands of small groups cost more than their work, so a task takes a bucket of them; buckets hold some hundred matrices
+    buckets = max(8, matrices.count() // 400)
+    bucket = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        product = None
-        for m in part.sort_values("chunk")["matrix"]:
-            product = _numbers(m) if product is None else max_plus(product, _numbers(m))
-        return pd.DataFrame({"row": part["row"][:1], "block": part["block"][:1], "matrix": [_blob(product)]})
+        out = []
+        for (row, block), group in part.sort_values("chunk").groupby(["row", "block"], sort=False):
+            product = None
+            for m in group["matrix"]:
+                product = _numbers(m) if product is None else max_plus(product, _numbers(m))
+            out.append((row, block, _blob(product)))
+        return pd.DataFrame(out, columns=["row", "block", "matrix"])
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("block")
-        states = _choose([_numbers(m) for m in part["matrix"]], 0, None)
-        return pd.DataFrame({"row": part["row"], "block": part["block"], "i": states[:-1], "j": states[1:]})
+        out = []
+        for row, group in part.sort_values("block").groupby("row", sort=False):
+            states = _choose([_numbers(m) for m in group["matrix"]], 0, None)
+            out += zip([row] * len(group), group["block"], states, states[1:], strict=False)
+        return pd.DataFrame(out, columns=["row", "block", "i", "j"])
 
     def settle_block(known: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk")
-        states = _choose([_numbers(m) for m in part["matrix"]], int(known["i"].iloc[0]), int(known["j"].iloc[0]))
-        return pd.DataFrame({"row": part["row"], "chunk": part["chunk"], "i": states[:-1], "j": states[1:]})
-
-    blocks = matrices.groupBy("row", "block").applyInPandas(multiply, "row string, block int, matrix binary")
-    settled = blocks.groupBy("row").applyInPandas(settle, "row string, block int, i int, j int")
+        ends = {(r, b): (int(i), int(j)) for r, b, i, j in zip(known["row"], known["block"], known["i"], known["j"], strict=True)}
+        out = []
+        for key, group in part.sort_values("chunk").groupby(["row", "block"], sort=False):
+            states = _choose([_numbers(m) for m in group["matrix"]], *ends[key])
+            out += zip([key[0]] * len(group), group["chunk"], states, states[1:], strict=False)
+        return pd.DataFrame(out, columns=["row", "chunk", "i", "j"])
+
+    blocks = matrices.groupBy(bucket("row", "block")).applyInPandas(multiply, "row string, block int, matrix binary")
+    settled = blocks.groupBy(bucket("row")).applyInPandas(settle, "row string, block int, i int, j int")
     again = matrices.toDF(*matrices.columns)
-    states = settled.groupBy("row", "block").cogroup(again.groupBy("row", "block")).applyInPandas(settle_block, "row string, chunk int, i int, j int")
+    states = settled.groupBy(bucket("row", "block")).cogroup(again.groupBy(bucket("row", "block"))).applyInPandas(settle_block, "row string, chunk int, i int, j int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
