@@ -45,50 +45,67 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(cut, PIECES)
 
 
-def completions(room: int, counts: np.ndarray, most: int = 6) -> list[tuple[int, ...]]:
-    """Fillings of `room` by lengths that have counts, least waste first: up to `most` that none of the others dominates.
+def completions(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of `room` by lengths that have counts, of any number of pieces, least waste first; None for each dead
+    end, so that the caller can count the work.
 
-    A filling is dominated if some length in it, or two together, could be replaced by one longer length that still fits. So the
-    longest single item that fits is one; a pair or triple is one only if it wastes less than all found with fewer items.
+    A filling is dominated if a length left out fits where some of its pieces (none, one that is shorter, or several together) are: a
+    bin with that length in their place packs no worse. Depth first from the longest length down; sums that the shorter lengths
+    cannot make are never entered, and a beginning that is dominated by a longer length is cut.
     """
     have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    best = [(int(have[-1]),)]
-    if have[-1] == room:
-        return best
-    spare = counts[have]
-    waste = room - int(have[-1])
-    pairs = []
-    mate = np.searchsorted(have, room - have, side="right") - 1  # the longest second item that fits with each first
-    ok = (mate >= 0) & (have[np.maximum(mate, 0)] <= have)
-    ok &= ~((mate == np.arange(len(have))) & (spare < 2))
-    if ok.any():
-        at = np.flatnonzero(ok)
-        left = room - have[at] - have[mate[at]]
-        order = np.lexsort((-have[at], left))[:most]
-        pairs = [(int(have[at[i]]), int(have[mate[at[i]]])) for i in order if left[i] < waste]
-    if pairs and sum(pairs[0]) == room:
-        return [p for p in pairs if sum(p) == room] + best
-    waste = room - sum(pairs[0]) if pairs else waste
-    triples = []
-    for first in have[::-1]:
-        rest = have[have <= min(first, room - first)]
-        if not len(rest):
-            continue
-        third = np.searchsorted(rest, room - first - rest, side="right") - 1
-        good = (third >= 0) & (rest[np.maximum(third, 0)] <= rest)
-        if good.any():
-            k = np.flatnonzero(good)
-            left = room - first - rest[k] - rest[third[k]]
-            for i in np.argsort(left)[:2]:
-                t = (int(first), int(rest[k[i]]), int(rest[third[k[i]]]))
-                if left[i] < waste and all(counts[x] >= t.count(x) for x in t):
-                    triples.append(t)
-        if triples and sum(triples[-1]) == room or len(triples) >= most:
-            break
-    return sorted(triples, key=lambda t: room - sum(t))[:most] + pairs + best
+    have = have[have > 0].tolist()
+    if not have or have[-1] == room:
+        yield (room,) if have else ()
+        return
+    spare = counts[have].tolist()
+    reach, below, whole = [1], [0], (1 << room + 1) - 1  # as bits: sums that the first j lengths can make, and these lengths
+    for x, n in zip(have, spare, strict=True):
+        sums, n, k = reach[-1], min(n, room // x), 1
+        while n:
+            sums |= sums << min(k, n) * x
+            n, k = n - min(k, n), 2 * k
+        reach.append(sums & whole)
+        below.append(below[-1] | 1 << x)
+
+    def smear(bits: int, n: int) -> int:
+        """The sums from each to n more."""
+        done = 0
+        while done < n:
+            k = min(done + 1, n - done)
+            bits, done = bits | bits << k, done + k
+        return bits
+
+    def fill(i: int, rest: int, single: int, several: int, out: int) -> Iterator[tuple[int, ...] | None]:
+        # single, several: bits of the sums of one piece, and of none or of two and more; out: lengths left out so far
+        hit = smear(several, waste) | (smear(single, waste - 1) << 1 if waste else 0)
+        if not rest:
+            yield None if hit & (out | below[i]) else ()
+            return
+        for j in range(i - 1, -1, -1):
+            if hit & (out | (below[i] ^ below[j + 1])) or not reach[j + 1] >> rest & 1:
+                return
+            x = have[j]
+            one, more, ways = single, several, []
+            for k in range(1, min(spare[j], rest // x) + 1):
+                one, more = one | 1 << x, more | (one | more & ~1) << x
+                if reach[j] >> rest - k * x & 1:
+                    ways.append((k, one, more))
+            for k, one, more in reversed(ways):
+                found = False
+                for tail in fill(j, rest - k * x, one, more, out | (below[i] ^ below[j + 1]) | (1 << x if spare[j] > k else 0)):
+                    found = True
+                    yield None if tail is None else (x,) * k + tail
+                if not found:
+                    yield None
+
+    short = 0  # ids of lengths no longer than the waste: all of them have to be in
+    for waste in range(room + 1):
+        short += waste * int(counts[waste])
+        if short > room - waste:
+            return
+        if reach[-1] >> room - waste & 1:
+            yield from fill(len(have), room - waste, 0, 1, 0)
 
 
 def _times(filling: tuple[int, ...], counts: np.ndarray) -> int:
@@ -119,50 +136,60 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     what the rest has beyond their waste needs more."""
     n, ids = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * np.arange(len(counts)))])
     half = capacity // 2
-    best = -(-int(ids[-1]) // capacity)
-    for limit in range(half + 1):
-        top = capacity - limit
-        wide, large = n[-1] - n[top + 1], n[top + 1] - n[half + 1]
-        spare = large * capacity - (ids[top + 1] - ids[half + 1])
-        best = max(best, int(wide + large + max(0, -(-(int(ids[half + 1] - ids[limit]) - int(spare)) // capacity))))
-    return best
+    limit = np.arange(half + 1)
+    top = capacity - limit
+    wide, large = n[-1] - n[top + 1], n[top + 1] - n[half + 1]
+    spare = large * capacity - (ids[top + 1] - ids[half + 1])
+    more = np.maximum(0, -(-(ids[half + 1] - ids[limit] - spare) // capacity))
+    return max(-(-int(ids[-1]) // capacity), int((wide + large + more).max()))
 
 
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> list[tuple[int, tuple[int, ...]]]:
     """Fewest fillings of `capacity` found for counts[length]: (times, lengths), whose times add up to the number of sequences.
 
-    Depth first: a node takes the largest length left and branches over its undominated completions, best fit first; a branch whose
-    sequences so far and the bound ceil(ids left / capacity) reach the incumbent is pruned; the search ends when the incumbent
-    meets least_bins of the whole, or after `nodes` nodes, which keeps the incumbent (never worse than best-fit decreasing).
+    Depth first: a node takes the largest length left and branches over its undominated completions, least waste first, each as often
+    as the counts allow and then less often; a filling that was tried isn't used again until its largest length is used up. A branch
+    whose sequences so far and least_bins of what is left reach the incumbent is pruned; the search ends when the incumbent meets
+    least_bins of the whole, or after `nodes` nodes, which keeps the incumbent (never worse than best-fit decreasing). If the nodes
+    are not used up, the incumbent is the optimum.
     """
     incumbent = best_fit(counts, capacity)
     bins = sum(t for t, _ in incumbent)
     bound = least_bins(counts, capacity)
+    tried: set[tuple[int, ...]] = set()
 
     def branch(left: np.ndarray):
         largest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[largest] -= 1
+        mine = []
         for mates in completions(capacity - largest, rest):
-            filling = (largest, *mates)
-            times = _times(filling, left)
-            after = left.copy()
-            for x in filling:
-                after[x] -= times
-            yield times, filling, after
+            filling = None if mates is None else (largest, *mates)
+            if filling is None or filling in tried:
+                yield None
+                continue
+            mine.append(filling)
+            tried.add(filling)
+            for times in range(_times(filling, left), 0, -1):
+                after = left.copy()
+                for x in filling:
+                    after[x] -= times
+                yield times, filling, after
+        tried.difference_update(mine)
 
     stack, taken, used = ([branch(counts)] if counts.any() else []), [], 0
     while stack and bins > bound and nodes > 0:
-        step = next(stack[-1], None)
-        if step is None:
+        step = next(stack[-1], False)
+        if step is False:
             stack.pop()
             if taken:
                 used -= taken.pop()[0]
             continue
         nodes -= 1
+        if step is None:
+            continue
         times, filling, after = step
-        ids = int((after * np.arange(len(after))).sum())
-        if used + times + -(-ids // capacity) >= bins:
+        if used + times + least_bins(after, capacity) >= bins:
             continue
         if not after.any():
             incumbent, bins = [*taken, (times, filling)], used + times

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quern.llm import binary_records, packing, token_counts
@@ -131,3 +131,21 @@ def test_bin_completion(items):
     best = brute_bins(sorted(items, reverse=True), 30)
     assert packing.least_bins(counts, 30) <= best <= sum(t for t, _ in found) <= best + (len(items) > 6)
     assert sum(t for t, _ in found) <= sum(t for t, _ in packing.best_fit(counts, 30))
+
+
+@given(st.lists(st.integers(1, 30), max_size=11))
+@example([3, 3, 6, 6, 7, 7, 7, 7, 7, 7])
+@example([5, 5, 5, 6, 9, 13, 17, 18, 20, 21, 26])
+@settings(max_examples=100, deadline=None)
+def test_bin_completion_finds_the_optimum(items):
+    counts = np.bincount(items, minlength=31) if items else np.zeros(31, np.int64)
+    found = sum(t for t, _ in packing.bin_completion(counts, 30, nodes=10**9))
+    assert found == brute_bins(sorted(items, reverse=True), 30)
+
+
+def test_bin_completion_of_short_pieces():
+    counts = np.bincount(np.random.default_rng(0).integers(100, 204, 500), minlength=1025)
+    found = packing.bin_completion(counts, 1024)
+    assert (sum(t * np.bincount(f, minlength=1025) for t, f in found) == counts).all() and all(sum(f) <= 1024 for _, f in found)
+    best_fit = sum(t for t, _ in packing.best_fit(counts, 1024))
+    assert packing.least_bins(counts, 1024) == sum(t for t, _ in found) < best_fit
