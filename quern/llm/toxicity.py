@@ -30,11 +30,10 @@ _MAP[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the labelled sample that the classifier is fitted on: `documents` of each class at most (those whose ids have the
-    smallest hash), two thirds for the vectors and the rest for the curve, and of each `distinct` words at most, spread evenly. All
-    else covers all rows."""
+    smallest hash), two thirds for the vectors and the rest for the curve. Every word of a sampled document counts, and all else covers
+    all rows."""
 
     documents: int = 4000
-    distinct: int = 4000
     words: int = 1
     buckets: int = 1 << 18
     least: int = 2  # documents that a word must be met in to be learned
@@ -122,8 +121,7 @@ def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
         for batch in by_bytes(batches, "text"):
             rows = ([], [])
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = sorted(set(_bytes([text])[0].tobytes().split()))
-                rows[toxic].extend(words[:: -(-len(words) // settings.distinct)] if words else ())
+                rows[toxic].extend(set(_bytes([text])[0].tobytes().split()))
             for toxic in (0, 1):
                 if rows[toxic]:
                     counted = pa.array(rows[toxic], pa.binary()).value_counts()

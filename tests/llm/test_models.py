@@ -51,6 +51,13 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(empty(spark), model).count() == 0
 
 
+def test_toxicity_counts_all_words(spark):
+    words = [f"w{i:05d}" for i in range(9001)]
+    rows = spark.createDataFrame([(" ".join(words), t) for t in (0, 1, 1)] + [("w00001 w09000", 0)], "text string, toxic int")
+    got = {r.word.decode(): (r.toxic, r.clean) for r in toxicity._word_counts(rows, toxicity.Settings()).collect()}
+    assert got == {w: (2, 1 + (w in ("w00001", "w09000"))) for w in words}
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [
