@@ -85,16 +85,22 @@ def _registers_of(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, m)
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    from .shingles import mix
+
+    d1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+    return d1, np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+
+
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the set), registers (binary) of each whole text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import mix, shingle_sets
+        from .shingles import shingle_sets
 
         for batch in by_bytes(batches, "text", 4 << 20):
             sets = shingle_sets([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], s.words)
-            d1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-            d2 = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+            d1, d2 = _digests(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array([registers(x, s.registers).tobytes() for x in sets], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "registers"])
 
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
@@ -133,16 +139,18 @@ def _sift(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, s: Settings) -> DataFrame:
-    """node, set: the sorted 64-bit hashes of all shingles of each text."""
+    """docs: node, d1, d2, text. node, set: the sorted 64-bit hashes of all shingles of each text that has the digest."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
 
         for batch in by_bytes(batches, "text", 4 << 20):
             found = shingle_sets([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], s.words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "set"])
+            d1, d2 = _digests(found)
+            same = (d1 == batch.column("d1").to_numpy()) & (d2 == batch.column("d2").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "set"]).filter(pa.array(same))
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(sets, "node bigint, set binary")
+    return docs.select("node", "d1", "d2", whole_text().alias("text")).mapInArrow(sets, "node bigint, set binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -221,15 +229,23 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     signed = materialize(signatures(docs, s), "signatures")
     digest = ["n_shingles", "d1", "d2"]
-    firsts = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node")), "sets")
-    nodes = materialize(signed.join(firsts, (signed.doc_id == firsts.node) & (signed.n_shingles == firsts.n_shingles) & (signed.d1 == firsts.d1) & (signed.d2 == firsts.d2)).select("node", "registers").dropDuplicates(["node"]), "nodes")
+    # a node is a set, numbered; `least`: the smallest id that has it
+    firsts = signed.where("doc_id is not null and n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("least"))
+    firsts = materialize(firsts.sortWithinPartitions(*digest).withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = materialize(signed.join(firsts.withColumnRenamed("least", "doc_id"), ["doc_id", *digest]).select("node", "registers").dropDuplicates(["node"]), "nodes")
+    # sets that share an id are one document
+    texts = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("_low"), F.max(F.struct(*digest)).alias("_high"))
+    several = signed.join(texts.where("_low <> _high").select("doc_id"), "doc_id").join(firsts, digest).select("doc_id", "node").distinct()
+    several = materialize(several, "several")
+    one = materialize(several.groupBy("doc_id").agg(F.min("node").alias("node")), "one")
+    same = several.withColumnRenamed("node", "b").join(one.withColumnRenamed("node", "a"), "doc_id").where("a <> b").select("a", "b")
     bands = _bands(nodes, s)
     groups = bands.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(bands.join(groups, "key").select("key", "node", "first", "n"), "bands")
     stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    involved = members.select("node").distinct()
-    sets = materialize(shingle_table(docs.select(F.col("doc_id").cast("long"), "text").join(involved, F.col("doc_id") == F.col("node")).select("doc_id", "text"), s), "shingles")
-    links = materialize(_confirm(_sift(stars, nodes, s), sets, s).distinct(), "links")
+    involved = members.select("node").distinct().join(firsts, "node").select("node", "least", "d1", "d2")
+    sets = materialize(shingle_table(docs.select(F.col("doc_id").cast("long"), "text").join(involved, F.col("doc_id") == F.col("least")), s), "shingles")
+    links = materialize(_confirm(_sift(stars, nodes, s), sets, s).union(same).distinct(), "links")
     found = connected_components(links, "near")
 
     # what round one left apart though it shares a group
@@ -249,7 +265,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     late = materialize(_confirm(_sift(near, nodes, s), sets, s).union(_in_blocks(large, sets, s)).distinct(), "late-links")
     if not late.isEmpty():
         found = connected_components(links.union(late), "all")
-    placed_sets = firsts.join(found, "node", "left").select(*digest, F.coalesce("component", "node").alias("component_id"))
-    rows = signed.select("doc_id", *digest).join(placed_sets, digest, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
+    smallest = found.join(firsts, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    placed_sets = firsts.join(found.join(smallest, "component"), "node", "left").select("node", *digest, F.coalesce("component_id", "least").alias("component_id"))
+    of_id = one.join(placed_sets, "node").select("doc_id", F.col("component_id").alias("_of_id"))  # for texts without shingles
+    rows = signed.select("doc_id", *digest).join(placed_sets.drop("node"), digest, "left").join(of_id, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "_of_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

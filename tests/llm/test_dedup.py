@@ -51,6 +51,13 @@ def test_near_duplicates(spark, k, percent):
     assert near(df, minhash.Settings(words=k, percent=percent, small_group=6, block=16)) == brute_near(rows, k, percent)
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b + " tail"), (9, b), (5, ""), (20, c), (20, d), (21, c + " tail"), (22, d + " tail"), (30, c.replace("c3", "x")), (None, c), (40, None), (41, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert near(df, minhash.Settings(words=3, percent=85)) == brute_near(rows, 3, 85)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty(spark), minhash.Settings()).count() == 0
     rows = minhash.near_duplicates(odd(spark), minhash.Settings(words=3, percent=85)).collect()
