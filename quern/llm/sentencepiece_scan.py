@@ -25,7 +25,12 @@ from .common import by_bytes, materialize, whole_text
 SPACE = "▁"
 #: Chunks of a block; two levels reach 65,536 chunks, more than a string of 2 GB has at 32,768 characters each.
 BLOCK = 256
+#: Chunks of a section: a giant text is cut into sections first, so that no chunk is looked for from the text's start.
+SECTION = 64
+#: Pairs of pieces whose agreement a worker remembers.
+KNOWN_PAIRS = 100_000
 _LATTICES: dict[str, Lattice] = {}
+_TEXTS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def lattice(path: str) -> Lattice:
@@ -34,6 +39,21 @@ def lattice(path: str) -> Lattice:
     return _LATTICES[path]
 
 
+def piece_texts(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces in the order of ids, one after another, and where each begins (and the last ends). Control pieces have none."""
+    if path not in _TEXTS:
+        import sentencepiece
+
+        known = sentencepiece.SentencePieceProcessor(model_file=path)
+        texts = []
+        for i in range(known.get_piece_size()):
+            piece = known.id_to_piece(i)
+            plain = not (known.is_control(i) or known.is_unknown(i) or known.is_unused(i))
+            texts.append(bytes([int(piece[3:5], 16)]) if known.is_byte(i) else piece.replace(SPACE, " ").encode() if plain else b"")
+        _TEXTS[path] = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    return _TEXTS[path]
+
+
 class Lattice:
     def __init__(self, path: str):
         import sentencepiece
@@ -49,7 +69,6 @@ class Lattice:
         self.pieces = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         self.longest = max(map(len, self.pieces))
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
-        self.texts = {i: (p.piece.replace(SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"") for i, p in enumerate(model.pieces)}
         self.cuts_words = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.units = encoder(path)
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -58,7 +77,7 @@ class Lattice:
         """Whether the two pieces side by side encode to themselves; an empty side asks about the other alone."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) >= KNOWN_PAIRS:
                 self._pairs.clear()
             want = [x for p in (a, b) if p for x in self.ids(p)]
             known = self._pairs[a, b] = self.raw.encode(a + b) == want
@@ -220,8 +239,10 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
     short = rows.where(F.col("n") <= chunk_chars)
 
     def encode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
-            ids, offsets = lattice(model).units.encode(batch.column("text"))
+        from .tokens import encoder
+
+        for batch in by_bytes(batches, "text", 2 << 20):
+            ids, offsets = encoder(model).encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             zero = pa.array(np.zeros(len(batch), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([f"{d}" for d in batch.column("doc_id").to_pylist()]), batch.column("doc_id"), zero, lists, batch.column("text")], ["row", "doc_id", "chunk", "ids", "text"])
@@ -229,15 +250,19 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
     schema = "row string, doc_id bigint, chunk int, ids array<int>, text string"
     done = short.select("doc_id", "text").mapInArrow(encode_short, schema)
 
-    # a chunk with the space mark before the text as its first character, and its surroundings
+    # a chunk with the space mark before the text as its first character, and its surroundings; sections first
     marked = rows.where(F.col("n") > chunk_chars).select("doc_id", F.concat(F.lit(" "), "text").alias("text"), (F.col("n") + 1).alias("n"), F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"), F.col("n").cast("string")).alias("row"))
-    numbered = marked.select("*", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk_chars))).alias("chunk", "cut"))
+    section_chars = SECTION * chunk_chars
+    sections = marked.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(section_chars))).alias("at"))
+    sections = sections.withColumn("from", F.greatest(F.col("at") - margin, F.lit(0)))
+    sections = sections.withColumn("text", F.substring("text", F.col("from") + 1, F.lit(section_chars + 2 * margin)))
+    numbered = sections.select("*", F.explode(F.sequence("at", F.least(F.col("at") + section_chars, F.col("n")) - 1, F.lit(chunk_chars))).alias("cut"))
     low = F.greatest(F.col("cut") - margin, F.lit(0))
-    chunks = numbered.select("row", "doc_id", "chunk", (F.col("cut") - low).alias("low"), (F.least(F.col("cut") + chunk_chars, F.col("n")) - low).alias("high"), F.substring("text", low + 1, F.lit(chunk_chars + 2 * margin)).alias("text"))
+    chunks = numbered.select("row", "doc_id", F.expr(f"cast(cut div {chunk_chars} as int)").alias("chunk"), (F.col("cut") - low).alias("low"), (F.least(F.col("cut") + chunk_chars, F.col("n")) - low).alias("high"), F.substring("text", low - F.col("from") + 1, F.lit(chunk_chars + 2 * margin)).alias("text"))
     chunks = materialize(chunks, "chunks")
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 1 << 20):
             out = [_blob(lattice(model).matrix(t.replace(" ", SPACE), lo, hi, c == 0)) for t, lo, hi, c in zip(*(batch.column(x).to_pylist() for x in ("text", "low", "high", "chunk")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(out, pa.binary())], ["row", "chunk", "matrix"])
 
@@ -277,15 +302,38 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
     states = settled.groupBy(bucket("row", "block")).cogroup(again.groupBy(bucket("row", "block"))).applyInPandas(settle_block, "row string, chunk int, i int, j int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [lattice(model).trace(t.replace(" ", SPACE), lo, hi, c == 0, i, j) for t, lo, hi, c, i, j in zip(*(batch.column(x).to_pylist() for x in ("text", "low", "high", "chunk", "i", "j")), strict=True)]
-            text = [x[c == 0 :].replace(SPACE, " ") for (_, x), c in zip(found, batch.column("chunk").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("chunk"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array(text)], ["row", "doc_id", "chunk", "ids", "text"])
+        for batch in by_bytes(batches, "text", 1 << 20):
+            ids, texts = [], []
+            for t, lo, hi, c, i, j in zip(*(batch.column(x).to_pylist() for x in ("text", "low", "high", "chunk", "i", "j")), strict=True):
+                found, text = lattice(model).trace(t.replace(" ", SPACE), lo, hi, c == 0, i, j)
+                ids.append(np.array(found, np.int32))
+                texts.append(text[c == 0 :].replace(SPACE, " "))
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("chunk"), lists, pa.array(texts, pa.string())], ["row", "doc_id", "chunk", "ids", "text"])
 
     traced = chunks.join(states, ["row", "chunk"]).select("row", "doc_id", "chunk", "low", "high", "text", "i", "j").mapInArrow(trace, schema)
     return done.union(traced)
 
 
+def _texts_of(ids: pa.ListArray, first: np.ndarray, data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The text of each list of ids, without its first byte where `first`; `data` and `starts` are those of piece_texts."""
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    size = (starts[1:] - starts[:-1])[flat]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    text = data[np.repeat(starts[flat] - ends[:-1], size) + np.arange(ends[-1])]
+    cuts = ends[offsets - offsets[0]]
+    drop = first & (cuts[1:] > cuts[:-1])
+    text = np.delete(text, cuts[:-1][drop])
+    cuts[1:] -= np.cumsum(drop)
+    found = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text.tobytes())])
+    try:
+        return found.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # a chunk ends within a character, or ids stand for bytes that are no UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded (row, doc_id, chunk, ids, ...) with `decoded`: the text of each chunk's ids, each by itself. The space before the first
     chunk's text is no part of it; bytes that are no UTF-8 become U+FFFD."""
@@ -293,12 +341,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     has_text = "text" in encoded.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20) if has_text else batches:
-            texts = lattice(model).texts
-            out = []
-            for ids, chunk in zip(batch.column("ids").to_pylist(), batch.column("chunk").to_pylist(), strict=True):
-                data = b"".join([texts[x] for x in ids])
-                out.append((data[1:] if chunk == 0 else data).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out)], [*(f.name for f in kept), "decoded"])
+        for batch in by_bytes(batches, "text", 2 << 20) if has_text else batches:
+            decoded = _texts_of(batch.column("ids"), batch.column("chunk").to_numpy(zero_copy_only=False) == 0, *piece_texts(model))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), decoded], [*(f.name for f in kept), "decoded"])
 
     return encoded.select(*(f.name for f in kept)).mapInArrow(read, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decoded string")

@@ -1,8 +1,9 @@
 """Exact ids of whole texts from a tokenizer file, at the price of encoding each distinct unit once.
 
-Texts are cut where no token of the file can span, into units that mostly are a word with the space before it. Units are
-dictionary-encoded by Arrow; the library encodes only those not seen before in this Python worker. What cannot be cut safely
-is handed to the library whole, so ids always equal those of the library on the whole text.
+Texts are cut where no token of the file can span, into units that mostly are a word with the space before it; where white space
+meets white space a unit is all between two places that are safe. Units are dictionary-encoded by Arrow; the library encodes only
+those not seen before in this Python worker. A file not known to be safe to cut gets its texts whole, so ids always equal those of
+the library on the whole text.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import pyarrow.compute as pc
 
 #: Unicode White_Space, what \s means to the tokenizers library.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Units kept by a worker; beyond it the table starts afresh. It bounds memory and doesn't change ids.
-CACHED_UNITS = 250_000
+#: About the bytes of units that a worker keeps; beyond it the table starts afresh. It bounds memory and doesn't change ids.
+CACHED_BYTES = 56 << 20
+#: Bytes of a unit beside its ids: entry, a short key, offset. Long units are those of texts with odd white space, which count whole.
+_UNIT_BYTES = 190
 
 _STOPS = ".,"
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -39,6 +42,11 @@ class UnitEncoder:
     def __init__(self, path: str):
         self.library, self.family = _load(path)
         self.breaks = re.compile(f"(?!^\\n)[{WHITE}]").search
+        # safe units of a text with white space next to white space; the text stands after a space for family "piece"
+        if self.family == "byte":
+            self.units = re.compile(f"[^{WHITE}](?=[ \\n][^{WHITE}])").sub
+        else:
+            self.units = re.compile("\\n[^ \\n]*| +[^ \\n]*").findall
         if self.family in ("byte", "word"):
             vocabulary = self.library.get_vocab()
             self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -49,6 +57,7 @@ class UnitEncoder:
         self.entries: dict[str, int] = {}
         self.offsets = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.held = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """texts: strings without nulls. Returns all ids (uint32) and len(texts) + 1 offsets into them."""
@@ -65,31 +74,44 @@ class UnitEncoder:
 
     def _entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Table entries of all units, and the offset of each text's first."""
-        if len(self.entries) > CACHED_UNITS:
+        if self.held > CACHED_BYTES:
             self._clear()
         texts = pc.cast(texts, pa.large_string())
-        whole = np.ones(len(texts), bool) if self.family == "plain" else self._uncut(texts)
-        if not whole.any():
+        apart = np.ones(len(texts), bool) if self.family == "plain" else self._uncut(texts)
+        if not apart.any():
             return self._cut(texts)
-        at = np.flatnonzero(whole)
-        keys = [("whole", t) for t in texts.take(pa.array(at)).to_pylist()]
+        keys, counts = [], np.ones(len(texts), np.int64)
+        for i in np.flatnonzero(apart):
+            units = self._units_of(text := texts[int(i)].as_py())
+            self.held += 2 * len(text)
+            keys += units
+            counts[i] = len(units)
         different = list(dict.fromkeys(keys))
         entry = dict(zip(different, self._lookup(different), strict=True))
         alone = np.array([entry[k] for k in keys], np.int64)
-        entries, offsets = self._cut(texts.take(pa.array(np.flatnonzero(~whole))))
-        counts = np.ones(len(texts), np.int64)
-        counts[~whole] = np.diff(offsets)
+        entries, offsets = self._cut(texts.take(pa.array(np.flatnonzero(~apart))))
+        counts[~apart] = np.diff(offsets)
         all_offsets = np.concatenate([[0], np.cumsum(counts)])
         out = np.empty(all_offsets[-1], np.int64)
-        mask = np.repeat(whole, counts)
+        mask = np.repeat(apart, counts)
         out[mask], out[~mask] = alone, entries
         return out, all_offsets
 
+    def _units_of(self, text: str) -> list:
+        """The units of a text that _cut would part at the wrong places."""
+        if self.family == "plain":
+            return [("whole", text)]
+        if self.family == "piece":
+            return [u[1:] if u[0] == " " else u for u in self.units(" " + text.replace("▁", " "))]
+        # a space or newline between two characters that are no white space begins a unit
+        units = self.units(lambda m: m[0] + "\0", text).split("\0") if "\0" not in text else [text]
+        return [("whole", units[0])] + [("whole", u) if self.breaks(u[1:]) else u if u[0] == "\n" else u[1:] for u in units[1:]]
+
     def _uncut(self, texts: pa.Array) -> np.ndarray:
         """Which texts have white space that the cut below would part."""
         if self.family == "word":
             return np.zeros(len(texts), bool)
-        pattern = f"[{WHITE}][ \n]|[ \n][{WHITE}]" if self.family == "byte" else "^ |  "
+        pattern = f"[{WHITE}][ \n]|[ \n][{WHITE}]" if self.family == "byte" else "^ |[ ▁]{2}"  # a space mark in a text is a space
         return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +163,7 @@ class UnitEncoder:
 
     def _append(self, units: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         self.entries.update(zip(units, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(units)), strict=True))
+        self.held += _UNIT_BYTES * len(units) + 4 * len(ids)
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, ids])
 

@@ -26,6 +26,7 @@ PARTS = st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\x8
 
 @pytest.mark.parametrize("name", FILES)
 @given(texts=st.lists(st.lists(PARTS, max_size=12).map("".join), min_size=1, max_size=6))
+@example(texts=["▁ ", " ▁a▁▁ b", "a\n\n b  c\0d  e"])
 @settings(max_examples=150, deadline=None)
 def test_units_equal_the_library(name, texts):
     ids, offsets = encoder(vocabulary(name)).encode(pa.array(texts))
