@@ -3,6 +3,8 @@ because each of its cuts depends on the one before."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,30 +13,37 @@ from ..config import DEFAULT, Config
 from ..functions.text import normalize_text
 
 
+def _windows(n: int, newlines: list[int], spaces: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Where windows over n characters begin and end, from the places of newlines and spaces alone."""
+
+    def end(begin: int) -> int:
+        for places in (newlines, spaces):  # the last one of the second half
+            at = bisect_left(places, begin + size) - 1
+            if at >= 0 and places[at] > begin + size / 2:
+                return places[at]
+        return begin + size
+
+    spans = [(0, n if size >= n else end(0))]
+    while (stop := spans[-1][1]) < n:
+        begin = max(stop - overlap, spans[-1][0] + 1)
+        at = bisect_left(spaces, begin)
+        if at < len(spaces) and spaces[at] < min(begin + overlap, n):
+            begin = spaces[at] + 1
+        spans.append((begin, n if begin + size >= n else end(begin)))
+    return spans
+
+
 def split_one(text: str, size: int, overlap: int) -> list[str]:
     """Overlapping windows of a normalised text, each ended at the last newline, or else space, of its second half; the next begins
     after a space within the overlap. A last piece shorter than 0.3 sizes joins the one before after an empty line."""
-    if len(text) <= size:
-        return [text] if text else []
-    pieces: list[str] = []
-    start = 0
-    while True:
-        stop = min(start + size, len(text))
-        if stop < len(text):
-            middle = start + size * 0.5
-            at = text.rfind("\n", start, stop)
-            if not at > middle:
-                at = text.rfind(" ", start, stop)
-            stop = at if at > middle else stop
-        if piece := text[start:stop].strip():
-            pieces.append(piece)
-        if stop >= len(text):
-            break
-        start = max(stop - overlap, start + 1)
-        space = text.find(" ", start, min(start + overlap, len(text)))
-        start = space + 1 if space >= 0 else start
-    if len(pieces) > 1 and len(pieces[-1]) < 0.3 * size:
-        pieces[-2:] = ["\n\n".join(pieces[-2:])]
+    newlines, spaces = ([i for i, c in enumerate(text) if c == mark] for mark in "\n ")
+    spans = _windows(len(text), newlines, spaces, size, overlap) if text else []
+    if len(spans) == 1:
+        return [text]
+    pieces = [p for low, high in spans if (p := text[low:high].strip())]
+    *most, tail = pieces or [""]
+    if most and len(tail) < 0.3 * size:
+        return [*most[:-1], f"{most[-1]}\n\n{tail}"]
     return pieces
 
 

@@ -2,38 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BRACKET = r"\[[^\]]*\]"
-_CITATION = r"(?i)^(.+?)\s*,\s*(?:(?:sayfa|page)\s*(\d+)\s*,\s*)?(?:parça(?:lar)?|chunks?)\s*([^\]]+)$"
-_IMAGE = r"(?i)^(?:görsel|image)\s*:\s*(.+)$"
-_PREFIX = r"(?i)^(?:belge|kaynak|document|source)\s*:\s*"
+#: The words that open a field of a citation, in lower case; a longer word stands before one that it begins with.
+PAGE_WORDS, PART_WORDS = ("sayfa", "page"), ("parçalar", "parça", "chunks", "chunk")
+IMAGE_WORDS, SOURCE_WORDS = ("görsel", "image"), ("belge", "kaynak", "document", "source")
+_SPLITS = 16
+_KIND = "array<struct<kind:string,target:string,page:int,part:int>>"
+
+
+def _after(text: Column, words: tuple[str, ...]) -> Column:
+    """What follows the first of the words that the text begins with, without regard to case; null if it begins with none."""
+    out = F.lit(None).cast("string")
+    for word in reversed(words):
+        out = F.when(F.lower(text).startswith(word), F.trim(F.substring(text, len(word) + 1, 1 << 30))).otherwise(out)
+    return out
+
+
+def _labelled(text: Column, words: tuple[str, ...]) -> Column:
+    """What follows a word and its colon; null without them."""
+    rest = _after(text, words)
+    return F.when(rest.startswith(":"), F.trim(F.substring(rest, 2, 1 << 30)))
+
+
+def _citation(fields: Column) -> Column:
+    """fields: what stands between the commas of a bracket. A citation is a name, a page if there is one, and parts: the name ends
+    before the first field that is a part, or a page with a part after it."""
+    marks = F.transform(fields, lambda f: F.struct(F.trim(f).alias("text"), _after(F.trim(f), PART_WORDS).alias("part"), _after(F.trim(f), PAGE_WORDS).alias("page")))
+
+    def begin(mark: Column, i: Column) -> Column:
+        paged = F.coalesce(mark["page"].rlike(r"^\d+$"), F.lit(False)) & F.coalesce(F.try_element_at(marks, i + 2)["part"].isNotNull(), F.lit(False))
+        return (i > 0) & (mark["part"].isNotNull() | paged)
+
+    at = F.array_position(F.transform(marks, begin), F.lit(True)).cast("int")  # from 1; 0 if there is none
+    at_least = F.greatest(at, F.lit(1))
+    first = F.element_at(marks, at_least)
+    paged = first["part"].isNull()
+    tail = F.slice(fields, at_least + F.when(paged, 2).otherwise(1), F.size(fields))
+    parts = F.concat_ws(",", F.array(F.when(paged, F.try_element_at(marks, at_least + 1)["part"]).otherwise(first["part"])), tail)
+    name = F.trim(F.array_join(F.slice(fields, 1, at_least - 1), ","))
+    found = F.struct(F.lit("citation").alias("kind"), F.coalesce(_labelled(name, SOURCE_WORDS), name).alias("target"), F.when(paged, first["page"]).try_cast("int").alias("page"), F.coalesce(F.nullif(F.regexp_extract(parts, r"\d+", 0), F.lit("")).try_cast("int"), F.lit(1)).alias("part"))
+    return F.when((at > 0) & (name != "") & (parts != ""), F.array(found).cast(_KIND)).otherwise(F.array().cast(_KIND))
+
+
+def parse_citations(text: Column) -> Column:
+    """Per bracket of a text an array of what it holds: kind, target, page, part; its citation first, then its images."""
+    closed = F.split(text, r"\]")
+    inner = F.transform(F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda p: F.instr(p, "[") > 0), lambda p: F.substring(p, F.instr(p, "[") + 1, F.length(p)))
+
+    def read(bracket: Column) -> Column:
+        parts = F.filter(F.transform(F.split(bracket, ";"), lambda p: F.trim(p)), lambda p: p != "")
+        images = F.filter(F.transform(parts, lambda p: _labelled(p, IMAGE_WORDS)), lambda p: F.coalesce(p, F.lit("")) != "")
+        rest = F.array_join(F.filter(parts, lambda p: _labelled(p, IMAGE_WORDS).isNull()), "; ")
+        shown = F.transform(images, lambda p: F.struct(F.lit("image").alias("kind"), p.alias("target"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("part")))
+        return F.concat(_citation(F.split(rest, ",")), shown.cast(_KIND))
+
+    return F.transform(inner, read)
+
+
+def name_matches(targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """targets: workspace_id, target (different rows, lower case); documents: id, workspace_id, filename. workspace_id, target,
+    document_id: the first whose name equals the target without regard to case, else the first that holds it or is held by it.
+
+    Equality is an equi-join. Only what it leaves is compared by content, once a target however often it is cited; the documents of a
+    workspace are dealt over `_SPLITS` groups for that.
+    """
+    named = documents.where("filename <> ''").select(F.col("id").alias("document_id"), "workspace_id", F.lower(F.trim("filename")).alias("target"))
+    equal = named.join(targets, ["workspace_id", "target"], "left_semi").groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id"))
+    missed = targets.join(equal, ["workspace_id", "target"], "left_anti").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SPLITS - 1))))
+    dealt = named.select("document_id", "workspace_id", F.col("target").alias("_f"), F.pmod(F.xxhash64("document_id"), F.lit(_SPLITS)).cast("int").alias("_s"))
+    held = missed.join(dealt, ["workspace_id", "_s"]).where(F.col("_f").contains(F.col("target")) | F.col("target").contains(F.col("_f")))
+    return equal.unionByName(held.groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id")))
 
 
 def extract_citations(messages: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """messages: id, workspace_id, role, content; documents: id, workspace_id, filename; chunks: doc_id, chunk_index, text.
 
-    Per citation of an assistant's message: message_id, n (its place), kind (citation or image), filename or path, page, part,
-    document_id (the first whose name equals, holds or is held by it, without regard to case), supported (whether that chunk exists).
+    Per citation of an assistant's message: message_id, n (its place), kind (citation or image), target (name or path), page, part,
+    document_id (see name_matches), supported (whether that chunk exists) (O84).
     """
-    brackets = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), "workspace_id", F.posexplode(F.regexp_extract_all("content", F.lit(_BRACKET), F.lit(0))).alias("b", "raw"))
-    inner = F.trim(F.expr("substring(raw, 2, length(raw) - 2)"))
-    parts = F.filter(F.transform(F.split(inner, ";"), lambda p: F.trim(p)), lambda p: p != "")
-    images = F.filter(parts, lambda p: p.rlike(_IMAGE))
-    rest = F.array_join(F.filter(parts, lambda p: ~p.rlike(_IMAGE)), "; ")
-    empty = F.lit(None).cast("string")
-    cited = F.when(rest.rlike(_CITATION), F.array(F.struct(F.lit("citation").alias("kind"), F.regexp_replace(F.trim(F.regexp_extract(rest, _CITATION, 1)), _PREFIX, "").alias("target"), F.nullif(F.regexp_extract(rest, _CITATION, 2), F.lit("")).alias("page"), F.coalesce(F.nullif(F.regexp_extract(F.regexp_extract(rest, _CITATION, 3), r"\d+", 0), F.lit("")), F.lit("1")).alias("part"))))
-    shown = F.transform(images, lambda p: F.struct(F.lit("image").alias("kind"), F.trim(F.regexp_extract(p, _IMAGE, 1)).alias("target"), empty.alias("page"), empty.alias("part")))
-    each = brackets.select("message_id", "workspace_id", "b", F.posexplode(F.concat(F.coalesce(cited, F.array().cast("array<struct<kind:string,target:string,page:string,part:string>>")), shown)).alias("i", "c"))
-    order = Window.partitionBy("message_id").orderBy("b", "i")
-    found = each.select("message_id", "workspace_id", (F.row_number().over(order) - 1).alias("n"), "c.kind", "c.target", F.col("c.page").cast("int").alias("page"), F.col("c.part").cast("int").alias("part"))
-    named = documents.select(F.col("id").alias("document_id"), F.col("workspace_id").alias("_ws"), F.lower("filename").alias("_f"))
-    target = F.lower("target")
-    match = (F.col("workspace_id") == F.col("_ws")) & (F.col("kind") == "citation") & ((F.col("_f") == target) | F.col("_f").contains(target) | target.contains(F.col("_f")))
-    pick = Window.partitionBy("message_id", "n").orderBy(F.asc_nulls_last("document_id"))
-    best = found.join(named, match, "left").withColumn("_r", F.row_number().over(pick)).where("_r = 1")
-    held = chunks.select(F.col("doc_id").alias("document_id"), (F.col("chunk_index") + 1).alias("part"), F.lit(True).alias("_held"))
+    read = F.flatten(parse_citations(F.col("content")))
+    found = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), "workspace_id", F.posexplode(read).alias("n", "c")).select("message_id", "workspace_id", "n", "c.*")
+    keyed = found.withColumn("_key", F.when(F.col("kind") == "citation", F.nullif(F.lower(F.trim("target")), F.lit(""))))
+    targets = keyed.where("_key is not null").select("workspace_id", F.col("_key").alias("target")).distinct()
+    matches = name_matches(targets, documents).withColumnRenamed("target", "_key")
+    best = keyed.join(matches, ["workspace_id", "_key"], "left")
+    held = chunks.select(F.col("doc_id").alias("document_id"), (F.col("chunk_index") + 1).alias("part"), F.lit(True).alias("_held")).distinct()
     return best.join(held, ["document_id", "part"], "left").select("message_id", "n", "kind", "target", "page", "part", "document_id", F.coalesce("_held", F.lit(False)).alias("supported"))
 
 

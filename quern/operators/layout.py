@@ -13,11 +13,15 @@ from ..config import DEFAULT, Config
 from ..functions.text import SPACE, heading_of, norm_text, strip
 
 PAGE = ["doc_id", "page"]
-#: Fonts and symbols of mathematics, fonts of code.
+#: Fonts and symbols of mathematics, fonts of code, signs that make a formula, and the range of private glyphs.
 MATH_FONTS = "cmsy|cmmi|cmr|cambria math|stix|latinmodernmath|asana math|mathjax|mathtime"
 MATH_SYMBOLS = "=+-*/^_∑∫√αβγδθλε≤≥±≠≈∂∇λπ∞×⋅÷μφωηρ"
 CODE_FONTS = "cour|mono|consol"
-EQUATION_NUMBER = r"\(\s*\d+(?:\.\d+)?\s*\)\s*$"
+OPERATORS = "\\=+-^_*/≤≥≠"
+PRIVATE_GLYPHS = "\ue000-\uf8ff"
+_DIGITS = r"\s*\d+"
+#: A number in round brackets, whole or with a part after a full stop, at the end of a text.
+EQUATION_NUMBER = rf"\({_DIGITS}(?:\.\d+)?\s*\)\s*$"
 
 
 def _span_text(line: Column) -> Column:
@@ -108,8 +112,9 @@ def equation_route(lines: Column) -> Column:
     text = equation_stats(lines)["text"]
     body = strip(F.regexp_replace(strip(text), EQUATION_NUMBER, ""))
     stacked = (F.size(lines) > 2) & F.exists(lines, lambda x: F.size(x["spans"]) == 1)
-    plain = ~(body.rlike(r"[\\=+\-^_*/≤≥≠]|[^\x00-\x7f]") & body.rlike(r"[\p{L}\p{N}]") & (F.length(body) >= 2))
-    route = F.when(strip(text) == "", F.lit(None)).when((body == "") | stacked | text.rlike("[-]") | plain, "vision").otherwise("local")
+    signs = "".join(f"\\{c}" if c.isascii() else c for c in OPERATORS)
+    formula = body.rlike(f"[{signs}]|[^\\x00-\\x7f]") & body.rlike(r"[\p{L}\p{N}]") & (F.length(body) >= 2)
+    route = F.when(strip(text) == "", F.lit(None)).when((body == "") | stacked | text.rlike(f"[{PRIVATE_GLYPHS}]") | ~formula, "vision").otherwise("local")
     return F.struct(body.alias("body"), route.alias("route"))
 
 
@@ -203,59 +208,56 @@ def order_blocks(items: DataFrame, pages: DataFrame) -> DataFrame:
     return items.join(places, [*PAGE, "item_no"])
 
 
-class HeadingStack:
-    """At most three headings; a line of about the last one's size or more takes its place, a smaller one goes on top."""
+def heading_stacks(headings: Column, depth: int) -> Column:
+    """headings: array of (heading, size) in order. Per heading the names in force after it, outermost first: one of about the last
+    one's size or more takes its place, a smaller one goes under it unless it says the same; at most `depth` stay."""
 
-    def __init__(self, depth: int):
-        self.depth, self.names, self.last = depth, [], 0.0
+    def push(state: Column, heading: Column) -> Column:
+        names, name = state["names"], heading["heading"]
+        top = F.try_element_at(names, F.lit(-1))
+        beside = F.size(names) > 0
+        longer = F.concat(names, F.array(name))
+        replaced = F.concat(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), F.array(name))
+        kept = F.when(F.size(longer) > depth, F.slice(longer, 2, depth)).otherwise(longer)
+        now = F.when(beside & (heading["size"] >= state["last"] * 0.85), replaced).when(beside & (F.lower(strip(name)) == F.lower(strip(top))), names).otherwise(kept)
+        return F.struct(now.alias("names"), heading["size"].cast("double").alias("last"), F.concat(state["all"], F.array(now)).alias("all"))
 
-    def push(self, name: str, size: float) -> None:
-        if self.names and size >= self.last * 0.85:
-            self.names[-1] = name
-        elif not self.names or name.strip().lower() != self.names[-1].strip().lower():
-            self.names = [*self.names, name][-self.depth :]
-        self.last = size
+    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(0.0).alias("last"), F.array().cast("array<array<string>>").alias("all"))
+    return F.aggregate(headings, start, push, lambda state: state["all"])
 
 
 def emit_segments(items: DataFrame, body: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """items: doc_id, page, order, kind (text, table, image, code, equation), content_type, text, caption, line_info, bbox, image_path,
-    image_kind. Segments doc_id, page_number, order, content_type, text, page_context, breadcrumbs, bbox, image_path, image_kind (O35).
+    """items: doc_id, page, order (different within a page), kind (text, table, image, code, equation), content_type, text, caption,
+    line_info, bbox, image_path, image_kind. Segments doc_id, page_number, order, content_type, text, page_context, breadcrumbs, bbox,
+    image_path, image_kind (O35).
 
-    Which lines are headings is decided by columns; the walk over a page only keeps the stack.
+    A line's place among the headings of its page, a running count, says which stack holds for it; lines of one item with one place
+    are a segment. Only the stacks are folded, over an array of the page's headings.
     """
-    marked = items.join(body, PAGE).withColumn("_lines", F.transform(F.coalesce("line_info", F.array().cast("array<struct<text:string,size:double,bold:boolean>>")), lambda x: F.struct(strip(x["text"]).alias("text"), x["size"].alias("size"), heading_of(strip(x["text"]), x["size"], x["bold"], F.col("body"), config).alias("heading"))))
-    kind = dict(items.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, page_number int, `order` int, content_type string, text string, page_context string, breadcrumbs array<string>, bbox array<struct<x0:double,y0:double,x1:double,y1:double>>, image_path string, image_kind string"
-
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("order")
-        fallback = " ".join(page.loc[page["kind"] == "text", "text"])[: config.page_context_chars]
-        stack, out = HeadingStack(config.heading_stack), []
-
-        def add(item: object, kind: str, text: str) -> None:
-            out.append((item.doc_id, item.page, len(out), kind, text, " | ".join(stack.names) or fallback, list(stack.names), [item.bbox], item.image_path or "", item.image_kind or ""))
-
-        for item in page.itertuples():
-            if item.kind != "text":
-                label = (item.caption or " | ".join(stack.names) or fallback) if item.kind == "table" else ""
-                add(item, item.content_type, f"[Tablo: {label}]\n{item.text}" if label else item.text)
-                continue
-            held: list[str] = []
-            for line in item.marked_lines:
-                if not line["text"]:
-                    continue
-                if line["heading"]:
-                    if held:
-                        add(item, "text", "\n".join(held))
-                    held = []
-                    stack.push(line["heading"], line["size"])
-                held.append(line["text"])
-            if held:
-                add(item, "text", "\n".join(held))
-        return pd.DataFrame(out, columns=["doc_id", "page_number", "order", "content_type", "text", "page_context", "breadcrumbs", "bbox", "image_path", "image_kind"])
-
-    slim = marked.select(*PAGE, "order", "kind", "content_type", "text", "caption", "bbox", "image_path", "image_kind", F.col("_lines").alias("marked_lines"))
-    return slim.groupBy(*PAGE).applyInPandas(walk, schema)
+    none = F.array().cast("array<struct<text:string,size:double,bold:boolean>>")
+    held = F.struct("content_type", "text", "caption", "bbox", "image_path", "image_kind").alias("item")
+    base = items.join(body, PAGE).select(*PAGE, "order", (F.col("kind") == "text").alias("_text"), (F.col("kind") == "table").alias("_table"), held, F.coalesce("line_info", none).alias("_l"), "body")
+    lines = base.where("_text").select(*PAGE, "order", "_text", "_table", "item", "body", F.posexplode("_l").alias("_no", "_line")).withColumn("_t", strip(F.col("_line.text"))).where("_t <> ''")
+    heading = heading_of(F.col("_t"), F.col("_line.size"), F.col("_line.bold"), F.col("body"), config)
+    lines = lines.select(*PAGE, "order", "_text", "_table", "item", "_no", "_t", heading.alias("_heading"), F.col("_line.size").alias("_size"))
+    others = base.where("not _text").select(*PAGE, "order", "_text", "_table", "item", F.lit(0).alias("_no"), F.lit(None).cast("string").alias("_t"), F.lit(None).cast("string").alias("_heading"), F.lit(None).cast("double").alias("_size"))
+    so_far = Window.partitionBy(*PAGE).orderBy("order", "_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.unionByName(others).withColumn("_place", F.count("_heading").over(so_far))
+
+    def ordered(value: Column, when: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("order", "_no", value.alias("v"))))), lambda x: x["v"])
+
+    found = placed.where("_heading is not null").groupBy(*PAGE).agg(heading_stacks(ordered(F.struct(F.col("_heading").alias("heading"), F.col("_size").alias("size")), F.lit(True)), config.heading_stack).alias("_stacks"))
+    texts = base.where("_text").select(*PAGE, "order", F.lit(0).alias("_no"), F.col("item.text").alias("_t")).groupBy(*PAGE).agg(F.left(F.array_join(ordered(F.col("_t"), F.lit(True)), " "), F.lit(config.page_context_chars)).alias("_fallback"))
+    segments = placed.groupBy(*PAGE, "order", "_place").agg(F.first("item").alias("item"), F.first("_text").alias("_text"), F.first("_table").alias("_table"), F.array_join(ordered(F.col("_t"), F.col("_text")), "\n").alias("_lines"))
+    full = segments.join(found, PAGE, "left").join(texts, PAGE, "left")
+    names = F.when(F.col("_place") > 0, F.element_at("_stacks", F.greatest(F.col("_place"), F.lit(1)).cast("int"))).otherwise(F.array().cast("array<string>"))
+    full = full.withColumn("breadcrumbs", names).withColumn("page_context", F.when(F.size("breadcrumbs") > 0, F.array_join("breadcrumbs", " | ")).otherwise(F.coalesce("_fallback", F.lit(""))))
+    label = F.when(F.col("_table"), F.coalesce(F.nullif(F.col("item.caption"), F.lit("")), F.nullif("page_context", F.lit(""))))
+    text = F.when(F.col("_text"), F.col("_lines")).when(label.isNotNull(), F.concat(F.lit("[Tablo: "), label, F.lit("]\n"), "item.text")).otherwise(F.col("item.text"))
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("order", "_place")) - 1
+    kind = F.when(F.col("_text"), F.lit("text")).otherwise(F.col("item.content_type"))
+    return full.select("doc_id", F.col("page").alias("page_number"), place.alias("order"), kind.alias("content_type"), text.alias("text"), "page_context", "breadcrumbs", F.array("item.bbox").alias("bbox"), F.coalesce("item.image_path", F.lit("")).alias("image_path"), F.coalesce("item.image_kind", F.lit("")).alias("image_kind"))
 
 
 def image_candidates(images: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
