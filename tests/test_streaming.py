@@ -7,26 +7,82 @@ def write(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_ingest_is_idempotent(spark):
+def store_of(spark, root):
+    return ingest.ChunkStore(spark, f"{root}/store", "doc_id string, chunk_index int, text string, version bigint", buckets=8)
+
+
+def held(store):
+    return sorted((r.doc_id, r.chunk_index, r.text) for r in store.read().collect())
+
+
+def test_ingest_and_cancel(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     schema = "doc_id string, content binary"
-    store = ingest.ChunkStore(spark, f"{root}/store", "doc_id string, chunk_index int, text string, version bigint")
+    store = store_of(spark, root)
+    assert held(store) == []
 
-    def run(checkpoint):
-        ingest.ingest_text(spark.readStream.schema(schema).parquet(f"{root}/in"), store, checkpoint, f"{root}/errors").awaitTermination()
-        return sorted((r.doc_id, r.chunk_index, r.text) for r in store.read().collect())
+    def run(checkpoint="c1"):
+        ingest.ingest_text(spark.readStream.schema(schema).parquet(f"{root}/in"), store, f"{root}/{checkpoint}", f"{root}/errors").awaitTermination()
+        return held(store)
+
+    def cancel(doc_id):
+        write(spark, f"{root}/cancel", [(doc_id,)], "doc_id string")
+        ingest.delete_cancelled(spark.readStream.schema("doc_id string").parquet(f"{root}/cancel"), store, f"{root}/c2").awaitTermination()
+        return held(store)
 
     write(spark, f"{root}/in", [("a", b"one"), ("b", b"two"), ("c", b"  ")], schema)
-    first = run(f"{root}/c1")
-    assert first == [("a", 0, "one"), ("b", 0, "two")]
+    assert run() == [("a", 0, "one"), ("b", 0, "two")]
     assert [r.doc_id for r in spark.read.parquet(f"{root}/errors").collect()] == ["c"]
     write(spark, f"{root}/in", [("a", b"newer")], schema)
-    second = run(f"{root}/c1")
-    assert second == [("a", 0, "newer"), ("b", 0, "two")]
-    write(spark, f"{root}/cancel", [("b",)], "doc_id string")
-    cancelled = spark.readStream.schema("doc_id string").parquet(f"{root}/cancel")
-    ingest.delete_cancelled(cancelled, store, f"{root}/c2").awaitTermination()
-    assert [r.doc_id for r in store.read().collect()] == ["a"]
+    before = store.places()
+    assert run() == [("a", 0, "newer"), ("b", 0, "two")]
+    assert sum(before.get(b) == place for b, place in store.places().items()) == len(before) - 1  # one bucket was written
+    assert cancel("a") == [("b", 0, "two")]
+    write(spark, f"{root}/in", [("c", b"three")], schema)
+    assert run() == [("b", 0, "two"), ("c", 0, "three")]
+    assert cancel("b") == [("c", 0, "three")] and cancel("nobody") == [("c", 0, "three")]
+    write(spark, f"{root}/in", [("b", b"back")], schema)
+    assert run() == [("b", 0, "back"), ("c", 0, "three")]
+
+
+def test_shorter_document_leaves_no_tail(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    store, schema = store_of(spark, root), "doc_id string, content binary"
+    for content in (b"word " * 1500, b"short now"):
+        write(spark, f"{root}/in", [("a", content)], schema)
+        ingest.ingest_text(spark.readStream.schema(schema).parquet(f"{root}/in"), store, f"{root}/c").awaitTermination()
+        n = len(held(store))
+        assert n > 4 if len(content) > 100 else n == 1
+
+
+def test_replayed_batch_is_put_in_once(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    store = store_of(spark, root)
+    rows = lambda t: spark.createDataFrame([("a", 0, t, 1)], store.schema)
+    store.replace(rows("first"), rows("first"), "w", 0)
+    store.replace(rows("other"), rows("other"), "w", 0)
+    assert held(store) == [("a", 0, "first")]
+    store.replace(rows("second"), rows("second"), "w", 1)
+    assert held(store) == [("a", 0, "second")]
+    store.replace(None, spark.createDataFrame([], "doc_id string"), "w", 2)
+    assert held(store) == [("a", 0, "second")] and store._manifest().count() == 3
+
+
+def test_changed_workspaces_and_answers(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    write(spark, f"{root}/changes", [("w",), ("w",), ("v",)], "workspace_id string")
+    seen = []
+    ingest.on_changed_workspaces(spark.readStream.schema("workspace_id string").parquet(f"{root}/changes"), lambda df, n: seen.append(sorted(r[0] for r in df.collect())), f"{root}/c").awaitTermination()
+    assert seen == [["v", "w"]]
+    chunks = spark.createDataFrame([("w", 1, 0, "elma armut", [1.0, 0.0]), ("w", 2, 0, "kiraz", [0.0, 1.0])], "workspace_id string, doc_id bigint, chunk_index int, text string, embedding array<float>")
+    asked = "q_id bigint, workspace_id string, question string, embedding array<float>"
+    write(spark, f"{root}/questions", [(1, "w", "elma", [0.8, 0.6]), (2, "w", "zzz", [-1.0, -1.0])], asked)
+    ingest.answer_stream(spark.readStream.schema(asked).parquet(f"{root}/questions"), chunks, f"{root}/out", f"{root}/c3").awaitTermination()
+    rows = spark.read.parquet(f"{root}/out").collect()
+    assert [(r.doc_id, r.passed) for r in sorted(rows, key=lambda r: (r.q_id, r["rank"] or 0))] == [(1, True), (2, True), (None, False)]
+    assert all(r.score is None and r.bm25 is None for r in rows if not r.passed)
+    latest = ingest.latest_status(spark.createDataFrame([(1, "pending", 1), (1, "embedding", 2)], "document_id int, status string, seq int")).collect()
+    assert [(r.document_id, r.status) for r in latest] == [(1, "embedding")]
 
 
 def test_fold_statuses(spark):
