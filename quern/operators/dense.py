@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -38,50 +40,122 @@ def check_dim(chunks: DataFrame, expected: int | None = None) -> int:
     return low
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def with_norm(df: DataFrame) -> DataFrame:
-    """Norms once a row, not once a pair."""
-    return df.withColumn("_norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
-
-
-def _ranked(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    q = with_norm(questions.where("embedding is not null").select("q_id", "workspace_id", "embedding")).select("q_id", "workspace_id", F.col("embedding").alias("_q"), F.col("_norm").alias("_qn"))
-    c = with_norm(chunks.where("embedding is not null").select("workspace_id", "doc_id", "chunk_index", "embedding"))
-    q_norm = F.when(F.col("_qn") == 0, 1.0).otherwise(F.col("_qn"))
-    pairs = c.join(q, "workspace_id").withColumn("sim", F.round(_dot(F.col("embedding"), F.col("_q")) / (F.col("_norm") * q_norm + 1e-9), 9))
-    best = Window.partitionBy("q_id").orderBy(F.desc("sim"), "doc_id", "chunk_index")
-    return pairs.withColumn("dense_rank", F.row_number().over(best) - 1).where(F.col("dense_rank") < k)
+def claim_collection(chunks: DataFrame, path: str, model: str) -> dict:
+    """The collection's record {"dim", "model"} (O49). The first insert writes it to `path`; later ones are checked against it and raise
+    on another length or another model's name, before anything of theirs is written. A batch without vectors claims nothing."""
+    spark = chunks.sparkSession
+    dim = check_dim(chunks)
+    known = collection(spark, path)
+    if known and known["model"] != model:
+        raise ValueError(f"vectors of {model}, the collection has those of {known['model']}")
+    if known and dim is not None and known["dim"] != dim:
+        raise ValueError(f"vectors of {dim} components, the collection has {known['dim']}")
+    if not known and dim is not None:
+        spark.createDataFrame([(dim, model)], "dim int, model string").coalesce(1).write.parquet(path)
+    return known or {"dim": dim, "model": model}
+
+
+def collection(spark: SparkSession, path: str) -> dict | None:
+    """The record of a collection, None before its first insert."""
+    try:
+        row = spark.read.schema("dim int, model string").parquet(path).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row and row.asDict()
+
+
+def _vectors(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a vector, its length as `d`."""
+    return df.where("embedding is not null and size(embedding) > 0").select("workspace_id", *columns, F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("d"))
+
+
+def _ranked(questions: DataFrame, chunks: DataFrame, k: int, epsilon: float, rows: int = 4096, asked: int = 512) -> DataFrame:
+    """q_id, doc_id, chunk_index, sim, dense_rank of the k nearest chunks of a question's workspace and vector length.
+
+    A workspace's chunks are dealt into blocks of about `rows` and its questions into blocks of `asked`. A pair of blocks is one product
+    of matrices, which keeps k rows of each question; so vectors travel by block, never by pair, and a workspace of any size is many tasks.
+    """
+    key = ["workspace_id", "d"]
+    c, q = _vectors(chunks, "doc_id", "chunk_index"), _vectors(questions, "q_id")
+    blocks = c.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n")).join(q.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("_m")), key)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = c.join(blocks, key).select(*key, F.pmod(F.xxhash64("doc_id", "chunk_index"), "_n").cast("int").alias("i"), each("_m").alias("j"), "doc_id", "chunk_index", "embedding")
+    right = q.join(blocks, key).select(*key, each("_n").alias("i"), F.pmod(F.xxhash64("q_id"), "_m").cast("int").alias("j"), "q_id", "embedding")
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        column = table["embedding"].combine_chunks()
+        return np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+    def best(of_chunks: pa.Table, of_questions: pa.Table) -> pa.Table:
+        of_chunks = of_chunks.sort_by([("doc_id", "ascending"), ("chunk_index", "ascending")])
+        x, y = matrix(of_chunks), matrix(of_questions)
+        norm, own = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        scale = own[:, None] * norm[None, :] + epsilon if not epsilon else np.where(own == 0, 1.0, own)[:, None] * norm[None, :] + epsilon
+        sim = np.round(np.divide(y @ x.T, scale, out=np.zeros((len(y), len(x))), where=scale > 0), 9)
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(y)), top.shape[1])
+        at = pa.array(top.ravel())
+        return pa.table({"q_id": of_questions["q_id"].take(pa.array(row)), "doc_id": of_chunks["doc_id"].take(at), "chunk_index": of_chunks["chunk_index"].take(at), "sim": pa.array(sim[row, top.ravel()])})
+
+    kinds = {**dict(questions.dtypes), **dict(chunks.dtypes)}
+    schema = ", ".join(f"{name} {kinds[name]}" for name in ("q_id", "doc_id", "chunk_index")) + ", sim double"
+    found = left.groupBy(*key, "i", "j").cogroup(right.groupBy(*key, "i", "j")).applyInArrow(lambda a, b: best(a, b) if a.num_rows and b.num_rows else _nothing(a, b), schema)
+    order = Window.partitionBy("q_id").orderBy(F.desc("sim"), "doc_id", "chunk_index")
+    return found.withColumn("dense_rank", F.row_number().over(order) - 1).where(F.col("dense_rank") < k)
+
+
+def _nothing(of_chunks: pa.Table, of_questions: pa.Table) -> pa.Table:
+    kinds = {f.name: f.type for t in (of_chunks, of_questions) for f in t.schema}
+    return pa.table({n: pa.array([], kinds.get(n, pa.float64())) for n in ("q_id", "doc_id", "chunk_index", "sim")})
 
 
 def exact_cosine(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT) -> DataFrame:
-    """q_id, doc_id, chunk_index, sim, dense_rank (from 0) of the k nearest chunks of the question's workspace."""
-    return _ranked(questions, chunks, k or config.dense_k).select("q_id", "doc_id", "chunk_index", "sim", "dense_rank")
+    """q_id, doc_id, chunk_index, sim (nine decimals), dense_rank (from 0) of the k nearest chunks of the question's workspace.
+    The product of norms is raised by 1e-9, and a question of norm 0 counts as 1. Ties go by doc_id and chunk_index."""
+    return _ranked(questions, chunks, k or config.dense_k, 1e-9)
 
 
 def dense_topk(questions: DataFrame, chunks: DataFrame, k: int | None = None, zero_distance: str = "reference", config: Config = DEFAULT) -> DataFrame:
-    """As exact_cosine with `score`, the similarity to four decimals (O50). A distance of 0 scores 0.0, or 1.0 with zero_distance="one"."""
+    """q_id, doc_id, chunk_index, score, dense_rank by cosine distance (O50): the score is 1 - distance to four decimals. A distance of 0
+    (to nine decimals) scores 0.0 and keeps its rank; with zero_distance="one" it scores 1.0. A vector of zeros is at distance 1."""
     score = F.when(F.col("sim") >= 1.0, F.lit(1.0 if zero_distance == "one" else 0.0)).otherwise(F.round("sim", 4))
-    return _ranked(questions, chunks, k or config.dense_k).select("q_id", "doc_id", "chunk_index", score.alias("score"), "dense_rank")
+    return _ranked(questions, chunks, k or config.dense_k, 0.0).select("q_id", "doc_id", "chunk_index", score.alias("score"), "dense_rank")
 
 
-def approx_topk(questions: DataFrame, chunks: DataFrame, k: int | None = None, bucket_length: float = 2.0, tables: int = 6, config: Config = DEFAULT) -> DataFrame:
-    """Candidates by random projections of unit vectors, ranked exactly (O52). Columns as exact_cosine; recall depends on the data."""
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def approx_topk(questions: DataFrame, chunks: DataFrame, k: int | None = None, bucket_length: float = 0.3, hashes: int = 3, tables: int = 12, config: Config = DEFAULT) -> DataFrame:
+    """Candidates by random projections of unit vectors, ranked exactly (O52). Columns as exact_cosine.
+
+    A table's key is `hashes` projections together, in steps of `bucket_length`; a chunk is a candidate if it shares a key in one of the
+    `tables`. Recall depends on the data: measure it with `recall`.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     def unit(df: DataFrame) -> DataFrame:
-        df = with_norm(df.where("embedding is not null")).where("_norm > 0")
+        df = df.where("embedding is not null").withColumn("_norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding")))).where("_norm > 0")
         return df.withColumn("unit", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("_norm"))))
 
     q = unit(questions.select("q_id", "workspace_id", "embedding"))
     c = unit(chunks.select("workspace_id", "doc_id", "chunk_index", "embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=5).fit(c)
-    keyed = lambda df: model.transform(df).withColumn("_b", F.explode(F.transform("hashes", lambda h, i: F.xxhash64(i, h.cast("string")))))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables * hashes, seed=5).fit(c)
+    key = lambda t: F.xxhash64(t, *(F.element_at("hashes", t * hashes + i + 1).cast("string") for i in range(hashes)))
+    keyed = lambda df: model.transform(df).withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), key)))
     hits = keyed(q).select("q_id", "workspace_id", "_b").join(keyed(c).select("workspace_id", "_b", "doc_id", "chunk_index"), ["workspace_id", "_b"]).select("q_id", "doc_id", "chunk_index").distinct()
     near = hits.join(questions.select("q_id", "embedding").withColumnRenamed("embedding", "_q"), "q_id").join(chunks.select("doc_id", "chunk_index", "embedding"), ["doc_id", "chunk_index"])
     sim = F.round(_dot(F.col("embedding"), F.col("_q")) / (F.sqrt(_dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(_dot(F.col("_q"), F.col("_q"))) + 1e-9), 9)
     best = Window.partitionBy("q_id").orderBy(F.desc("sim"), "doc_id", "chunk_index")
     return near.withColumn("sim", sim).withColumn("dense_rank", F.row_number().over(best) - 1).where(F.col("dense_rank") < (k or config.dense_k)).select("q_id", "doc_id", "chunk_index", "sim", "dense_rank")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: n (rows of `exact`: q_id, doc_id, chunk_index), hits (those that `found` has too), recall (1.0 if there are none)."""
+    keys = ["q_id", "doc_id", "chunk_index"]
+    both = exact.select(*keys).join(found.select(*keys, F.lit(1).alias("_hit")).distinct(), keys, "left")
+    counts = both.agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
+    return counts.withColumn("recall", F.when(F.col("n") == 0, 1.0).otherwise(F.col("hits") / F.col("n")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import tokenize
+from ..sources.scratch import materialize
 
 CHUNK = ["workspace_id", "doc_id", "chunk_index"]
 
@@ -45,13 +46,14 @@ def expand_terms(questions: DataFrame, vocab: DataFrame, config: Config = DEFAUL
     exact = vocab.select("workspace_id", F.col("term").alias("token"), "idf")
     found = tokens.join(exact, ["workspace_id", "token"]).select("q_id", "workspace_id", "pos", "token", F.col("token").alias("term"), "idf")
     order = Window.partitionBy("workspace_id", "prefix").orderBy("first")
-    ranked = vocab.where(F.length("term") >= config.stem_min).withColumn("prefix", F.left("term", F.lit(config.stem_min))).withColumn("rn", F.row_number().over(order))
-    useful = ranked.where(F.col("rn") <= config.stem_cap + 1)
-    own = vocab.where(F.length("term") >= config.stem_min).withColumn("prefix", F.left("term", F.lit(config.stem_min))).withColumn("rn", F.row_number().over(order)).select("workspace_id", F.col("term").alias("token"), F.col("rn").alias("own_rn"))
+    long = vocab.where(F.length("term") >= config.stem_min).withColumn("prefix", F.left("term", F.lit(config.stem_min)))
+    useful = long.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= config.stem_cap + 1)
+    # a token that is a term itself takes one place, and moves those up that first appear after it
+    own = long.select("workspace_id", F.col("term").alias("token"), F.col("first").alias("own"))
     wanted = tokens.where("prefix is not null").join(own, ["workspace_id", "token"], "left")
-    near = wanted.join(useful.select("workspace_id", "prefix", "term", "idf", "rn"), ["workspace_id", "prefix"]).where("term <> token")
-    place = F.col("rn") - F.when(F.col("own_rn") < F.col("rn"), 1).otherwise(0)
-    room = config.stem_cap - F.when(F.col("own_rn").isNotNull(), 1).otherwise(0)
+    near = wanted.join(useful.select("workspace_id", "prefix", "term", "idf", "rn", "first"), ["workspace_id", "prefix"]).where("term <> token")
+    place = F.col("rn") - F.when(F.col("own") < F.col("first"), 1).otherwise(0)
+    room = config.stem_cap - F.when(F.col("own").isNotNull(), 1).otherwise(0)
     return found.unionByName(near.where(place <= room).select("q_id", "workspace_id", "pos", "token", "term", "idf"))
 
 
@@ -78,11 +80,13 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, scores: DataFrame, k: int
     return both.withColumn("bm25_rank", F.row_number().over(best) - 1).where(F.col("bm25_rank") < k)
 
 
-def search(questions: DataFrame, chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """bm25_topk from the text."""
-    index = postings(chunks)
+def search(questions: DataFrame, chunks: DataFrame, config: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+    """bm25_topk from the text. `index`: the postings of chunks as a written table; else they are derived here and written once, for
+    statistics, vocabulary and scores each read them."""
+    index = materialize(postings(chunks), "postings") if index is None else index
     stats = corpus_stats(chunks, index)
-    scores = bm25_scores(expand_terms(questions, vocabulary(index, stats), config), index, stats, config)
+    expanded = expand_terms(questions, vocabulary(index, stats), config)
+    scores = materialize(bm25_scores(expanded, index, stats, config), "bm25")  # ranked, and taken out of the fillers
     return bm25_topk(questions, chunks, scores, config=config)
 
 

@@ -6,13 +6,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import enrich
+from ..operators.chunking import chunk_segments
+from ..sources.scratch import spread
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: White space, as RE2 writes it.
+SQL_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+
+
+def sql_collapse(x: str) -> str:
+    return sql_strip(f"regexp_replace({x}, '{SQL_SPACE}+', ' ', 'g')")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; documents are dealt out to all cores, since all that is done to texts costs more than moving them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").selectExpr(
+    return read(spark, sf_dir, "documents").selectExpr(
         "doc_id AS id", "source AS workspace_id", "concat('doc_', doc_id, '.txt') AS filename", "text", "cast(octet_length(text) AS bigint) AS size",
         "CASE doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'embedded' END AS status",
         "CASE WHEN doc_id % 3 = 0 THEN concat('Summary of ', doc_id) END AS summary",
@@ -29,8 +46,11 @@ DOCUMENTS = """docs AS (SELECT doc_id AS id, source AS workspace_id, 'doc_' || d
 
 
 def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those whose name ends in 2 have the signature of their documents stored."""
     rows = documents(spark, sf_dir).groupBy(F.col("workspace_id").alias("id")).agg(F.min("created_at").alias("created_at"))
-    return rows.selectExpr("id", "concat('Workspace ', id) AS name", "CASE WHEN right(id, 1) IN ('1', '2') THEN concat('About ', id) END AS summary", "cast(NULL AS array<bigint>) AS summary_docs", "created_at")
+    rows = rows.selectExpr("id", "concat('Workspace ', id) AS name", "CASE WHEN right(id, 1) IN ('1', '2') THEN concat('About ', id) END AS summary", "created_at")
+    stored = enrich.signatures(documents(spark, sf_dir)).select(F.col("workspace_id").alias("id"), F.when(F.right("workspace_id", F.lit(1)) == "2", F.col("signature")).alias("signature"))
+    return rows.join(stored, "id")
 
 
 WORKSPACES = """ws AS (SELECT workspace_id AS id, 'Workspace ' || workspace_id AS name,
@@ -38,7 +58,7 @@ WORKSPACES = """ws AS (SELECT workspace_id AS id, 'Workspace ' || workspace_id A
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").where("role <> 'system'").selectExpr(
+    return read(spark, sf_dir, "conversations").where("role <> 'system'").selectExpr(
         "concat(conv_id, ':', lpad(cast(turn AS string), 5, '0')) AS id", "concat('src', conv_id % 20) AS workspace_id", "role", "text AS content",
         "timestampadd(MINUTE, turn, TIMESTAMP'2024-01-01 00:00:00') AS created_at",
     )
@@ -49,8 +69,8 @@ MESSAGES = """msgs AS (SELECT conv_id || ':' || lpad(turn::VARCHAR, 5, '0') AS i
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _read(spark, sf_dir, "documents").count()
-    return _read(spark, sf_dir, "events").selectExpr(
+    n = read(spark, sf_dir, "documents").count()
+    return read(spark, sf_dir, "events").selectExpr(
         "event_id AS id", f"event_id % {max(1, n)} AS document_id", "concat('src', user_id % 20) AS workspace_id",
         "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END AS level", "event_type AS stage", "props AS message", "ts AS created_at",
     )
@@ -61,7 +81,7 @@ LOGS = """logs AS (SELECT event_id AS id, event_id % (SELECT count(*) FROM docum
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").selectExpr(
+    return read(spark, sf_dir, "documents").selectExpr(
         "doc_id AS document_id", "CASE doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'completed' END AS status",
         "CASE WHEN doc_id % 14 = 0 THEN 0 ELSE 5 END AS progress", "CASE WHEN doc_id % 14 NOT IN (0, 7) THEN 'stopped' END AS error",
         "timestampadd(MINUTE, doc_id, TIMESTAMP'2024-01-01 00:00:00') AS updated_at",
@@ -74,7 +94,7 @@ JOBS = """jobs AS (SELECT doc_id AS document_id, CASE doc_id % 7 WHEN 0 THEN 'fa
 
 
 def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").where("doc_id % 4 > 0").selectExpr("doc_id AS document_id", "explode(sequence(0, cast(doc_id % 4 AS int) - 1)) AS position")
+    rows = read(spark, sf_dir, "documents").where("doc_id % 4 > 0").selectExpr("doc_id AS document_id", "explode(sequence(0, cast(doc_id % 4 AS int) - 1)) AS position")
     return rows.selectExpr("document_id", "position", "concat('Question ', document_id, '.', position) AS question")
 
 
@@ -82,24 +102,57 @@ DOCUMENT_QUESTIONS = """dq AS (SELECT document_id, position, 'Question ' || docu
   FROM (SELECT doc_id AS document_id, unnest(range(0, doc_id % 4))::INT AS position FROM documents WHERE doc_id % 4 > 0))"""
 
 
+# chunks: each document a segment, cut up
+
+NORMAL = f"""normal AS (SELECT doc_id, source, {sql_strip("list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), '([{L}])-' || '{S}*' || chr(10) || '{S}*([{L}])', '{BACK}', 'g'), '[➨➔→]', ' ', 'g'), chr(10)), lambda line: " + sql_collapse("line") + "), 'string_agg', chr(10))").replace("{L}", r"\p{L}\p{N}_").replace("{S}", SQL_SPACE).replace("{BACK}", r"\1\2")} AS t FROM documents)"""
+
+#: The cuts of each normalised text: start and end by code point, one row a window.
+CUTS = """cuts AS (
+  SELECT doc_id, 0 AS n, 0 AS start, 0 AS stop, false AS done, t FROM normal WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, n + 1, nstart, nstop, nstop >= length(t), t FROM (
+    SELECT *, CASE WHEN cut > nstart + 700 THEN cut ELSE e END AS nstop FROM (
+      SELECT *, CASE WHEN e >= length(t) THEN -1 WHEN nl > nstart + 700 THEN nl ELSE sp END AS cut FROM (
+        SELECT *, CASE WHEN strpos(reverse(w), chr(10)) = 0 THEN -1 ELSE e - strpos(reverse(w), chr(10)) END AS nl, CASE WHEN strpos(reverse(w), ' ') = 0 THEN -1 ELSE e - strpos(reverse(w), ' ') END AS sp FROM (
+          SELECT *, substring(t, nstart + 1, e - nstart) AS w FROM (
+            SELECT *, least(nstart + 1400, length(t)) AS e FROM (
+              SELECT doc_id, n, t, CASE WHEN n = 0 THEN 0 WHEN strpos(substring(t, s + 1, least(s + 210, length(t)) - s), ' ') > 0 THEN s + strpos(substring(t, s + 1, least(s + 210, length(t)) - s), ' ') ELSE s END AS nstart
+              FROM (SELECT *, greatest(stop - 210, start + 1) AS s FROM cuts WHERE NOT done)))))))),
+raw AS (SELECT doc_id, n, """ + sql_strip("substring(t, start + 1, stop - start)") + """ AS p FROM cuts WHERE n > 0),
+numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS c, lead(p) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM raw WHERE p <> ''),
+pieces AS (SELECT doc_id, i::INT AS i, CASE WHEN c > 1 AND i = c - 2 AND length(after) < 420 THEN p || chr(10) || chr(10) || after ELSE p END AS piece FROM numbered WHERE NOT (c > 1 AND i = c - 1 AND length(p) < 420))"""
+
+
+def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one segment."""
+    return read(spark, sf_dir, "documents").selectExpr("doc_id", "1 AS page_number", "0 AS order", "'text' AS content_type", "text", "left(text, 200) AS page_context", "array(source, lang) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one chunk of its whole text."""
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = _read(spark, sf_dir, "documents").selectExpr("source AS workspace_id", "doc_id", "0 AS chunk_index", "concat('doc_', doc_id, '.txt') AS name", "text", "'text' AS content_type", "1 AS page_number", "left(text, 200) AS page_context", "array(source, lang) AS breadcrumbs", "cast(NULL AS string) AS image_path")
-    return rows.join(vectors, "doc_id", "left")
+    """Chunks of all documents (O41 to O45). A document's vector is its first chunk's; those that questions have are left out."""
+    own = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    vectors = read(spark, sf_dir, "embeddings").join(own, "vec_id", "left_anti").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding")
+    rows = chunk_segments(text_segments(spark, sf_dir)).select(F.element_at("breadcrumbs", 1).alias("workspace_id"), "doc_id", "chunk_index", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("embed_text").alias("text"), "content_type", "page_number", "page_context", "breadcrumbs", F.nullif("image_path", F.lit("")).alias("image_path"))
+    return rows.join(vectors, ["doc_id", "chunk_index"], "left")
 
 
-CHUNKS = "chunks AS (SELECT source AS workspace_id, doc_id, 0 AS chunk_index, text, lang, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
+CHUNKS = f"""{NORMAL},
+{CUTS},
+chunks AS (SELECT source AS workspace_id, doc_id, i AS chunk_index, piece AS text, lang, left(documents.text, 200) AS page_context, CASE WHEN i = 0 THEN embedding END AS embedding
+  FROM pieces JOIN documents USING (doc_id) LEFT JOIN embeddings ON vec_id = doc_id AND vec_id NOT IN (SELECT item_id FROM benchmark))"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for each benchmark passage, asked of one workspace; every tenth is a word that no text has."""
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q_id"), "embedding")
-    rows = _read(spark, sf_dir, "benchmark").selectExpr("item_id AS q_id", "concat('src', item_id % 20) AS workspace_id", "CASE WHEN item_id % 10 = 0 THEN concat('zzqxv', item_id) ELSE text END AS question")
-    return rows.join(vectors, "q_id", "left")
+    """Each benchmark passage asked of every workspace (a few, from one row that lists them); every tenth is a word that no text has."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    names = read(spark, sf_dir, "documents").agg(F.sort_array(F.collect_set("source")).alias("_names"))
+    rows = read(spark, sf_dir, "benchmark").selectExpr("item_id", "CASE WHEN item_id % 10 = 0 THEN concat('zzqxv', item_id) ELSE text END AS question").join(vectors, "item_id", "left")
+    return rows.join(F.broadcast(names)).select("item_id", "question", "embedding", F.posexplode("_names").alias("_w", "workspace_id")).select((F.col("item_id") * 1000 + F.col("_w")).alias("q_id"), "workspace_id", "question", "embedding")
 
 
-QUESTIONS = "questions AS (SELECT item_id AS q_id, 'src' || (item_id % 20) AS workspace_id, CASE WHEN item_id % 10 = 0 THEN 'zzqxv' || item_id ELSE text END AS question, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"
+QUESTIONS = """places AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS w FROM (SELECT DISTINCT source FROM documents)),
+questions AS (SELECT item_id * 1000 + w AS q_id, source AS workspace_id, CASE WHEN item_id % 10 = 0 THEN 'zzqxv' || item_id ELSE text END AS question, embedding
+  FROM benchmark CROSS JOIN places LEFT JOIN embeddings ON vec_id = item_id)"""
 
 #: Tokens of a text as a list.
 TOKENS = r"""flatten(list_transform(regexp_extract_all(lower(translate({0}, 'İI', 'iı')), '[\p{{L}}\p{{N}}_]+(?:[-./][\p{{L}}\p{{N}}_]+)*'),
@@ -124,13 +177,15 @@ words AS (
   SELECT q_id, c.doc_id, c.chunk_index, coalesce(bm25, 0.0) AS bm25, row_number() OVER (PARTITION BY q_id ORDER BY coalesce(bm25, 0.0) DESC, c.doc_id, c.chunk_index) - 1 AS bm25_rank
   FROM questions q JOIN chunks c USING (workspace_id) LEFT JOIN scores s USING (q_id, doc_id, chunk_index) QUALIFY bm25_rank < 8)"""
 
-DENSE = """sims AS (
-  SELECT q_id, doc_id, chunk_index, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])
-    / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-9), 9) AS sim
+#: Nearest chunks, with the norms' product raised by a billionth (exact) and without (near).
+_COSINE = "list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"
+DENSE = f"""sims AS (
+  SELECT q_id, doc_id, chunk_index, round({_COSINE} + 1e-9), 9) AS sim, round({_COSINE}), 9) AS cosine
   FROM questions q JOIN chunks c USING (workspace_id) WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
+exact AS (SELECT q_id, doc_id, chunk_index, sim, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, doc_id, chunk_index) - 1 AS dense_rank FROM sims QUALIFY dense_rank < 8),
 near AS (
-  SELECT q_id, doc_id, chunk_index, sim, CASE WHEN sim >= 1.0 THEN 0.0 ELSE round(sim, 4) END AS score,
-    row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, doc_id, chunk_index) - 1 AS dense_rank FROM sims QUALIFY dense_rank < 8)"""
+  SELECT q_id, doc_id, chunk_index, CASE WHEN cosine >= 1.0 THEN 0.0 ELSE round(cosine, 4) + 0.0 END AS score,
+    row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, doc_id, chunk_index) - 1 AS dense_rank FROM sims QUALIFY dense_rank < 8)"""
 
 FUSED = """fused AS (
   SELECT q_id, doc_id, chunk_index, score, dense_rank, bm25, bm25_rank, rrf, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST) - 1 AS fused_rank
@@ -155,7 +210,7 @@ _PAGE_BLOCKS = "explode(concat(array(named_struct('no', 0, 'text', concat('Repor
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "source", "split(text, '\n') AS l").selectExpr("doc_id", "source", "l", "explode(sequence(1, cast(ceil(size(l) / 40.0) AS int))) AS page")
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id", "source", "split(text, '\n') AS l").selectExpr("doc_id", "source", "l", "explode(sequence(1, cast(ceil(size(l) / 40.0) AS int))) AS page")
     rows = rows.selectExpr("doc_id", "source", "page", "slice(l, (page - 1) * 40 + 1, 40) AS lines").selectExpr("doc_id", "page", _PAGE_BLOCKS)
     rows = rows.selectExpr("doc_id", "page", "b.no AS block_no", "b.text AS text", "CASE WHEN b.no = 0 THEN 20.0D ELSE 100.0D + 14 * ((b.no - 1) % 40) END AS y0")
     rows = rows.selectExpr("*", "named_struct('x0', 72.0D, 'y0', y0, 'x1', 540.0D, 'y1', y0 + 12) AS bbox", "CASE WHEN block_no % 40 = 1 THEN 16.0D ELSE 11.0D END AS size", "CASE WHEN (doc_id + block_no) % 9 = 0 THEN 'Courier' ELSE 'Helvetica' END AS font", "CASE WHEN block_no % 7 = 0 THEN 16 ELSE 0 END AS flags")
@@ -170,7 +225,7 @@ blocks AS (SELECT *, CASE WHEN block_no = 0 THEN 20.0 ELSE 100.0 + 14 * ((block_
 
 
 def pages_geom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(1, cast(ceil(size(split(text, '\n')) / 40.0) AS int))) AS page")
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(1, cast(ceil(size(split(text, '\n')) / 40.0) AS int))) AS page")
     return rows.selectExpr("doc_id", "page", "612.0D AS width", "792.0D AS height")
 
 
@@ -190,51 +245,15 @@ PAGE_IMAGES = """imgs AS (SELECT doc_id, page, image_no, (doc_id + image_no) % 3
 
 
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, ' ')) AS (word_no, text)")
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, ' ')) AS (word_no, text)")
     return rows.selectExpr("cast(doc_id AS string) AS image_id", "word_no", "text", "CASE WHEN word_no % 10 = 0 THEN -1.0D ELSE cast(60 + doc_id % 40 AS double) END AS conf", "0 AS left", "0 AS top", "cast(5 * length(text) AS int) AS width", "10 AS height", "cast(500 + doc_id AS int) AS img_w", "1000 AS img_h")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line a segment; every fourth a table, every third of the rest an equation."""
-    rows = _read(spark, sf_dir, "documents").selectExpr("doc_id", "source", "posexplode(split(text, '\n')) AS (order, text)")
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id", "source", "posexplode(split(text, '\n')) AS (order, text)")
     return rows.selectExpr("doc_id", "cast(order div 40 AS int) + 1 AS page_number", "order", "CASE WHEN order % 4 = 3 THEN 'table' WHEN order % 4 = 2 THEN 'equation' ELSE 'text' END AS content_type", "text", "concat('ctx', order div 3) AS page_context", "array(source) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
 
 
 SEGMENTS = """segs AS (SELECT doc_id, o::INT AS o, (o // 40)::INT + 1 AS page_number, CASE WHEN o % 4 = 3 THEN 'table' WHEN o % 4 = 2 THEN 'equation' ELSE 'text' END AS kind, text, 'ctx' || (o // 3) AS ctx
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS o FROM documents))"""
-
-
-def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one segment."""
-    return _read(spark, sf_dir, "documents").selectExpr("doc_id", "1 AS page_number", "0 AS order", "'text' AS content_type", "text", "left(text, 200) AS page_context", "array(source) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
-
-
-#: White space, as RE2 writes it.
-SQL_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
-
-
-def sql_collapse(x: str) -> str:
-    return sql_strip(f"regexp_replace({x}, '{SQL_SPACE}+', ' ', 'g')")
-
-
-NORMAL = f"""normal AS (SELECT doc_id, source, {sql_strip("list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), '([{L}])-' || '{S}*' || chr(10) || '{S}*([{L}])', '{BACK}', 'g'), '[➨➔→]', ' ', 'g'), chr(10)), lambda line: " + sql_collapse("line") + "), 'string_agg', chr(10))").replace("{L}", r"\p{L}\p{N}_").replace("{S}", SQL_SPACE).replace("{BACK}", r"\1\2")} AS t FROM documents)"""
-
-#: The cuts of each normalised text: start and end by code point, one row a window.
-CUTS = """cuts AS (
-  SELECT doc_id, 0 AS n, 0 AS start, 0 AS stop, false AS done, t FROM normal WHERE t <> ''
-  UNION ALL
-  SELECT doc_id, n + 1, nstart, nstop, nstop >= length(t), t FROM (
-    SELECT *, CASE WHEN cut > nstart + 700 THEN cut ELSE e END AS nstop FROM (
-      SELECT *, CASE WHEN e >= length(t) THEN -1 WHEN nl > nstart + 700 THEN nl ELSE sp END AS cut FROM (
-        SELECT *, CASE WHEN strpos(reverse(w), chr(10)) = 0 THEN -1 ELSE e - strpos(reverse(w), chr(10)) END AS nl, CASE WHEN strpos(reverse(w), ' ') = 0 THEN -1 ELSE e - strpos(reverse(w), ' ') END AS sp FROM (
-          SELECT *, substring(t, nstart + 1, e - nstart) AS w FROM (
-            SELECT *, least(nstart + 1400, length(t)) AS e FROM (
-              SELECT doc_id, n, t, CASE WHEN n = 0 THEN 0 WHEN strpos(substring(t, s + 1, least(s + 210, length(t)) - s), ' ') > 0 THEN s + strpos(substring(t, s + 1, least(s + 210, length(t)) - s), ' ') ELSE s END AS nstart
-              FROM (SELECT *, greatest(stop - 210, start + 1) AS s FROM cuts WHERE NOT done)))))))),
-raw AS (SELECT doc_id, n, """ + sql_strip("substring(t, start + 1, stop - start)") + """ AS p FROM cuts WHERE n > 0),
-numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS c, lead(p) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM raw WHERE p <> ''),
-pieces AS (SELECT doc_id, i::INT AS i, CASE WHEN c > 1 AND i = c - 2 AND length(after) < 420 THEN p || chr(10) || chr(10) || after ELSE p END AS piece FROM numbered WHERE NOT (c > 1 AND i = c - 1 AND length(p) < 420))"""

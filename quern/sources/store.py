@@ -48,8 +48,18 @@ def read_text_segments(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.select("doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("order"), F.lit("text").alias("content_type"), "text", F.left("text", F.lit(config.page_context_chars)).alias("page_context"), F.when(F.col("text") == "", "empty document").alias("error"))
 
 
+#: A parsed page: its blocks by number, each with its box and lines of spans.
+BLOCKS = """doc_id bigint, page int, block_no int, type int, bbox struct<x0:double,y0:double,x1:double,y1:double>,
+  lines array<struct<spans:array<struct<text:string,size:double,font:string,flags:int>>>>"""
+
+
+def read_page_blocks(spark: SparkSession, path: str, schema: str = BLOCKS) -> DataFrame:
+    """A Parquet table of page blocks by its declared schema (O6); a column that the files lack is null."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table by its declared schema: block tables (O6) and the operational tables."""
+    """A Parquet table of operations by its declared schema."""
     return spark.read.schema(schema).parquet(path)
 
 
@@ -61,13 +71,6 @@ def upsert_chunks(target: DataFrame, batch: DataFrame) -> DataFrame:
     return target.join(latest.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti").select(*batch.columns).unionByName(latest)
 
 
-def write_version(chunks: DataFrame, path: str, version: int) -> str:
-    """Writes a version of the store beside the others; readers switch when they are told. Never reads and overwrites one path."""
-    place = f"{path}/v={version}"
-    chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").write.mode("overwrite").parquet(place)
-    return place
-
-
 def delete_document(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """chunks without those of the documents in ids (doc_id)."""
     return chunks.join(ids, "doc_id", "left_anti")
@@ -108,8 +111,8 @@ def chunks_of_workspace(chunks: DataFrame, workspace_id: str) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Appends log rows, by day."""
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Appends log rows, by day (O13); a day's rows of a batch are a file or, if they are many, a few."""
+    rows.withColumn("day", F.to_date("created_at")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def qa_events(results: DataFrame) -> DataFrame:

@@ -55,11 +55,59 @@ def test_confidence_bands(spark):
     assert fusion.confidence(spark.createDataFrame([(0.448, 0.0, 5)], "top_dense double, top_bm25 double, qualifying int"), old).first().confidence == 58
 
 
+VECTORS = "workspace_id string, doc_id bigint, chunk_index int, embedding array<float>"
+ASKED = "q_id bigint, workspace_id string, embedding array<float>"
+
+
 def test_zero_distance(spark):
-    c = spark.createDataFrame([("w", 1, 0, [1.0, 0.0]), ("w", 2, 0, [1.0, 1.0])], "workspace_id string, doc_id bigint, chunk_index int, embedding array<float>")
-    q = spark.createDataFrame([(1, "w", [1.0, 0.0])], "q_id bigint, workspace_id string, embedding array<float>")
+    c = spark.createDataFrame([("w", 1, 0, [0.6, 0.8]), ("w", 2, 0, [1.0, 1.0]), ("w", 3, 0, [0.0, 0.0]), ("w", 4, 0, None), ("v", 5, 0, [0.6, 0.8]), ("w", 6, 0, [1.0, 1.0, 1.0])], VECTORS)
+    q = spark.createDataFrame([(1, "w", [0.6, 0.8]), (2, "w", None)], ASKED)
     rows = {r.doc_id: (r.score, r.dense_rank) for r in dense.dense_topk(q, c).collect()}
-    assert rows[2] == (0.7071, 1) and rows[1][1] == 0
+    assert rows == {1: (0.0, 0), 2: (0.9899, 1), 3: (0.0, 2)}  # the copy is first, and scores nothing
+    assert {r.doc_id: r.score for r in dense.dense_topk(q, c, zero_distance="one").collect()}[1] == 1.0
+    sims = {r.doc_id: r.sim for r in dense.exact_cosine(q, c).collect()}
+    assert sims == {1: 0.999999999, 2: pytest.approx(0.98994949, abs=1e-7), 3: 0.0}
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((90, 8)).astype(np.float32), rng.standard_normal((7, 8)).astype(np.float32)
+    x[40:60] = x[40]  # ties
+    c = spark.createDataFrame([("w", i // 2, i % 2, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    q = spark.createDataFrame([(i, "w", v.tolist()) for i, v in enumerate(y)], ASKED)
+    sim = np.round((y.astype(float) @ x.T.astype(float)) / (np.linalg.norm(y.astype(float), axis=1)[:, None] * np.linalg.norm(x.astype(float), axis=1)[None, :] + 1e-9), 9)
+    want = {(i, int(j) // 2, int(j) % 2, n) for i in range(7) for n, j in enumerate(np.lexsort((np.arange(90), -sim[i]))[:8])}
+    for rows, asked in ((4096, 512), (10, 2)):
+        got = {(r.q_id, r.doc_id, r.chunk_index, r.dense_rank) for r in dense._ranked(q, c, 8, 1e-9, rows=rows, asked=asked).collect()}
+        assert got == want
+
+
+def test_approximate_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32))
+    x = np.repeat(centres, 10, axis=0) + 0.15 * rng.standard_normal((400, 32))
+    c = spark.createDataFrame([("w", i, 0, v.tolist()) for i, v in enumerate(x.astype(np.float32))], VECTORS)
+    q = spark.createDataFrame([(i, "w", (v + 0.1).tolist()) for i, v in enumerate(centres.astype(np.float32))], ASKED)
+    found, exact = dense.approx_topk(q, c), dense.exact_cosine(q, c)
+    assert dense.recall(found, exact).first().recall >= 0.9
+    assert dense.recall(exact, exact).first().recall == 1.0
+
+
+def test_collection_is_claimed_once(spark):
+    import tempfile
+
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/meta"
+    two, three = (spark.createDataFrame([([0.5] * n,)], "embedding array<float>") for n in (2, 3))
+    assert dense.collection(spark, path) is None
+    assert dense.claim_collection(two, path, "m") == {"dim": 2, "model": "m"} == dense.claim_collection(two, path, "m")
+    assert dense.claim_collection(two.limit(0), path, "m") == {"dim": 2, "model": "m"}
+    for rows, model in ((three, "m"), (two, "other")):
+        with pytest.raises(ValueError):
+            dense.claim_collection(rows, path, model)
 
 
 def test_rrf_ties(spark):
