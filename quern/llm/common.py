@@ -1,35 +1,45 @@
-"""Helpers shared by the operators: shared scratch tables, size checks, running totals, batches cut by bytes."""
+"""Helpers shared by the operators: memory of Python workers, running totals, batches cut by bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a temporary one of this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
 
+def frugal(function: Callable) -> Callable:
+    """The function of a mapInArrow or applyInArrow call, which at its end gives the memory that it has freed back to the machine. A Python
+    worker lives on for the next task, beside those of other stages; what it keeps, they lack."""
+    if inspect.isgeneratorfunction(function):
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from function(batches)
+            _give_back()
 
+        return run
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back: later uses neither recompute it nor depend on any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def of(*args: object) -> object:
+        out = function(*args)
+        if sum(x.nbytes for x in args if isinstance(x, pa.Table)) > 1 << 20:
+            _give_back()
+        return out
+
+    # Spark tells by the number of parameters whether a key is wanted
+    return (lambda a, b: of(a, b)) if len(inspect.signature(function).parameters) == 2 else lambda a, b, c: of(a, b, c)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str, block: int = 1024) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity: subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
 The bag of a word holds its 3- to 6-grams of bytes, with a space at the word's ends, hashed into buckets. So a word never seen
-shares vectors with the words it is misspelt from. A document scores as its most toxic run of `words` words, because one insult
-among thousands of clean words vanishes in an average over all of them; every word of a text counts, however long.
+shares vectors with the words it is misspelt from. A document scores as its most toxic word, because one insult among thousands of
+clean words vanishes in an average over all of them; every word of a text counts, however long. Texts are read in slices between
+words, so memory doesn't grow with a text; a word longer than a slice counts as several of a slice's length.
 
 Training sees documents' labels only: a word's target is the share of toxic documents among those that hold it, and its weight
 grows with their number. A logistic curve, fitted on labelled documents that the vectors have not seen, maps a document's highest
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, whole_text
+from .common import by_bytes, frugal, materialize, whole_text
 
 NGRAMS = range(3, 7)
 #: ASCII letters and digits and bytes of other scripts make words; A-Z are lower-cased, the rest parts words.
 _MAP = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 _MAP[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
+#: Bytes of text that are hashed at a time.
+SLICE = 256 << 10
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,6 @@ class Settings:
     all rows."""
 
     documents: int = 4000
-    words: int = 1
     buckets: int = 1 << 18
     least: int = 2  # documents that a word must be met in to be learned
     dim: int = 4
@@ -49,40 +51,69 @@ class Model:
     bias: float
     slope: float
     shift: float
-    words: int
-
-    def raw(self, texts: list[str]) -> np.ndarray:
-        """The pull of each text's most toxic run of words; a text without words has none but the bias."""
-        data, starts = _bytes(texts)
-        pull, count = np.zeros(len(data), np.float32), np.zeros(len(data), np.int32)
-        for at, bucket in _subwords(data, len(self.table)):
-            pull[at] += self.table[bucket]
-            count[at] += 1
-        begin, end, text = _windows(data, starts, self.words)
-        best = np.full(len(texts), self.bias)
-        if len(begin):
+
+    def raw(self, texts: list[str] | pa.Array) -> np.ndarray:
+        """The pull of each text's most toxic word; a text without words, or null, has none but the bias."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        none = np.finfo(np.float64).min
+        best = np.full(len(column), none)
+        for data, starts, text in _slices(column):
+            begin = np.flatnonzero((data[1:] != 32) & (data[:-1] == 32))  # the space before each word
+            if not len(begin):
+                continue
+            pull, count = np.zeros(len(data), np.float32), np.zeros(len(data), np.int32)
+            for at, bucket in _subwords(data, len(self.table)):
+                pull[at] += self.table[bucket]
+                count[at] += 1
             mean = np.add.reduceat(pull, begin) / np.maximum(np.add.reduceat(count, begin), 1) + self.bias
-            first = np.flatnonzero(np.diff(text, prepend=-1))
-            best[text[first]] = np.maximum.reduceat(mean, first)
-        return best
+            np.maximum.at(best, text[np.searchsorted(starts, begin, side="right") - 1], mean)
+        return np.where(best == none, self.bias, best)
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str] | pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.shift, -30, 30)))
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as mapped bytes with a space around each; starts[i]: where the space before text i stands."""
-    parts = [t.lower().encode("utf-8", "replace") for t in texts]
-    starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-    return _MAP[np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)], starts
+def _slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Mapped bytes of about `limit` each with a space around every part; where the space before each part stands; the text it is of.
+    Long texts are cut after a space or newline, or, where a slice has none, between two characters."""
+    parts, of, held = [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lower = [bytes(p).decode("utf-8", "replace").lower().encode("utf-8", "replace") for p in parts]
+        starts = np.cumsum([0] + [len(p) + 1 for p in lower[:-1]]) if lower else np.zeros(0, np.int64)
+        return _MAP[np.frombuffer(b" " + b" ".join(lower) + b" ", np.uint8)], starts, np.array(of, np.int64)
+
+    for i, value in enumerate(texts.cast(pa.large_binary())):
+        data = memoryview(value.as_buffer() if value.is_valid else b"")
+        at = 0
+        while at < len(data):
+            end = min(at + limit, len(data))
+            if end < len(data):
+                block = np.frombuffer(data[at:end], np.uint8)
+                cuts = np.flatnonzero((block == 32) | (block == 10))
+                if len(cuts):
+                    end = at + int(cuts[-1]) + 1
+                else:
+                    while end > at + 1 and data[end] & 0xC0 == 0x80:
+                        end -= 1
+            if held + end - at > limit and parts:
+                yield joined()
+                parts, of, held = [], [], 0
+            parts.append(data[at:end])
+            of.append(i)
+            held += end - at
+            at = end
+    if parts:
+        yield joined()
 
 
 def _subwords(data: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: where n-grams begin that hold no space but at their ends, and their buckets."""
     n_all = len(data)
-    at_space = np.where(data == 32, np.arange(n_all, dtype=np.int64), n_all)
+    place = np.arange(n_all, dtype=np.int32)
+    at_space = np.where(data == 32, place, np.int32(n_all))
     until = np.minimum.accumulate(at_space[::-1])[::-1]  # first space at or after a place
-    until = np.append(until[1:], n_all) - np.arange(n_all)  # bytes from a place to the first space after it
+    until = np.append(until[1:], np.int32(n_all)) - place  # bytes from a place to the first space after it
     wide = data.astype(np.uint32)
     h = wide * np.uint32(0x9E3779B1)
     for n in range(2, NGRAMS.stop):
@@ -94,17 +125,6 @@ def _subwords(data: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.n
             yield at, (h[at] ^ (h[at] >> np.uint32(15))) & np.uint32(buckets - 1)
 
 
-def _windows(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """begin and end of each window of so many words, and the text it is of. A window begins at the space before its first word."""
-    at = np.flatnonzero((data[1:] != 32) & (data[:-1] == 32))
-    text = np.searchsorted(starts, at, side="right") - 1
-    first = np.searchsorted(text, np.arange(len(starts)))
-    begins = (np.arange(len(at)) - first[text]) % words == 0
-    begin, text = at[begins], text[begins]
-    end = np.minimum(np.append(begin[1:], len(data) - 1), starts[np.minimum(text + 1, len(starts) - 1)])
-    return begin, end, text
-
-
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """text, toxic and curve (whether it is for the curve; equal texts agree) of the sampled rows, written once. The ids, at most two
     classes of settings.documents, are broadcast, so texts are not shuffled."""
@@ -117,14 +137,21 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame
 def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
     """word, and the numbers of toxic and of clean documents of the sample that hold it."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            rows = ([], [])
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                rows[toxic].extend(set(_bytes([text])[0].tobytes().split()))
+        for batch in by_bytes(batches, "text", 1 << 20):
+            words: tuple[list, list] = ([], [])
+            marks, held, last = batch.column("toxic").to_pylist(), set(), 0
+            for data, starts, text in _slices(batch.column("text")):
+                for i, part in zip(text.tolist(), np.split(data, starts[1:]), strict=True):
+                    if i != last:  # a document's words count once, in however many slices it is
+                        words[marks[last]].extend(held)
+                        held, last = set(), i
+                    held.update(part.tobytes().split())
+            words[marks[last]].extend(held)
             for toxic in (0, 1):
-                if rows[toxic]:
-                    counted = pa.array(rows[toxic], pa.binary()).value_counts()
+                if words[toxic]:
+                    counted = pa.array(words[toxic], pa.binary()).value_counts()
                     n = counted.field("counts")
                     zero = pa.array(np.zeros(len(n), np.int64))
                     yield pa.RecordBatch.from_arrays([counted.field("values"), n if toxic else zero, zero if toxic else n], ["word", "toxic", "clean"])
@@ -135,8 +162,9 @@ def _word_counts(sample: DataFrame, settings: Settings) -> DataFrame:
 
 def _fit(words: list[bytes], target: np.ndarray, weight: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
     """Vectors of buckets and softmax weights together, by Adam on all words: (each bucket's pull towards "toxic", bias)."""
-    data, starts = _bytes([w.decode("utf-8", "replace") for w in words])
-    found = [(np.searchsorted(starts, at, side="right") - 1, b) for at, b in _subwords(data, settings.buckets)]
+    found = []
+    for data, starts, word in _slices(pa.array(words, pa.binary())):
+        found += [(word[np.searchsorted(starts, at, side="right") - 1], b) for at, b in _subwords(data, settings.buckets)]
     of, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(of, kind="stable")
     buckets, gram = np.unique(bucket[order], return_inverse=True)
@@ -187,11 +215,11 @@ def fit_vectors(counts: pa.Table, settings: Settings) -> Model:
     counts = counts.sort_by("word")
     words, toxic, clean = counts["word"].to_pylist(), counts["toxic"].to_numpy(), counts["clean"].to_numpy()
     if not toxic.sum() or not clean.sum():
-        return Model(np.zeros(settings.buckets, np.float32), 0.0, 1.0, 0.0, settings.words)
+        return Model(np.zeros(settings.buckets, np.float32), 0.0, 1.0, 0.0)
     ratio = clean.sum() / toxic.sum()  # both classes count alike
     share = (toxic * ratio + 0.5) / (toxic * ratio + clean + 1.0)
     table, bias = _fit(words, share, np.sqrt(toxic * ratio + clean), settings)
-    return Model(table, bias, 1.0, 0.0, settings.words)
+    return Model(table, bias, 1.0, 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -201,9 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     of_vectors, of_curve = sample.where("not curve"), sample.where("curve")
     model = fit_vectors(_word_counts(of_vectors, settings).toArrow(), settings)
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(model.raw(batch.column("text").to_pylist()), pa.float64()), batch.column("toxic")], ["raw", "toxic"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(batch.column("text")), pa.float64()), batch.column("toxic")], ["raw", "toxic"])
 
     scored = of_curve.select("text", "toxic").mapInArrow(score, "raw double, toxic int").toArrow()  # bounded by settings.documents
     share = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -231,14 +260,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns of docs, score (0 to 1) and predicted (1 if score >= 0.5, else 0) of each whole text; null text is empty.
 
-    Every row stays. The model, `buckets` floats, is sent with the function; nothing is shuffled.
+    Every row stays, repeated ids too. The model, `buckets` floats, is sent with the function; nothing is shuffled.
     """
-    rows = docs.select(*keep, whole_text().alias("_text"))
-    kept = [f for f in rows.schema if f.name != "_text"]
+    rows = docs.select(*keep, *(() if "text" in keep else ("text",)))
+    kept = [f for f in rows.schema if f.name in keep]
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "_text", 4 << 20):
-            scores = model.score(batch.column("_text").to_pylist())
+        for batch in by_bytes(batches, "text", 2 << 20):
+            scores = model.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(scores, pa.float64())], [*(f.name for f in kept), "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
