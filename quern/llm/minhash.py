@@ -3,8 +3,9 @@ hash. Bands of registers propose pairs, a collision-corrected Jaccard estimate s
 
 Documents with equal sets are one node from the start, so exact copies make no pairs. Round one compares the members of a band's
 group with its smallest only. What is then still in different components shares a group in round two: small groups by a join, large
-ones by clusters, in blocks of whole sets of all members against those that the first component lacks, so no group is ever in one
-task or paired up as rows.
+ones by clusters, in blocks of all members against those that the first component lacks, so no group is ever in one task or paired up
+as rows. A block holds about `block` members and `block_bytes` of shingle sets. Either way the estimate decides which pairs the whole
+sets are asked about; it passes over a link at the threshold by five standard deviations, once in some three million.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, whole_text
+from .common import by_bytes, frugal, materialize, whole_text
 from .components import connected_components
 
 EMPTY = 0xFFFF
@@ -34,6 +35,7 @@ class Settings:
     registers: int = 192
     small_group: int = 10
     block: int = 384
+    block_bytes: int = 8 << 20
     sigmas: float = 5.0
 
     @property
@@ -81,6 +83,20 @@ def plausible(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
     return guess + s.sigmas * np.sqrt(share * (1 - share) / n) + 1 / n >= share
 
 
+def plausible_pairs(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
+    """Whether each row of a and each row of b may be linked: `plausible` for all pairs of two blocks of registers."""
+    void = ((a == EMPTY).astype(np.float32) @ (b == EMPTY).astype(np.float32).T).astype(np.int64)
+    same = np.zeros((len(a), len(b)), np.int64)
+    for i in range(s.registers):
+        same += a[:, i, None] == b[None, :, i]
+    n = np.maximum(s.registers - void, 1)
+    zeros = [np.stack([((x >> MANTISSA) == z).sum(1) for z in range(8)], 1).astype(np.float64) for x in (a, b)]
+    chance = zeros[0] @ zeros[1].T / n / n / (1 << MANTISSA)
+    guess = np.clip(((same - void) / n - chance) / (1 - chance), 0, 1)
+    share = s.percent / 100
+    return guess + s.sigmas * np.sqrt(share * (1 - share) / n) + 1 / n >= share
+
+
 def _registers_of(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, m)
 
@@ -95,10 +111,11 @@ def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the set), registers (binary) of each whole text."""
 
+    @frugal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
 
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             sets = shingle_sets([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], s.words)
             d1, d2 = _digests(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array([registers(x, s.registers).tobytes() for x in sets], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "registers"])
@@ -110,6 +127,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 def _bands(nodes: DataFrame, s: Settings) -> DataFrame:
     """key, node: a row for each band of a node that isn't all empty."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import mix
 
@@ -129,6 +147,7 @@ def _bands(nodes: DataFrame, s: Settings) -> DataFrame:
 def _sift(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) that the estimate of their registers leaves."""
 
+    @frugal
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = plausible(_registers_of(batch.column("ra"), s.registers), _registers_of(batch.column("rb"), s.registers), s)
@@ -141,10 +160,11 @@ def _sift(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
 def shingle_table(docs: DataFrame, s: Settings) -> DataFrame:
     """docs: node, d1, d2, text. node, set: the sorted 64-bit hashes of all shingles of each text that has the digest."""
 
+    @frugal
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
 
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             found = shingle_sets([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], s.words)
             d1, d2 = _digests(found)
             same = (d1 == batch.column("d1").to_numpy()) & (d2 == batch.column("d2").to_numpy())
@@ -156,8 +176,9 @@ def shingle_table(docs: DataFrame, s: Settings) -> DataFrame:
 def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose whole sets meet the share."""
 
+    @frugal
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "sa", 4 << 20):
+        for batch in by_bytes(batches, "sa", 1 << 20):
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -190,32 +211,41 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096
     return out
 
 
-def _in_blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """members: cluster, node, component, other (not of the cluster's own component), n, n_other. Confirmed links of the others with
-    members of another component, one for each other and component, found in blocks of whole sets; only those become rows."""
+def _in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """members: cluster, node, component, other (not of the cluster's own component), n_shingles. Confirmed links of the others with
+    members of another component, one for each other and component, found in blocks; only those become rows."""
 
+    @frugal
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [])
         if left.num_rows and right.num_rows:
-            x, y = ([np.frombuffer(v, np.uint64) for v in t["set"].to_pylist()] for t in (left, right))
-            both = _shared(x, y)
-            union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
             mate_of = right["component"].to_numpy()
-            linked = (100 * both >= s.percent * union) & (left["component"].to_numpy()[:, None] != mate_of[None, :])
-            ids, mates = left["node"].to_numpy(), right["node"].to_numpy()
-            for i in np.flatnonzero(linked.any(1)):
-                places = np.flatnonzero(linked[i])
-                places = places[np.unique(mate_of[places], return_index=True)[1]]
-                out[0].append(np.minimum(ids[i], mates[places]))
-                out[1].append(np.maximum(ids[i], mates[places]))
+            may = left["component"].to_numpy()[:, None] != mate_of[None, :]
+            may &= plausible_pairs(*(_registers_of(t["registers"].combine_chunks(), s.registers) for t in (left, right)), s)
+            rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            if len(rows):
+                x, y = ([np.frombuffer(v, np.uint64) for v in t["set"].take(pa.array(at)).to_pylist()] for t, at in ((left, rows), (right, columns)))
+                both = _shared(x, y)
+                union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+                linked = (100 * both >= s.percent * union) & may[np.ix_(rows, columns)]
+                ids, mates, mate_of = left["node"].to_numpy()[rows], right["node"].to_numpy()[columns], mate_of[columns]
+                for i in np.flatnonzero(linked.any(1)):
+                    places = np.flatnonzero(linked[i])
+                    places = places[np.unique(mate_of[places], return_index=True)[1]]
+                    out[0].append(np.minimum(ids[i], mates[places]))
+                    out[1].append(np.maximum(ids[i], mates[places]))
         a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
         return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
-    full, again = (m.join(v, "node") for m, v in ((members, sets), (members.toDF(*members.columns), sets.toDF(*sets.columns))))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / s.block).cast("int") - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / s.block)).cast("int")
-    others = full.where("other").select("cluster", own("n_other").alias("i"), spread("n").alias("j"), "node", "component", "set")
-    everyone = again.select("cluster", spread("n_other").alias("i"), own("n").alias("j"), "node", "component", "set")
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / s.block, shingles * 8 / s.block_bytes)).cast("int")
+    weight = F.col("n_shingles")
+    sizes = members.groupBy("cluster").agg(blocks(F.count(F.lit(1)), F.sum(weight)).alias("n"), blocks(F.count_if("other"), F.sum(F.when(F.col("other"), weight))).alias("n_other"))
+    full = members.drop("n_shingles").join(sizes, "cluster").join(nodes, "node").join(sets, "node")
+    again = full.toDF(*full.columns)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    others = full.where("other").select("cluster", own("n_other").alias("i"), spread("n").alias("j"), "node", "component", "registers", "set")
+    everyone = again.select("cluster", spread("n_other").alias("i"), own("n").alias("j"), "node", "component", "registers", "set")
     return others.groupBy("cluster", "i", "j").cogroup(everyone.groupBy("cluster", "i", "j")).applyInArrow(check, "a bigint, b bigint")
 
 
@@ -229,9 +259,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     signed = materialize(signatures(docs, s), "signatures")
     digest = ["n_shingles", "d1", "d2"]
-    # a node is a set, numbered; `least`: the smallest id that has it
+    # a node is a set; `least`: the smallest id that has it. Nodes are numbered in that order, so that a group's smallest, which its
+    # members are held against first, is the earliest text: copies are nearer to it than to each other
     firsts = signed.where("doc_id is not null and n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("least"))
-    firsts = materialize(firsts.sortWithinPartitions(*digest).withColumn("node", F.monotonically_increasing_id()), "sets")
+    firsts = firsts.repartitionByRange("least", *digest).sortWithinPartitions("least", *digest)
+    firsts = materialize(firsts.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = materialize(signed.join(firsts.withColumnRenamed("least", "doc_id"), ["doc_id", *digest]).select("node", "registers").dropDuplicates(["node"]), "nodes")
     # sets that share an id are one document
     texts = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("_low"), F.max(F.struct(*digest)).alias("_high"))
@@ -245,7 +277,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     involved = members.select("node").distinct().join(firsts, "node").select("node", "least", "d1", "d2")
     sets = materialize(shingle_table(docs.select(F.col("doc_id").cast("long"), "text").join(involved, F.col("doc_id") == F.col("least")), s), "shingles")
-    links = materialize(_confirm(_sift(stars, nodes, s), sets, s).union(same).distinct(), "links")
+    links = materialize(_confirm(materialize(_sift(stars, nodes, s), "likely"), sets, s).union(same).distinct(), "links")
     found = connected_components(links, "near")
 
     # what round one left apart though it shares a group
@@ -260,9 +292,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     near = x.join(y, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     # groups whose smallest lie in one component share their members, so one cluster holds each member once
     large = placed.where(F.col("n") > s.small_group).select("cluster", "node", "component", "other").distinct()
-    sizes = large.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("n_other"))
-    large = materialize(large.join(sizes, "cluster"), "clusters")
-    late = materialize(_confirm(_sift(near, nodes, s), sets, s).union(_in_blocks(large, sets, s)).distinct(), "late-links")
+    large = materialize(large.join(firsts.select("node", "n_shingles"), "node"), "clusters")
+    late = materialize(_confirm(materialize(_sift(near, nodes, s), "likely"), sets, s).union(_in_blocks(large, nodes, sets, s)).distinct(), "late-links")
     if not late.isEmpty():
         found = connected_components(links.union(late), "all")
     smallest = found.join(firsts, "node").groupBy("component").agg(F.min("least").alias("component_id"))

@@ -64,6 +64,26 @@ def test_near_duplicates_of_nothing(spark):
     assert all(r.kept for r in rows if r.doc_id in (None, 4, 5, 6, -3))
 
 
+def test_plausible_pairs():
+    rng = np.random.default_rng(2)
+    settings = minhash.Settings(words=3, percent=85)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: int(400 * share)], rng.integers(0, 1 << 63, extra, dtype=np.uint64)])) for share in (0, 0.02, 0.5, 0.9, 1) for extra in (0, 3, 60)]
+    regs = np.stack([minhash.registers(x, settings.registers) for x in sets])
+    want = np.stack([minhash.plausible(np.broadcast_to(r, regs.shape), regs, settings) for r in regs])
+    assert (minhash.plausible_pairs(regs, regs, settings) == want).all()
+
+
+def test_long_words_and_slices(monkeypatch):
+    from quern.llm import shingles
+
+    texts = [b"", b" ", b"One two  three\n", b"x" * 70, b"a b c d e f g", b"\t lead and trail  ", "é ş 日本 ".encode() * 9]
+    whole = [shingles.shingle_sets([t], 3)[0].tolist() for t in texts]
+    for size in (1 << 20, 64, 16):
+        monkeypatch.setattr(shingles, "SLICE", size)
+        assert [x.tolist() for x in shingles.shingle_sets(texts, 3)] == whole
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
@@ -117,17 +137,18 @@ def brute_repeats(rows, n=50):
     return sorted(out)
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("length", [50, 160])
+def test_suffix_dedup(spark, length):
     rng = random.Random(9)
     rows = [(r[0], r[1]) for r in odd_rows() if r[0] not in (9, 10)]
-    passage = "".join(rng.choice("abcdef ghé") for _ in range(170))
+    passage = "".join(rng.choice("abcdef ghé") for _ in range(400))
     for i in range(60):
         junk = "".join(rng.choice("klmnop qr") for _ in range(rng.randrange(200)))
         at = rng.randrange(60)
-        rows.append((rng.randrange(40), junk + passage[at : at + rng.randrange(120)] + junk[::-1] + rng.choice(["", "ab" * 60, "a" * 90])))
+        rows.append((rng.randrange(40), junk + passage[at : at + rng.randrange(340)] + junk[::-1] + rng.choice(["", "ab" * 60, "a" * 90])))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, suffix_dedup.Settings(bucket_bytes=2000, chunk_bytes=700)).collect())
-    assert got == brute_repeats(rows)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, suffix_dedup.Settings(length=length, bucket_bytes=2000, chunk_bytes=700)).collect())
+    assert got == brute_repeats(rows, length)
 
 
 def test_suffix_dedup_carries_columns(spark):
@@ -150,11 +171,16 @@ def test_fingerprints(spark):
 
     text = "Head one.\nPara a. More a.\n\nHead two.\nPara b.\n"
     other = text.replace("Para b", "Para c")
-    df = spark.createDataFrame([(text, other), (text, text), ("", None)], "a string, b string")
-    trees = df.select(fingerprints.merkle_tree(F.coalesce("a", F.lit(""))).alias("a"), fingerprints.merkle_tree(F.coalesce("b", F.lit(""))).alias("b"))
-    rows = trees.select((fingerprints.root(F.col("a")) == fingerprints.root(F.col("b"))).alias("same"), fingerprints.changed_paragraphs(F.col("a"), F.col("b")).alias("where"), fingerprints.likeness(fingerprints.marks(F.col("a")), fingerprints.marks(F.col("b"))).alias("near")).collect()
-    assert [(r.same, [tuple(x) for x in r.where]) for r in rows] == [(False, [(1, 1)]), (True, []), (True, [])]
-    assert 0.5 < rows[0].near < 1 == rows[1].near == rows[2].near
+    df = spark.createDataFrame([(1, text, other), (2, text, text), (3, "", None), (4, text + "\n" + other, text)], "k int, a string, b string")
+    trees = df.select("k", fingerprints.merkle_tree(F.coalesce("a", F.lit(""))).alias("a"), fingerprints.merkle_tree(F.coalesce("b", F.lit(""))).alias("b"))
+    same = (fingerprints.root(F.col("a")) == fingerprints.root(F.col("b"))).alias("same")
+    near = fingerprints.likeness(fingerprints.marks(F.col("a")), fingerprints.marks(F.col("b"))).alias("near")
+    rows = {r.k: r for r in trees.select("k", same, near, fingerprints.n_changed(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert [rows[k].same for k in (1, 2, 3, 4)] == [False, True, True, False] and [rows[k].n for k in (1, 2, 3)] == [1, 0, 0]
+    assert 0.5 < rows[1].near < 1 == rows[2].near == rows[3].near
+    where = sorted(tuple(r) for r in fingerprints.locate_edits(trees, "a", "b", "k").collect())
+    assert [x for x in where if x[0] < 4] == [(1, 1, 1)] and (4, 3, 1) in where and len([x for x in where if x[0] == 4]) == rows[4].n
+    assert fingerprints.fingerprint(df.select(F.col("a").alias("text"))).select("fingerprint").distinct().count() == 3
 
 
 def test_next(spark):
@@ -165,4 +191,12 @@ def test_next(spark):
     for size in (1, 3, 500):
         assert {r.doc_id: r.next_text for r in fingerprints.with_next(df, per_bucket=size).collect()} == want
     assert fingerprints.with_next(odd(spark), per_bucket=2).count() == len(odd_rows())
+    many = [(None, f"t{i}") for i in range(50)] + [(9, f"u{i}") for i in range(20)] + [(1, "x")]
+    got = fingerprints.with_next(spark.createDataFrame(many, "doc_id bigint, text string"), per_bucket=4).collect()
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in many) == sorted(r.text for r in got)
+    step = {r.text: r.next_text for r in got}
+    walk = ["x"]
+    while len(walk) < len(many):
+        walk.append(step[walk[-1]])
+    assert set(walk) == set(step) and {t[0] for t in walk[1:51]} == {"t"}  # one round, rows without id after the smallest id
     assert fingerprints.with_next(empty(spark)).count() == 0
