@@ -2,7 +2,7 @@
 
 Comparing all shards with each other would grow with the square of the input, so shards are formed by content. Each window of
 `length` bytes has an anchor, the gram of `gram` bytes in it with the smallest hash; equal windows have equal anchors. Documents lie
-in buckets by id, and three steps over the buckets work on the same shuffle of the texts:
+in buckets by hash, and three steps over the buckets work on the same shuffle of the texts:
 
 1. A bucket's distinct anchors go to parts by hash; each part tells which occur in two documents or more.
 2. Around shared anchors a bucket sends its distinct contexts, a context being the bytes of a run of windows with one anchor, with the
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import frugal, whole_text
 from .shingles import mix
 
 _STEP, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -39,7 +39,11 @@ class Settings:
     length: int = 50
     gram: int = 20
     bucket_bytes: int = 6 << 20
-    chunk_bytes: int = 1 << 20
+    chunk_bytes: int = 1 << 19
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.gram < self.length:
+            raise ValueError("a gram is at least one byte and shorter than a window")
 
 
 class Bucket:
@@ -51,21 +55,28 @@ class Bucket:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        found = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         first = 0
         while first < len(sizes):
             end = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + s.chunk_bytes, side="right")) - 1)
-            found.append(self._runs(first, end))
+            low, high = int(self.starts[first]), int(self.starts[end])
+            # several short texts, or the windows of a longer one piece by piece: a run that a piece's end parts makes two contexts
+            for at in range(low, max(low + 1, high - s.length + 1), s.chunk_bytes):
+                stop = min(at + s.chunk_bytes + s.length - 1, high) if end == first + 1 else high
+                found.append(self._runs(at, stop, self.starts[first + 1 : end]))
+                if stop == high:
+                    break
             first = end
-        self.start, self.count, self.anchor, self.hash = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        self.start, self.count, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
         self.doc = np.searchsorted(self.starts, self.start, side="right") - 1
 
-    def _runs(self, first: int, end: int) -> tuple[np.ndarray, ...]:
-        s, base = self.s, self.starts[first]
-        data = self.data[base : self.starts[end]]
+    def _runs(self, base: int, stop: int, borders: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the windows in data[base:stop] that cross no border: start and count of each run, and the hash of its anchor."""
+        s = self.s
+        data = self.data[base:stop]
         n = len(data) - s.length + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         total = _prefix(data)
         grams = mix((total[s.gram :] - total[: -s.gram]) * _powers(len(data) + 1)[1][: len(data) - s.gram + 1])
         least = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)
@@ -76,18 +87,16 @@ class Bucket:
             width += step
         at = (least & ~_HIGH).astype(np.int64)
         place = np.arange(n)
-        ends = self.starts[first + 1 : end + 1] - base
-        whole = np.ones(n + 1, np.int64)  # windows that lie within one document
-        for e in ends[:-1]:
-            whole[max(0, e - s.length + 1) : min(e, n)] = 0
-        valid = whole[:n] == 1
+        valid = np.ones(n, bool)  # windows that lie within one document
+        for e in borders - base:
+            valid[max(0, e - s.length + 1) : min(e, n)] = False
         new = np.ones(n, bool)
         new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
         begins = np.flatnonzero(new)
         counts = np.diff(np.append(begins, n))
         keep = valid[begins]
         begins, counts = begins[keep], counts[keep]
-        return place[begins] + base, counts, at[begins] + base, grams[at[begins]]
+        return place[begins] + base, counts, grams[at[begins]]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchor hashes, ascending; whether two documents of the bucket hold each; of each run the place of its hash."""
@@ -109,8 +118,8 @@ class Bucket:
             b = begin[at : at + (1 << 14)]
             e = b + size[at : at + (1 << 14)]
             low, high = int(b.min()), int(e.max())
-            for x in range(low, high, 1 << 22):
-                inside = (b >= x) & (b < x + (1 << 22))
+            for x in range(low, high, 1 << 20):
+                inside = (b >= x) & (b < x + (1 << 20))
                 if inside.any():
                     y = int(e[inside].max())
                     total = _prefix(self.data[x:y])
@@ -149,6 +158,17 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n bytes lie in one of the spans."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, begin[1:] > reach[:-1])[: len(begin)]
+    steps = np.zeros(n + 1, np.int8)
+    steps[begin[new]] = 1
+    steps[reach[np.append(new[1:], True)[: len(reach)]]] = -1
+    return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of all suffixes by their first `depth` bytes at least, and which differ there from the one before (Larsson-Sadakane):
     sorted by 8 bytes at first; then, doubling that length, only groups that are still tied are sorted again, by the rank of the
@@ -224,6 +244,11 @@ def window_owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owner
     return least[group[at]]
 
 
+def whole_characters(data: bytes) -> str:
+    """UTF-8 that cuts have gone through, without the bytes of characters that were cut in part; all else stays, U+FFFD too."""
+    return data.decode("utf-8", "ignore")
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
@@ -251,9 +276,9 @@ def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np
     return order, met.astype(np.int64), np.append(begin, len(order))
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool = False, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (lower-case hex of the
-    remaining bytes), with keep_bytes also kept (binary), and the `carry` columns.
+    remaining bytes), with keep_bytes also kept (binary), with keep_text kept_text (string, see whole_characters), and the `carry` columns.
 
     Null text is empty; a text shorter than `length` bytes loses nothing. Rows with one id do not rob each other. A row without id has
     no place in the order: it loses nothing and robs none. Every row stays; other columns are dropped.
@@ -262,7 +287,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"), extra)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-size // s.bucket_bytes))
-    bucket = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(parts)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(parts)).cast("int")  # rows of one id are spread by their texts
 
     def dealt() -> DataFrame:  # the same plan each time, so Spark shuffles the texts once
         return rows.select("doc_id", "text", "extra", bucket.alias("bucket"))
@@ -271,12 +296,14 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
         known = table.filter(table["doc_id"].is_valid())
         return Bucket(known["doc_id"].to_numpy(), known["text"].to_pylist(), s), table.filter(table["doc_id"].is_null())
 
+    @frugal
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         hashes, many, _ = load(table)[0].distinct()
         order, met, begin = _by_part(hashes, parts)
         blobs = [_pack((hashes[o] & _KEPT) << np.uint64(1) | many[o].astype(np.uint64)) for o in (order[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True))]
         return pa.table({"part": pa.array(met, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(met), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
+    @frugal
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         lists = [_unpack(b, np.uint64)[0] for b in table["blob"].to_pylist()]
         every = np.concatenate(lists)
@@ -301,6 +328,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
             shared[order[a:b]] = np.unpackbits(np.frombuffer(given[p], np.uint8), count=int(b - a)).astype(bool)
         return shared[of]
 
+    @frugal
     def contexts(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
         out = ([], [], [], [])
         if table.num_rows and bits.num_rows:
@@ -310,13 +338,14 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
             order, met, edge = _by_part(hashes, parts)
             for p, o in zip(met.tolist(), (order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)), strict=True):
                 out[0].append(p)
-                out[1].append(_pack(hashes[o], size[o].astype(np.uint8), least[o], _gather(known.data, begin[o], size[o])))
+                out[1].append(_pack(hashes[o], size[o].astype(np.int32), least[o], _gather(known.data, begin[o], size[o])))
                 out[2].append(np.packbits(shared).tobytes() if p == met[0] else b"")
         return pa.table({"part": pa.array(out[0], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(out[0]), pa.int32()), "blob": pa.array(out[1], pa.binary()), "bits": pa.array(out[2], pa.binary())})
 
+    @frugal
     def owners(key: tuple, table: pa.Table) -> pa.Table:
         # buckets' lists are sorted by anchor, then bytes; anchors that another list lacks were met by chance or within a bucket
-        lists = [_unpack(b, np.uint64, np.uint8, np.int64, np.uint8) for b in table["blob"].to_pylist()]
+        lists = [_unpack(b, np.uint64, np.int32, np.int64, np.uint8) for b in table["blob"].to_pylist()]
         hashes, sizes, least = (np.concatenate([x[i] for x in lists]) for i in range(3))
         sizes = sizes.astype(np.int64)
         data = np.concatenate([x[3] for x in lists])
@@ -355,19 +384,20 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
         for x in lists:
             mine = of[edge : edge + len(x[0])]
             edge += len(x[0])
-            blobs.append(_pack(runs[mine].astype(np.uint8), _gather(run_size, first_run[mine], runs[mine]).astype(np.uint8), _gather(run_owner, first_run[mine], runs[mine])))
+            blobs.append(_pack(runs[mine].astype(np.int32), _gather(run_size, first_run[mine], runs[mine]).astype(np.int32), _gather(run_owner, first_run[mine], runs[mine])))
         return pa.table({"bucket": table["bucket"], "part": table["part"], "blob": pa.array(blobs, pa.binary()), "bits": table["bits"]})
 
+    @frugal
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         known, unordered = load(table) if table.num_rows else (Bucket(np.zeros(0, np.int64), [], s), table)
-        gone = np.zeros(len(known.data) + 1, np.int64)
+        covered = np.zeros(len(known.data), bool)
         if answers.num_rows and len(known.start):
             bits = next(b for b in answers["bits"].to_pylist() if b)
             shared = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(known.start)).astype(bool)
             runs, _, _, hashes, _, of = known.contexts(shared)
             order, met, edge = _by_part(hashes, parts)
             given = dict(zip(answers["part"].to_pylist(), answers["blob"].to_pylist(), strict=True))
-            n, sizes, least = (np.concatenate(x) for x in zip(*(_unpack(given[p], np.uint8, np.uint8, np.int64) for p in met.tolist()), strict=True))
+            n, sizes, least = (np.concatenate(x) for x in zip(*(_unpack(given[p], np.int32, np.int32, np.int64) for p in met.tolist()), strict=True))
             n, sizes = n.astype(np.int64), sizes.astype(np.int64)
             first = np.empty(len(n), np.int64)
             first[order] = np.cumsum(n) - n
@@ -380,8 +410,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
             begin = known.start[runs][run] + inner[piece] - inner[first[of]][run]
             robbed = least[piece] < known.ids[known.doc[runs]][run]
             a, b = begin[robbed], begin[robbed] + sizes[piece[robbed]] + s.length - 1
-            gone[: len(gone)] = np.bincount(a, minlength=len(gone)) - np.bincount(b, minlength=len(gone))
-        covered = np.cumsum(gone[:-1]) > 0
+            covered = _covered(a, b, len(known.data))
         out = []
         for i, text in enumerate(known.texts):
             hit = covered[known.starts[i] : known.starts[i + 1]]
@@ -390,12 +419,12 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
                 spans = int((np.diff(hit.astype(np.int8), prepend=0) == 1).sum())
             else:
                 kept, spans = text, 0
-            out.append((int(known.ids[i]), len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+            out.append((int(known.ids[i]), len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None, whole_characters(kept) if keep_text else None))
         for text in unordered["text"].to_pylist():
-            out.append((None, len(text), 0, 0, hashlib.sha256(text).hexdigest(), text if keep_bytes else None))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        columns = zip(*out, strict=True) if out else [[]] * 6
+            out.append((None, len(text), 0, 0, hashlib.sha256(text).hexdigest(), text if keep_bytes else None, whole_characters(text) if keep_text else None))
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.string()]
+        columns = zip(*out, strict=True) if out else [[]] * 7
         known_rows = table.filter(table["doc_id"].is_valid())["extra"].take(pa.array(known.order, pa.int64()))
         extras = pa.chunked_array([*known_rows.chunks, *unordered["extra"].chunks], table["extra"].type)
         return pa.table([*(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), extras], [*names, "extra"])
@@ -404,7 +433,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), keep_bytes: bool =
     told = sent.groupBy("part").applyInArrow(meet, "bucket int, part int, blob binary")
     around = dealt().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(contexts, "part int, bucket int, blob binary, bits binary")
     answered = around.groupBy("part").applyInArrow(owners, "bucket int, part int, blob binary, bits binary")
-    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, extra {rows.schema['extra'].dataType.simpleString()}"
+    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string, extra {rows.schema['extra'].dataType.simpleString()}"
     final = dealt().groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(remove, schema)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else []), *(["kept_text"] if keep_text else [])]
     return final.select(*columns, *(F.col(f"extra.`{c}`").alias(c) for c in carry))
