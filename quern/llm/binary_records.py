@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, running_total, whole_text
+from .common import by_bytes, frugal, running_total, whole_text
 
 #: Fixed value of the mask.
 MASK_DELTA = 0xA282EAD8
@@ -54,25 +54,28 @@ def parse(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Writes {path}/shards, a frame for each row of docs (doc_id, text) in ascending doc_id order over the shards in the order of
-    their names (null ids first, equal ids in any order), each with `end_id` appended, and {path}/index.
+    their names (null ids first, equal ids by their texts' hashes), each with `end_id` appended, and {path}/index.
 
     Null text is empty. Texts are dealt out by doc_id range before they are encoded, so the sample that finds the ranges
     encodes nothing; shards have about the size that adaptive execution aims at for a partition.
     """
 
+    @frugal
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
         known = encoder(tokenizer)
         top = max(end_id, (known.library.get_vocab_size() if hasattr(known.library, "get_vocab_size") else known.library.get_piece_size()) - 1)
         width = 2 if top < 1 << 16 else 4
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             ids, offsets = known.encode(batch.column("text"))
             out = [frame(d, np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)), width) for i, d in enumerate(batch.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+        known.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or without id, are many shards too: they stand by their texts' hashes
+    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{path}/shards")
     index_shards(docs.sparkSession, path).write.parquet(f"{path}/index")
 
@@ -82,6 +85,7 @@ def index_shards(spark: SparkSession, path: str) -> DataFrame:
     n_tokens, ids_crc32 (of the ids as unsigned 32-bit little-endian integers)."""
     schema = "doc_id bigint, shard string, offset bigint, length bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint"
 
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
@@ -111,6 +115,7 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
     at = wanted.groupBy("shard").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # bounded by a shard's records
 
+    @frugal
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for offsets, content in zip(batch.column("offsets").to_pylist(), batch.column("content"), strict=True):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, whole_text
+from .common import by_bytes, frugal, materialize, whole_text
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -24,11 +24,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
     """Per piece of each document: doc_id, piece, start, length, ids_crc32. Only a document of more than `capacity` ids (with its
     end id) is cut; its first piece takes what is over. Null text is empty, and so has the end id alone."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
         known = encoder(tokenizer)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             ids, offsets = known.encode(batch.column("text"))
             n = np.diff(offsets) + 1
             pieces = (n + capacity - 1) // capacity
@@ -41,6 +42,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             at = 4 * ((offsets[:-1] + np.arange(len(n)))[row] + start)
             crc = [zlib.crc32(data[a : a + b]) for a, b in zip(at.tolist(), (4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        known.forget()
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(cut, PIECES)
 
@@ -220,7 +222,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     # number within a length: salted, so that a length that most pieces share isn't one task's
     total = int(counts.sum())
     salts = max(64, total // 50_000)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -228,6 +230,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     numbered = salted.withColumn("_number", F.row_number().over(within) - 1).join(starts, ["length", "_salt"])
     rows = numbered.withColumn("_number", (F.col("_before") + F.col("_number")).cast("long")).drop("_salt", "_before")
 
+    @frugal
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_number"))
@@ -251,10 +254,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """sequence_id and ids: the packed sequences themselves. docs need unique doc_ids here. A group holds `capacity` ids at most."""
 
+    @frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             ids, offsets = encoder(tokenizer).encode(batch.column("text"))
             ids = pa.array(np.insert(ids, offsets[1:], end_id).astype(np.int32))
             ends = pa.array((offsets + np.arange(len(offsets))).astype(np.int64))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, whole_text
+from .common import by_bytes, frugal, materialize, whole_text
 
 SPACE = "▁"
 #: Chunks of a block; two levels reach 65,536 chunks, more than a string of 2 GB has at 32,768 characters each.
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("n", F.length("text"))
     short = rows.where(F.col("n") <= chunk_chars)
 
+    @frugal
     def encode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
@@ -246,6 +247,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             zero = pa.array(np.zeros(len(batch), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([f"{d}" for d in batch.column("doc_id").to_pylist()]), batch.column("doc_id"), zero, lists, batch.column("text")], ["row", "doc_id", "chunk", "ids", "text"])
+        encoder(model).forget()
 
     schema = "row string, doc_id bigint, chunk int, ids array<int>, text string"
     done = short.select("doc_id", "text").mapInArrow(encode_short, schema)
@@ -261,6 +263,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
     chunks = numbered.select("row", "doc_id", F.expr(f"cast(cut div {chunk_chars} as int)").alias("chunk"), (F.col("cut") - low).alias("low"), (F.least(F.col("cut") + chunk_chars, F.col("n")) - low).alias("high"), F.substring("text", low - F.col("from") + 1, F.lit(chunk_chars + 2 * margin)).alias("text"))
     chunks = materialize(chunks, "chunks")
 
+    @frugal
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
             out = [_blob(lattice(model).matrix(t.replace(" ", SPACE), lo, hi, c == 0)) for t, lo, hi, c in zip(*(batch.column(x).to_pylist() for x in ("text", "low", "high", "chunk")), strict=True)]
@@ -301,6 +304,7 @@ def encode(docs: DataFrame, model: str, chunk_chars: int = 16_384, margin: int =
     again = matrices.toDF(*matrices.columns)
     states = settled.groupBy(bucket("row", "block")).cogroup(again.groupBy(bucket("row", "block"))).applyInPandas(settle_block, "row string, chunk int, i int, j int")
 
+    @frugal
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
             ids, texts = [], []
@@ -340,6 +344,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     kept = [f for f in encoded.schema if f.name != "decoded"]
     has_text = "text" in encoded.columns
 
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20) if has_text else batches:
             decoded = _texts_of(batch.column("ids"), batch.column("chunk").to_numpy(zero_copy_only=False) == 0, *piece_texts(model))

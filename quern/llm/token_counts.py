@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, whole_text
+from .common import by_bytes, frugal, whole_text
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", limit: int = 4096) -> DataFrame:
@@ -24,13 +24,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_
     rows = docs.select(*keep, whole_text(text).alias("_text")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
     kept = [f for f in rows.schema if f.name != "_text"]
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        for batch in by_bytes(batches, "_text"):
+        for batch in by_bytes(batches, "_text", 2 << 20):
             lengths = encoder(tokenizer).lengths(batch.column("_text"))
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lengths, pa.int64())], [*(f.name for f in kept), "n_tokens"])
+        encoder(tokenizer).forget()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens bigint"
     return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -59,6 +59,11 @@ class UnitEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.held = 0
 
+    def forget(self) -> None:
+        """At a task's end: the units go if they are many."""
+        if self.held > CACHED_BYTES // 8:
+            self._clear()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """texts: strings without nulls. Returns all ids (uint32) and len(texts) + 1 offsets into them."""
         entries, offsets = self._entries(texts)
