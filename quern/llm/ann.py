@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals, asymmetric distance
 tables and exact reranking.
 
-Centroids and codebooks are fitted on a bounded sample; every valid row is indexed. A list is held in blocks, and the queries that
-probe it in blocks too, so that a list with a third of all rows, or one that most queries probe, is many tasks. Within a pair of
-blocks a table of each query's products with the codebooks ranks the codes; the best `rerank` are scored exactly on the vectors.
+Centroids and codebooks are fitted on a bounded sample; every valid row is indexed. Rows lie in blocks of several short lists or a part
+of a long one. A query goes once, with its vector, to each block that holds a list it probes, and the queries of a block are dealt into
+blocks too; so a list with a third of all rows, or one that most queries probe, is many tasks. Within a pair of blocks a table of each
+query's products with the codebooks ranks the codes of its lists; the best `rerank`, and all that tie with the last of them, are scored
+exactly on the vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 
 
 @dataclass(frozen=True)
@@ -28,9 +30,9 @@ class Settings:
     parts: int = 16
     codes: int = 256
     recall: float = 0.99
-    rerank: int = 96
-    block: int = 2048
-    query_block: int = 1024
+    rerank: int = 256
+    block: int = 8192
+    query_block: int = 512
     max_lists: int = 4096
     seed: int = 11
 
@@ -95,6 +97,7 @@ def build_index(vectors: DataFrame, settings: Settings = Settings()) -> Index |
     parts = max(p for p in range(1, settings.parts + 1) if dim % p == 0)
     books = [_kmeans(r, settings.codes, settings.seed) for r in np.split(residual, parts, axis=1)]
 
+    @frugal
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column("vec"))
@@ -123,60 +126,78 @@ def _probes(x: np.ndarray, coarse: np.ndarray, settings: Settings, k: int = 5) -
     return int(ranks[min(len(ranks) - 1, int(np.ceil(settings.recall * len(ranks))))]) + 1
 
 
+def _blocks(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list its first block and in how many it lies: neighbouring lists share one until it is full, a longer list has its own."""
+    first, count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        count[i] = max(1, -(-n // most))
+        if held and (held + n > most or count[i] > 1):
+            block, held = block + 1, 0
+        first[i], held = block, held + n
+        if count[i] > 1:
+            block, held = block + int(count[i]), 0
+    return first, count
+
+
 def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """queries: query_id, vec, valid and of the index's length (others give no rows). Per query its k nearest found by cosine, of rows
     with another id: query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id; a query has fewer rows if the index has."""
     coarse, books, probes, s = index.coarse, index.books, index.probes, index.settings
-    blocks = np.maximum(1, -(-index.sizes // s.block))
     dim = coarse.shape[1]
+    first, count = _blocks(index.sizes, s.block)
+
+    def probed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors, and which lists each probes."""
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = np.argsort(-(unit @ coarse.T), axis=1, kind="stable")[:, :probes]
+        wanted = np.zeros((len(v), len(coarse)), bool)
+        np.put_along_axis(wanted, near, True, axis=1)
+        return unit, wanted
 
+    @frugal
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_list = [np.arange(a, a + n) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
         for batch in batches:
-            v = _matrix(batch.column("vec")) if len(batch) else np.zeros((0, dim))
-            near = np.argsort(-((v / np.linalg.norm(v, axis=1, keepdims=True)) @ coarse.T), axis=1, kind="stable")[:, :probes]
-            row = np.repeat(np.arange(len(v)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("query_id").take(pa.array(row)), batch.column("vec").take(pa.array(row))], ["list", "query_id", "vec"])
+            _, wanted = probed(_matrix(batch.column("vec")) if len(batch) else np.zeros((0, dim)))
+            blocks = [np.unique(np.concatenate([of_list[i] for i in np.flatnonzero(w)])) for w in wanted]
+            row = pa.array(np.repeat(np.arange(len(blocks)), [len(b) for b in blocks]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks) if blocks else np.zeros(0), pa.int32()), batch.column("query_id").take(row), batch.column("vec").take(row)], ["block", "query_id", "vec"])
 
+    @frugal
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
-            ids, x = left["vec_id"].to_numpy(), _matrix(left["vec"])
+            ids, x, lists = left["vec_id"].to_numpy(), _matrix(left["vec"]), left["list"].to_numpy()
             code = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             norm = np.sqrt((x * x).sum(1))
-            centre = coarse[left["list"][0].as_py()]
             query_ids, q = right["query_id"].to_numpy(), _matrix(right["vec"])
             for i in range(0, len(q), 64):
                 some, some_ids = q[i : i + 64], query_ids[i : i + 64]
-                unit = some / np.linalg.norm(some, axis=1, keepdims=True)
-                adc = np.repeat((unit @ centre)[:, None], len(ids), axis=1)
+                unit, wanted = probed(some)
+                adc = (unit @ coarse.T)[:, lists]
                 for j, (part, book) in enumerate(zip(np.split(unit, len(books), axis=1), books, strict=True)):
                     adc += (part @ book.T)[:, code[:, j]]
-                adc -= np.arange(len(ids)) * 1e-13  # equal codes in the order of ids
-                adc[some_ids[:, None] == ids[None, :]] = -np.inf
-                top = np.argpartition(-adc, min(s.rerank, len(ids)) - 1, axis=1)[:, : s.rerank]
-                cosine = (x[top] * some[:, None, :]).sum(2) / (norm[top] * np.sqrt((some * some).sum(1))[:, None])
-                cosine[some_ids[:, None] == ids[top]] = -np.inf
-                for r in range(len(some)):
-                    order = np.lexsort((ids[top[r]], -cosine[r]))[:k]
-                    order = order[np.isfinite(cosine[r, order])]
+                adc[~wanted[:, lists] | (some_ids[:, None] == ids[None, :])] = -np.inf
+                least = np.partition(adc, max(0, len(ids) - s.rerank), axis=1)[:, max(0, len(ids) - s.rerank)]
+                for r, query in enumerate(some):
+                    at = np.flatnonzero((adc[r] >= least[r] - 1e-12) & np.isfinite(adc[r]))
+                    cosine = (x[at] * query).sum(1) / (norm[at] * np.sqrt((query * query).sum()))
+                    order = np.lexsort((ids[at], -cosine))[:k]
                     out[0].append(np.full(len(order), some_ids[r]))
-                    out[1].append(ids[top[r, order]])
-                    out[2].append(cosine[r, order])
+                    out[1].append(ids[at[order]])
+                    out[2].append(cosine[order])
         columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2].astype(np.float64)})
 
-    probed = queries.where(F.size("vec") == dim).select("query_id", "vec").mapInArrow(probe, "list int, query_id bigint, vec array<double>")
-    probed = materialize(probed, "probes")
-    asked = np.zeros(len(coarse), np.int64)
-    for r in probed.groupBy("list").count().collect():  # at most max_lists rows
-        asked[r["list"]] = r["count"]
-    query_blocks = np.maximum(1, -(-asked // s.query_block))
-    of_list = lambda counts: F.element_at(F.lit(counts.tolist()), F.col("list") + 1)
-    spread = lambda counts: F.explode(F.sequence(F.lit(0), of_list(counts).cast("int") - 1))
-    left = index.rows.select("list", F.pmod(F.xxhash64("vec_id"), of_list(blocks)).cast("int").alias("block"), spread(query_blocks).alias("query_block"), "vec_id", "code", "vec")
-    right = probed.select("list", spread(blocks).alias("block"), F.pmod(F.xxhash64("query_id"), of_list(query_blocks)).cast("int").alias("query_block"), "query_id", "vec")
-    keys = ["list", "block", "query_block"]
+    asked = materialize(queries.where(F.size("vec") == dim).select("query_id", "vec").mapInArrow(probe, "block int, query_id bigint, vec array<double>"), "probes")
+    asked_by = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / s.query_block).cast("int").alias("_parts"))
+    of_list = lambda values: F.element_at(F.lit(values.tolist()), F.col("list") + 1).cast("int")
+    block = of_list(first) + F.pmod(F.xxhash64("vec_id"), of_list(count)).cast("int")
+    left = index.rows.withColumn("block", block).join(asked_by, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "vec_id", "list", "code", "vec")
+    right = asked.join(asked_by, "block").select("block", F.pmod(F.xxhash64("query_id"), "_parts").cast("int").alias("part"), "query_id", "vec")
+    keys = ["block", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -83,7 +83,7 @@ def test_nearest(spark):
     x[300:700] = x[300]  # a vector that a third of all rows share
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None] * 8), (5200, [1.0]), (5250, [])]
     vectors = ann.valid_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
-    index = ann.build_index(vectors, ann.Settings(block=100, query_block=7))
+    index = ann.build_index(vectors, ann.Settings(block=100, query_block=7, rerank=20))
     found = {}
     for r in ann.search(index, vectors.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "vec")).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -100,3 +100,51 @@ def test_nearest(spark):
     assert ann.build_index(vectors.limit(0)) is None
     few = ann.build_index(vectors.where("vec_id < 3"))
     assert ann.search(few, vectors.where("vec_id = 0").selectExpr("vec_id AS query_id", "vec")).count() == 2
+
+
+def test_blocks_of_lists():
+    first, count = ann._blocks(np.array([3, 4, 30, 0, 5, 10, 1]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5, 6] and count.tolist() == [1, 1, 3, 1, 1, 1, 1]
+
+
+def test_recall_of_production_settings(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((20_000, 32)).astype(np.float32)  # no clusters: the hardest case for lists
+    rows = spark.range(0).sparkSession.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>")
+    vectors = ann.valid_vectors(rows)
+    found = {}
+    for r in ann.search(ann.build_index(vectors), vectors.where("vec_id % 200 = 0").selectExpr("vec_id AS query_id", "vec")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        s = y @ y[q]
+        s[q] = -9
+        hits += len(found[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / 500 >= 0.95
+
+
+def test_toxicity_of_long_texts():
+    table = np.random.default_rng(1).standard_normal(1 << 12).astype(np.float32)
+    model = toxicity.Model(table, 0.5, 1.0, 0.0)
+    words = [f"wörd{i} Ab{i * 7}" for i in range(3000)]
+    texts = [" ".join(words), "\n".join(words), "x" * 2000, "", None, "é" * 900 + " tail"]
+    alone = [model.raw([t])[0] if t is not None else 0.5 for t in texts]
+    assert alone[0] == alone[1] == pytest.approx(max(model.raw([w])[0] for w in words), abs=1e-5) and alone[3] == 0.5
+    import pyarrow as pa
+
+    assert model.raw(pa.array(texts)).tolist() == alone
+    small = [b.tobytes() for b, _, _ in toxicity._slices(pa.array(texts), 100)]
+    assert max(map(len, small)) < 500 and b"".join(small).split() != [] and len(small) > 300
+
+
+def test_one_giant_text():
+    import resource
+
+    import pyarrow as pa
+
+    model = toxicity.Model(np.ones(1 << 12, np.float32), 0.0, 1.0, 0.0)
+    giant = pa.array(["some words of a long text " * 2_000_000])  # 52 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    model.raw(giant)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # KB
