@@ -50,13 +50,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * _weight(F.array_intersect(a, b)) / both)
 
 
-def changed_paragraphs(a: Column, b: Column) -> Column:
-    """Where tree a differs from tree b: (section, paragraph) of a, from 0, whose digest stands elsewhere or nowhere in b. Sections
-    whose paragraphs all agree are passed over by their own digests."""
-    digests = F.transform(a, lambda s, i: F.transform(s, lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p["digest"].alias("digest"))))
-    same = F.flatten(F.transform(b, lambda s: F.transform(s, lambda p: p["digest"])))
-    differing = F.filter(F.flatten(digests), lambda x: ~F.array_contains(same, x["digest"]))
-    return F.when(root(a) == root(b), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.transform(differing, lambda x: F.struct(x["section"], x["paragraph"])))
+def digests(tree: Column) -> Column:
+    return F.flatten(F.transform(tree, lambda s: F.transform(s, lambda p: p["digest"])))
+
+
+def n_changed(a: Column, b: Column) -> Column:
+    """How many different paragraphs tree a has that b has nowhere. By hashing: the work grows with the paragraphs."""
+    return F.size(F.array_except(digests(a), digests(b)))
+
+
+def locate_edits(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """pairs: different keys, trees a and b. Per paragraph of a whose digest b has nowhere: the keys, section, paragraph (both from 0).
+
+    Only pairs whose roots differ are opened, and of those only sections that differ as a whole; what is left is an anti join of digests.
+    """
+    section = lambda s: F.sha2(F.array_join(F.transform(s, lambda p: p["digest"]), ""), 256)
+    differ = pairs.where(root(F.col(a)) != root(F.col(b)))
+    left = differ.select(*keys, F.posexplode(a).alias("section", "_s"))
+    right = differ.select(*keys, F.explode(b).alias("_t"))
+    opened = left.withColumn("_d", section(F.col("_s"))).join(right.select(*keys, section(F.col("_t")).alias("_d")).distinct(), [*keys, "_d"], "left_anti")
+    mine = opened.select(*keys, "section", F.posexplode("_s").alias("paragraph", "_p")).select(*keys, "section", "paragraph", F.col("_p.digest").alias("_d"))
+    theirs = right.select(*keys, F.explode("_t").alias("_p")).select(*keys, F.col("_p.digest").alias("_d")).distinct()
+    return mine.join(theirs, [*keys, "_d"], "left_anti").select(*keys, "section", "paragraph")
 
 
 def _next_bucket(buckets: DataFrame, block: int = 4096) -> DataFrame:
@@ -74,24 +89,31 @@ def _next_bucket(buckets: DataFrame, block: int = 4096) -> DataFrame:
 def with_next(docs: DataFrame, per_bucket: int = 500) -> DataFrame:
     """doc_id, text and next_text: that of the next row in descending doc_id, the first's after the last.
 
-    Null ids come last, equal ids in the order of their texts' hashes. Rows are dealt out by ranges of ids, each with a copy of the
-    row that follows its last one, so texts are shuffled once; ranges are halved until none is crowded.
+    Null ids come last, equal ids in the order of their texts' hashes. Rows are dealt out by ranges of ids (those without id by ranges of
+    hashes), each with a copy of the row that follows its last one, so texts are shuffled once. The width of a range is that of the
+    middle nine tenths of ids, narrowed sixteenfold while a range is crowded; that looks at ids and hashes alone, which are written once.
     """
+    order = F.negative(F.xxhash64("text").cast("decimal(20,0)")).alias("_order")
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    low, high, n = rows.where("doc_id is not null").agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, per_bucket * ((high or 0) - (low or 0) + 1) // max(1, n))
+    keys = materialize(rows.select("doc_id", "_id", order, F.xxhash64("text").alias("_hash")), "keys")
+    low, n, nulls, middle = keys.agg(F.min("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [0.05, 0.95])).first()
+    low, middle = low or 0, middle or [0, 0]
+    width = max(1, per_bucket * (middle[1] - middle[0] + 1) * 10 // (9 * max(1, n)))
+    parts = max(1, nulls // per_bucket)
+
+    def bucket(hashed: Column) -> Column:
+        part = F.least(F.floor((hashed.cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1))
+        return F.coalesce(F.expr(f"doc_id div {width} - if(doc_id < 0 and doc_id % {width} <> 0, 1, 0)"), F.lit(low // width - 1) - part).cast("long")
+
     while True:
-        bucket = F.expr(f"doc_id div {width} - if(doc_id < 0 and doc_id % {width} <> 0, 1, 0)")
-        bucket = F.coalesce(bucket, F.lit((low or 0) // width - 1)).cast("long")
-        heads = materialize(rows.withColumn("bucket", bucket).groupBy("bucket").agg(F.max(F.struct("_id", F.negative(F.xxhash64("text").cast("decimal(20,0)")).alias("_order"))).alias("_head"), F.count(F.lit(1)).alias("_n"), F.countDistinct("doc_id").alias("_ids")), "heads")
-        if width == 1 or not heads.where((F.col("_n") > 8 * per_bucket) & (F.col("_ids") > 1)).limit(1).count():
+        heads = materialize(keys.withColumn("bucket", bucket(F.col("_hash"))).groupBy("bucket").agg(F.max(F.struct("_id", "_order")).alias("_head"), F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")), "heads")
+        if width == 1 or not heads.where((F.col("_n") > 8 * per_bucket) & (F.col("_low") < F.col("_high"))).limit(1).count():
             break
         width = max(1, width // 16)
-    order = F.negative(F.xxhash64("text").cast("decimal(20,0)"))
     target = _next_bucket(heads.select("bucket")).select(F.col("bucket").alias("_target"), F.col("next").alias("bucket"))
     copies = target.join(heads, "bucket").select("_target", F.col("_head._id").alias("_id"), F.col("_head._order").alias("_order"))
     copies = materialize(copies.groupBy("_target").agg(F.first("_id").alias("_id"), F.first("_order").alias("_order")), "copies")
-    dealt = rows.select("doc_id", "_id", "text", bucket.alias("_bucket"), order.alias("_order"), F.lit(0).alias("_copy"))
+    dealt = rows.select("doc_id", "_id", "text", bucket(F.xxhash64("text")).alias("_bucket"), order, F.lit(0).alias("_copy"))
     halo = rows.withColumn("_order", order).join(copies, ["_id", "_order"]).dropDuplicates(["_target"]).select("doc_id", "_id", "text", F.col("_target").alias("_bucket"), "_order", F.lit(1).alias("_copy"))
     within = Window.partitionBy("_bucket").orderBy("_copy", F.desc("_id"), F.desc("_order"))
     return dealt.union(halo).withColumn("next_text", F.lead("text").over(within)).where("_copy = 0").select("doc_id", "text", "next_text")

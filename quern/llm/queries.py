@@ -20,7 +20,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_tokens, n_chunks, ids_sum (sum of ids by place in their chunk, from 1) and round_trip (decoded ids equal the text)."""
+    """Per document: n_tokens, n_chunks, ids_sum (sum of ids by place in their chunk, from 1) and round_trip (decoded ids equal the text).
+
+    Rows of one id are one document, whose numbers are summed, and so are rows without id; null and empty texts have one chunk and no
+    tokens; an empty table gives no rows.
+    """
     from .sentencepiece_scan import decode, encode
 
     model = vocabulary("piece_bpe_32k.model")
@@ -52,6 +56,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, repeated ids too; a null id is not held out, and empty and null texts score as texts without
+    words. Without labels of both classes all texts score alike."""
     from .toxicity import score_toxicity, train
 
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -61,13 +67,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprints import changed_paragraphs, likeness, marks, merkle_tree, root, with_next
+    """Beside the contract's columns n_changed_paragraphs: how many different paragraphs the edited text lacks. A row for each row of
+    documents; null ids stand last in the order, repeated ids in that of their texts' hashes, and null texts are empty."""
+    from .fingerprints import likeness, marks, merkle_tree, n_changed, root, with_next
 
     pairs = with_next(_documents(spark, sf_dir)).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.expr("cast(n_chars div 3 as int)")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.substring("next_text", F.lit(1), cut))
     trees = pairs.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(merkle_tree(F.col(c)).alias(t) for c, t in (("text", "_a"), ("edited", "_b"), ("next_text", "_c"))))
-    parts = trees.select("doc_id", "n_chars", "edited_sha256", root(F.col("_a")).alias("fingerprint"), root(F.col("_b")).alias("edited_fingerprint"), F.size(changed_paragraphs(F.col("_a"), F.col("_b"))).alias("n_changed_paragraphs"), *(marks(F.col(t)).alias(m) for t, m in (("_a", "_ma"), ("_b", "_mb"), ("_c", "_mc"))))
+    parts = trees.select("doc_id", "n_chars", "edited_sha256", root(F.col("_a")).alias("fingerprint"), root(F.col("_b")).alias("edited_fingerprint"), n_changed(F.col("_a"), F.col("_b")).alias("n_changed_paragraphs"), *(marks(F.col(t)).alias(m) for t, m in (("_a", "_ma"), ("_b", "_mb"), ("_c", "_mc"))))
     return parts.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("_ma"), F.col("_mb")).alias("near_edited"), likeness(F.col("_ma"), F.col("_mc")).alias("near_next"), "n_changed_paragraphs")
 
 
