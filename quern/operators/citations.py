@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The words that open a field of a citation, in lower case; a longer word stands before one that it begins with.
 PAGE_WORDS, PART_WORDS = ("sayfa", "page"), ("parçalar", "parça", "chunks", "chunk")
 IMAGE_WORDS, SOURCE_WORDS = ("görsel", "image"), ("belge", "kaynak", "document", "source")
 _SPLITS = 16
-_KIND = "array<struct<kind:string,target:string,page:int,part:int>>"
 
 
 def _after(text: Column, words: tuple[str, ...]) -> Column:
@@ -26,39 +25,33 @@ def _labelled(text: Column, words: tuple[str, ...]) -> Column:
     return F.when(rest.startswith(":"), F.trim(F.substring(rest, 2, 1 << 30)))
 
 
-def _citation(fields: Column) -> Column:
-    """fields: what stands between the commas of a bracket. A citation is a name, a page if there is one, and parts: the name ends
-    before the first field that is a part, or a page with a part after it."""
-    marks = F.transform(fields, lambda f: F.struct(F.trim(f).alias("text"), _after(F.trim(f), PART_WORDS).alias("part"), _after(F.trim(f), PAGE_WORDS).alias("page")))
+def parse_citations(texts: DataFrame, *keys: str, text: str = "content") -> DataFrame:
+    """Per citation of a text: the `keys`, bracket and place (its order in the text), kind (citation or image), target, page, part.
 
-    def begin(mark: Column, i: Column) -> Column:
-        paged = F.coalesce(mark["page"].rlike(r"^\d+$"), F.lit(False)) & F.coalesce(F.try_element_at(marks, i + 2)["part"].isNotNull(), F.lit(False))
-        return (i > 0) & (mark["part"].isNotNull() | paged)
-
-    at = F.array_position(F.transform(marks, begin), F.lit(True)).cast("int")  # from 1; 0 if there is none
-    at_least = F.greatest(at, F.lit(1))
-    first = F.element_at(marks, at_least)
-    paged = first["part"].isNull()
-    tail = F.slice(fields, at_least + F.when(paged, 2).otherwise(1), F.size(fields))
-    parts = F.concat_ws(",", F.array(F.when(paged, F.try_element_at(marks, at_least + 1)["part"]).otherwise(first["part"])), tail)
-    name = F.trim(F.array_join(F.slice(fields, 1, at_least - 1), ","))
-    found = F.struct(F.lit("citation").alias("kind"), F.coalesce(_labelled(name, SOURCE_WORDS), name).alias("target"), F.when(paged, first["page"]).try_cast("int").alias("page"), F.coalesce(F.nullif(F.regexp_extract(parts, r"\d+", 0), F.lit("")).try_cast("int"), F.lit(1)).alias("part"))
-    return F.when((at > 0) & (name != "") & (parts != ""), F.array(found).cast(_KIND)).otherwise(F.array().cast(_KIND))
-
-
-def parse_citations(text: Column) -> Column:
-    """Per bracket of a text an array of what it holds: kind, target, page, part; its citation first, then its images."""
+    A bracket holds parts between semicolons: images, and what is left, which is one citation if it has a name, a page if it likes, and
+    a part, between commas. The name ends before the first field that is a part, or a page with a part after it.
+    """
     closed = F.split(text, r"\]")
-    inner = F.transform(F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda p: F.instr(p, "[") > 0), lambda p: F.substring(p, F.instr(p, "[") + 1, F.length(p)))
-
-    def read(bracket: Column) -> Column:
-        parts = F.filter(F.transform(F.split(bracket, ";"), lambda p: F.trim(p)), lambda p: p != "")
-        images = F.filter(F.transform(parts, lambda p: _labelled(p, IMAGE_WORDS)), lambda p: F.coalesce(p, F.lit("")) != "")
-        rest = F.array_join(F.filter(parts, lambda p: _labelled(p, IMAGE_WORDS).isNull()), "; ")
-        shown = F.transform(images, lambda p: F.struct(F.lit("image").alias("kind"), p.alias("target"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("part")))
-        return F.concat(_citation(F.split(rest, ",")), shown.cast(_KIND))
+    opened = F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda p: F.instr(p, "[") > 0)
+    brackets = texts.select(*keys, F.posexplode(F.transform(opened, lambda p: F.substring(p, F.instr(p, "[") + 1, F.length(p)))).alias("bracket", "_inner"))
+    parts = F.transform(F.filter(F.split("_inner", ";"), lambda p: F.trim(p) != ""), lambda p: F.struct(F.trim(p).alias("text"), _labelled(F.trim(p), IMAGE_WORDS).alias("image")))
+    split = brackets.withColumn("_parts", parts)
+    images = split.select(*keys, "bracket", F.posexplode("_parts").alias("place", "_p")).where("_p.image <> ''").select(*keys, "bracket", (F.col("place") + 1).alias("place"), F.lit("image").alias("kind"), F.col("_p.image").alias("target"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("part"))
+
+    rest = F.array_join(F.transform(F.filter("_parts", lambda p: p["image"].isNull()), lambda p: p["text"]), "; ")
+    fields = split.select(*keys, "bracket", F.split(rest, ",").alias("_fields"))
+    marked = fields.withColumn("_marks", F.transform("_fields", lambda f: F.struct(_after(F.trim(f), PART_WORDS).alias("part"), _after(F.trim(f), PAGE_WORDS).alias("page"))))
+
+    def begins(mark: Column, i: Column) -> Column:
+        paged = F.coalesce(mark["page"].rlike(r"^\d+$"), F.lit(False)) & F.coalesce(F.try_element_at("_marks", i + 2)["part"].isNotNull(), F.lit(False))
+        return (i > 0) & (mark["part"].isNotNull() | paged)
 
-    return F.transform(inner, read)
+    at = marked.withColumn("_at", F.array_position(F.transform("_marks", begins), F.lit(True)).cast("int")).where("_at > 0")
+    first = at.withColumn("_first", F.get("_marks", F.col("_at") - 1)).withColumn("_paged", F.col("_first.part").isNull())
+    number = F.concat_ws(",", F.array(F.when(F.col("_paged"), F.get("_marks", F.col("_at"))["part"]).otherwise(F.col("_first.part"))), F.slice("_fields", F.col("_at") + F.when(F.col("_paged"), 2).otherwise(1), F.size("_fields")))
+    named = first.withColumns({"_name": F.trim(F.array_join(F.slice("_fields", 1, F.greatest(F.col("_at") - 1, F.lit(0))), ",")), "_number": number}).where("_name <> '' and _number <> ''")
+    cited = named.select(*keys, "bracket", F.lit(0).alias("place"), F.lit("citation").alias("kind"), F.coalesce(_labelled(F.col("_name"), SOURCE_WORDS), "_name").alias("target"), F.when(F.col("_paged"), F.col("_first.page")).try_cast("int").alias("page"), F.coalesce(F.nullif(F.regexp_extract("_number", r"\d+", 0), F.lit("")).try_cast("int"), F.lit(1)).alias("part"))
+    return cited.unionByName(images)
 
 
 def name_matches(targets: DataFrame, documents: DataFrame) -> DataFrame:
@@ -82,8 +75,9 @@ def extract_citations(messages: DataFrame, documents: DataFrame, chunks: DataFra
     Per citation of an assistant's message: message_id, n (its place), kind (citation or image), target (name or path), page, part,
     document_id (see name_matches), supported (whether that chunk exists) (O84).
     """
-    read = F.flatten(parse_citations(F.col("content")))
-    found = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), "workspace_id", F.posexplode(read).alias("n", "c")).select("message_id", "workspace_id", "n", "c.*")
+    answers = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), "workspace_id", "content")
+    order = Window.partitionBy("message_id").orderBy("bracket", "place")
+    found = parse_citations(answers, "message_id", "workspace_id").withColumn("n", F.row_number().over(order) - 1)
     keyed = found.withColumn("_key", F.when(F.col("kind") == "citation", F.nullif(F.lower(F.trim("target")), F.lit(""))))
     targets = keyed.where("_key is not null").select("workspace_id", F.col("_key").alias("target")).distinct()
     matches = name_matches(targets, documents).withColumnRenamed("target", "_key")

@@ -129,8 +129,11 @@ def test_citations(spark):
         "[, parça 1] [sayfa 1, parça 2] [open, parça 3": [("citation", "sayfa 1", None, 2)],
         None: [], "": [],
     }
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", F.flatten(citations.parse_citations(F.col("t"))).alias("c"))
-    assert {r.i: [tuple(x) for x in r.c or []] for r in df.collect()} == dict(enumerate(cases.values()))
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, content string")
+    got = {i: [] for i in range(len(cases))}
+    for r in citations.parse_citations(df, "i").orderBy("i", "bracket", "place").collect():
+        got[r.i].append((r.kind, r.target, r.page, r.part))
+    assert got == dict(enumerate(cases.values()))
 
 
 def test_citations_find_documents(spark):
