@@ -4,8 +4,8 @@ tables and exact reranking.
 Centroids and codebooks are fitted on a bounded sample; every valid row is indexed. Rows lie in blocks of several short lists or a part
 of a long one. A query goes once, with its vector, to each block that holds a list it probes, and the queries of a block are dealt into
 blocks too; so a list with a third of all rows, or one that most queries probe, is many tasks. Within a pair of blocks a table of each
-query's products with the codebooks ranks the codes of its lists; the best `rerank`, and all that tie with the last of them, are scored
-exactly on the vectors.
+query's products with the codebooks ranks the codes of its lists; the best `rerank`, and all that the codes' error (`sigmas` times) doesn't tell
+from the k-th, are scored exactly on the vectors.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ class Settings:
     codes: int = 256
     recall: float = 0.99
     rerank: int = 256
+    sigmas: float = 4.0
     block: int = 8192
     query_block: int = 512
     max_lists: int = 4096
@@ -39,11 +40,13 @@ class Settings:
 
 @dataclass(frozen=True)
 class Index:
-    """rows: vec_id, list, code (binary), vec (original). coarse: centroids of unit vectors; books: codebooks of residuals by part."""
+    """rows: vec_id, list, code (binary), vec (original). coarse: centroids of unit vectors; books: codebooks of residuals by part; error:
+    what codes take from or add to a product with a unit vector, root mean square over the sample."""
 
     rows: DataFrame
     coarse: np.ndarray
     books: list[np.ndarray]
+    error: float
     probes: int
     sizes: np.ndarray
     settings: Settings
@@ -95,7 +98,10 @@ def build_index(vectors: DataFrame, settings: Settings = Settings()) -> Index |
     coarse = _kmeans(x, lists, settings.seed)
     residual = x - coarse[_nearest(x, coarse)]
     parts = max(p for p in range(1, settings.parts + 1) if dim % p == 0)
-    books = [_kmeans(r, settings.codes, settings.seed) for r in np.split(residual, parts, axis=1)]
+    split = np.split(residual, parts, axis=1)
+    books = [_kmeans(r, settings.codes, settings.seed) for r in split]
+    lost = sum(((r - b[_nearest(r, b)]) ** 2).sum() for r, b in zip(split, books, strict=True))
+    error = float(np.sqrt(lost / len(x) / dim))
 
     @frugal
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +116,13 @@ def build_index(vectors: DataFrame, settings: Settings = Settings()) -> Index |
     sizes = np.zeros(len(coarse), np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most max_lists rows
         sizes[r["list"]] = r["count"]
-    return Index(indexed, coarse, books, _probes(x, coarse, settings), sizes, settings)
+    return Index(indexed, coarse, books, error, _probes(x, coarse, settings), sizes, settings)
 
 
 def _probes(x: np.ndarray, coarse: np.ndarray, settings: Settings, k: int = 5) -> int:
-    """The fewest lists to probe that find the share `recall` of true neighbours within the sample. Data without clusters need most."""
+    """The fewest lists to probe that find the share `recall` of true neighbours within the sample, each different vector once: copies of
+    one vector, which are in each other's list, would hide what the rest needs. Data without clusters need most lists."""
+    x = np.unique(x, axis=0)
     queries = np.arange(0, len(x), max(1, len(x) // 400))
     score = x[queries] @ x.T
     score[np.arange(len(queries)), queries] = -np.inf
@@ -144,7 +152,7 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """queries: query_id, vec, valid and of the index's length (others give no rows). Per query its k nearest found by cosine, of rows
     with another id: query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id; a query has fewer rows if the index has."""
     coarse, books, probes, s = index.coarse, index.books, index.probes, index.settings
-    dim = coarse.shape[1]
+    dim, margin = coarse.shape[1], s.sigmas * index.error
     first, count = _blocks(index.sizes, s.block)
 
     def probed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +188,10 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
                 for j, (part, book) in enumerate(zip(np.split(unit, len(books), axis=1), books, strict=True)):
                     adc += (part @ book.T)[:, code[:, j]]
                 adc[~wanted[:, lists] | (some_ids[:, None] == ids[None, :])] = -np.inf
-                least = np.partition(adc, max(0, len(ids) - s.rerank), axis=1)[:, max(0, len(ids) - s.rerank)]
+                # the best by the table, and all that are within its error of the k-th: a group of near copies as a whole
+                some_best, kth = max(0, len(ids) - s.rerank), max(0, len(ids) - k)
+                ranked = np.partition(adc, sorted({some_best, kth}), axis=1)
+                least = np.minimum(ranked[:, some_best], ranked[:, kth] - margin)
                 for r, query in enumerate(some):
                     at = np.flatnonzero((adc[r] >= least[r] - 1e-12) & np.isfinite(adc[r]))
                     cosine = (x[at] * query).sum(1) / (norm[at] * np.sqrt((query * query).sum()))
