@@ -31,6 +31,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more; one that isn't there is as good."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out over all cores if it is read in fewer parts than that, as a file of one row group is. A large table stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
