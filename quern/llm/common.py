@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, scratch, shared_dir  # noqa: F401
+from ..sources.scratch import discard, materialize, scratch, shared_dir  # noqa: F401
 
 
 def frugal(function: Callable) -> Callable:

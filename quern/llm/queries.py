@@ -111,7 +111,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), Settings(length=50))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of null lang are in part ''; repeated rows count each; rows without id fail no E and have no labels; of several labels
+    of one id any counts. An empty table has no parts and gives no rows."""
+    from .filter_audit import audit, failure_masks
+
+    return audit(failure_masks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words, repeated rows count again, and rows without id hash their words as with an empty id. An empty
+    table gives no rows."""
+    from .spelling import variant_groups, word_counts
+
+    return variant_groups(word_counts(_documents(spark, sf_dir)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates, op11_filter_audit, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {
     "op10_near_duplicates": r"""
@@ -128,6 +144,27 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l
 parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+    "op11_filter_audit": r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT d.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+places AS (SELECT o, s, o[s] AS x, '[' || o[1:s] || ']' AS until, '[' || o[1:s - 1] || ']' AS earlier FROM orders, range(1, 6) r(s)),
+steps AS (
+  SELECT part, o, s, x, sum(n) FILTER (s = 1 OR NOT regexp_matches(mask, earlier)) AS before, sum(n) FILTER (contains(mask, x) AND (s = 1 OR NOT regexp_matches(mask, earlier))) AS removed,
+    sum(n) FILTER (contains(mask, x)) AS fails, sum(n) FILTER (mask = x) AS unique_fails,
+    sum(good) FILTER (contains(mask, x) AND (s = 1 OR NOT regexp_matches(mask, earlier))) AS good_lost, sum(toxic) FILTER (contains(mask, x) AND (s = 1 OR NOT regexp_matches(mask, earlier))) AS toxic_lost
+  FROM c, (SELECT o, s, x, until, CASE WHEN s = 1 THEN 'none' ELSE earlier END AS earlier FROM places) GROUP BY 1, 2, 3, 4)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(coalesce(before, 0) - coalesce(removed, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(fails, 0) - coalesce(removed, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM steps
 """,
     # exact search: the index finds all of it on tables of this size
     "op7_nearest": """

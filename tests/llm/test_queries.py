@@ -14,6 +14,7 @@ from quern.llm import toxicity
 from quern.llm.queries import vocabulary
 
 from .helpers import empty, odd, odd_rows
+from .brute import brute_words
 from .test_dedup import brute_near
 from .test_tokens import check_packing, library_ids
 
@@ -49,6 +50,10 @@ def test_odd_rows(spark, odd_dir, name):
         assert len(rows) == 6 and {r.page_id: r.verdict for r in rows}[4] == "block"
     elif name == "op1_sentencepiece":
         assert {r.doc_id for r in rows} == {*ids, None} and all(r.round_trip for r in rows)
+    elif name == "op11_filter_audit":
+        assert {r.part for r in rows} == {"", "en"} and len(rows) == 1200 and all(r.kept + r.removed <= len(odd_rows()) for r in rows)
+    elif name == "op13_spelling_variants":
+        assert {r.word: r.n for r in rows} == brute_words([r[:2] for r in odd_rows()])
     elif name == "op8_packing":
         assert {r.doc_id for r in rows} == {*ids, None} and check_packing(rows, 1024) > 0
     else:
