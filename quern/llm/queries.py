@@ -119,6 +119,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(failure_masks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of base spans; n_added says how many the method adds. A row for each row of documents, repeated ids and null ids
+    too; null and empty texts have no spans; an empty table gives no rows."""
+    from .pii import find_personal_data
+
+    return find_personal_data(_documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts have no words, repeated rows count again, and rows without id hash their words as with an empty id. An empty
     table gives no rows."""
@@ -127,7 +135,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_groups(word_counts(_documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates, op11_filter_audit, op13_spelling_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_fingerprints, op4_toxicity, op5_url_filter, op6_binary_records, op7_nearest, op8_packing, op9_suffix_dedup, op10_near_duplicates, op11_filter_audit, op12_personal_data, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {
     "op10_near_duplicates": r"""

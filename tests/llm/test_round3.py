@@ -1,14 +1,17 @@
 """Filter audit, spelling variants and personal data against plain Python."""
 
+import hashlib
 import random
 import re
+import time
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pytest
 
 import __spark_entry__
-from quern.llm import filter_audit, spelling
+from quern.llm import filter_audit, pii, spelling
 
 from .brute import brute_words
 from .helpers import empty, odd_rows
@@ -149,4 +152,97 @@ def test_long_texts_are_split_at_white_space(monkeypatch):
 
 def test_no_rows(spark):
     root = tables(spark, empty(spark))
-    assert all(__spark_entry__.queries()[n](spark, root).count() == 0 for n in ("op11_filter_audit", "op13_spelling_variants"))
+    assert all(__spark_entry__.queries()[n](spark, root).count() == 0 for n in ("op11_filter_audit", "op12_personal_data", "op13_spelling_variants"))
+
+
+LOOSE = {
+    0: re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 1: re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    2: re.compile(r"[0-9]([\x20-]?[0-9])+"), 3: re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def brute_spans(text):
+    """The contract's patterns as they stand."""
+    out = []
+    for kind, form in LOOSE.items():
+        for m in form.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            sums = [int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits))]
+            fits = {0: True, 1: all(int(p) <= 255 for p in m.group().split(".")) if kind == 1 else False, 2: 14 <= len(digits) <= 19 and sum(sums) % 10 == 0, 3: 10 <= len(digits) <= 15}
+            if fits[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_base_spans():
+    rng = random.Random(8)
+    pieces = ["a", "b.c", "@", "@x.y", ".", "-", " ", "+", "1", "255", "256", "0007", "4316522678525456", "4316 5226-7852 5456", "+1 (743) 555-3824", "12.34.56.78", "é", "٣", "%", "(", ")", "\n", "00"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    assert pii.luhn("4316522678525456") and not pii.luhn("4316522678525457")
+
+
+def test_forms_take_linear_time():
+    """Long runs that begin a form everywhere and end it nowhere."""
+    start = time.time()
+    for text in ("x" * 10**6, "1" * 10**6 + "x", "1 " * 500_000 + "x", "1." * 500_000, "a@" * 500_000, "a." * 500_000 + "@", "+1" * 500_000, "+1" + " " * 10**6, "1-2." * 200_000, ":1" * 400_000, "a at " * 200_000, "(1)" * 300_000, "a=" * 300_000 + "1234567"):
+        base = pii.base_spans(text)
+        pii.candidates(text, base)
+        pii.patterns(text, len(text))
+    assert time.time() - start < 60
+
+
+def pii_rows():
+    rng = random.Random(9)
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(7))
+    rows = []
+    for i in range(40):  # a cue that always leads to numbers, of which some have no plus
+        rows.append((i, f"please tel: {'+1 555 ' if i % 2 else ''}{number()[:3]} {number()[:4]} thanks for the {number()} bags"))
+    for i in range(40, 60):  # seen only beside values that the first cue has shown
+        rows.append((i, f"Fax = {rows[2 * (i - 40)][1].split('tel: ')[1][:8]} ok"))
+    for i in range(60, 66):  # only that second cue
+        rows.append((i, f"new Fax = {number()[:3]} {number()[:4]} ok"))
+    for i in range(66, 80):  # mails, some spelt out
+        rows.append((i, f"email: u{i}@mail{i}.example.com" if i % 3 else f"email: u{i} at mail dot example dot com, met bob at noon.example"))
+    return rows
+
+
+def test_patterns_find_more(spark):
+    rows = pii_rows()
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, row string, kind int")
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    added = {i: [s for s in r.spans.split(",") if s and s not in joined(brute_spans(dict(rows)[i])).split(",")] for i, r in got.items()}
+    assert all(r.n_added == len(added[i]) for i, r in got.items())
+    text = dict(rows)
+    shown = {i: [text[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans] for i, spans in added.items()}
+    assert all(shown[i] == ([] if i % 2 else [text[i].split("tel: ")[1][:8]]) for i in range(40))  # never the bags
+    assert all(shown[i] == [text[i].split("= ")[1][:8]] for i in range(40, 66))
+    assert all(shown[i] == ([] if i % 3 else [f"u{i} at mail dot example dot com"]) for i in range(66, 80))
+
+
+def test_places_are_counted(spark):
+    docs = spark.createDataFrame([("Tel: 1 tel: tel : the tel. tel x THE  tel:é",), (None,), ("",), ("my phone is phone",)], "text string")
+    wanted = spark.createDataFrame([("tel:",), ("the tel",), ("the tel:",), ("phone",), ("my phone",), ("none",)], "pattern string")
+    assert {r.pattern: r.places for r in pii.count_places(docs, wanted).collect()} == {"tel:": 4, "the tel": 1, "the tel:": 1, "phone": 2, "my phone": 1}
+    assert pii.patterns("the  Tel : 123", 11) == ["tel:", "the tel:"] and pii.patterns("123", 0) == [] and pii.patterns("a " + "x" * 90 + " 1", 93) == []
+
+
+def test_personal_data_of_tables(spark):
+    """Base spans of every row as the contract's patterns give them, and added ones beside them."""
+    path = "/root/testdata/sf0.01"
+    odd_dir = tables(spark, spark.createDataFrame([(r[0], r[1], "x") for r in odd_rows()] + [(40, "a@b.c 1.2.3.4 " * 3, "y"), (40, "a@b.c 1.2.3.4 " * 3, "y")], "doc_id bigint, text string, base string"))
+    for root in (path, odd_dir):
+        texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+        rows = __spark_entry__.queries()["op12_personal_data"](spark, root).collect()
+        want = []
+        for i, t in texts:
+            spans = brute_spans(t)
+            want.append((i, *(sum(k == j for _, k, _ in spans) for j in range(4)), hashlib.sha256(joined(spans).encode()).hexdigest()))
+        assert sorted((tuple(r)[:6] for r in rows), key=str) == sorted(want, key=str)
+        of = Counter((i, s) for i, t in texts for s in joined(brute_spans(t)).split(",") if s)
+        assert not of - Counter((r.doc_id, s) for r in rows for s in r.spans.split(","))
