@@ -11,6 +11,7 @@ from .operators import chunking, citations, dense, enrich, fusion, layout, lexic
 from .plans import fixtures as fx
 from .plans.answer import answer_batch
 from .sources import store
+from .sources.chunk_store import ChunkStore, Layout
 from .sources.scratch import materialize, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,6 +587,26 @@ def o07_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert_chunks(target, batch).drop("version")
 
 
+#: Document d comes in batch d % 20, a third of them again (shorter) one batch later; a fifth of those that came two batches before go.
+@_query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+last AS (SELECT *, doc_id % 3 = 0 AND doc_id % 20 < 19 AS again FROM lines)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(text) AS text, CAST(doc_id % 20 + again::INT AS BIGINT) AS version FROM last
+WHERE NOT (again AND i > 0) AND NOT (doc_id % 5 = 0 AND doc_id % 20 < 18)""")
+def o07_store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty batches of new, shortened and deleted documents into the versioned store, every one of them sent twice."""
+    docs = materialize(fx.read(spark, sf_dir, "documents").select("doc_id", "text"), "docs")
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("chunk_index", "text")).where("text IS NOT NULL").withColumn("text", F.md5("text"))
+    kept = ChunkStore(spark, scratch(spark, "store"), "doc_id bigint, chunk_index int, text string, version bigint", Layout(fan=4, least=1 << 20))
+    for batch in range(20):
+        new, again = lines.where(F.col("doc_id") % 20 == batch), lines.where((F.col("doc_id") % 20 == batch - 1) & (F.col("doc_id") % 3 == 0) & (F.col("chunk_index") == 0))
+        gone = docs.where((F.col("doc_id") % 20 == batch - 2) & (F.col("doc_id") % 5 == 0)).select("doc_id")
+        rows = new.union(again).withColumn("version", F.lit(batch).cast("long"))
+        for _ in range(2):
+            kept.replace(rows, gone, "replay", batch)
+    kept.vacuum(keep=1)
+    return kept.read()
+
+
 @_query(_with(fx.CHUNKS) + "SELECT doc_id, chunk_index FROM chunks WHERE doc_id % 10 <> 3")
 def o08_delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = fx.chunks(spark, sf_dir)

@@ -1,0 +1,178 @@
+"""The keyed chunk store (O7, O8) as a log of deltas over buckets: a batch writes what it brings, reads merge, sizes decide what is merged
+for good."""
+
+from __future__ import annotations
+
+import math
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .versions import Versions
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Deltas of about one size (a power of `fan`) are merged when there are `fan` of them; all of them go into the buckets when they hold
+    `ratio` of the buckets' bytes (`least` bytes at least). A bucket of more than `bucket` bytes is split by the next bits of its hash.
+    So a row is rewritten about fan * log(size) / ratio times in all, whatever the number of batches."""
+
+    fan: int = 8
+    ratio: float = 0.25
+    least: int = 64 << 20
+    bucket: int = 256 << 20
+
+
+class ChunkStore:
+    """A chunk table by key (doc_id, chunk_index) with versions.
+
+    A delta is a folder of rows, sorted by key, and of the documents that it takes out (all that its batch names, so a document that has
+    become shorter keeps no tail). A row counts where no later delta takes its document out. A bucket holds the rows of a range of
+    hashes, sorted by key; batches don't touch it. Each writer's last batch is part of the version, so a replayed batch does nothing.
+    Writers of several applications may meet: who finds its version's number taken tries the next one, with the same folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, layout: Layout = Layout()):
+        self.spark, self.path, self.schema, self.layout = spark, path.rstrip("/"), schema, layout
+        self.versions = Versions(spark, path)
+
+    # what a version consists of
+
+    def _state(self, version: int | None = None) -> dict:
+        state = self.versions.latest() if version is None else self.versions.read(version)
+        return {"deltas": [], "buckets": [{"bits": 0, "prefix": 0, "path": None, "bytes": 0}], "writers": {}, **state}
+
+    def _commit(self, state: dict) -> bool:
+        paths = [d["path"] for d in state["deltas"]] + [b["path"] for b in state["buckets"] if b["path"]]
+        return self.versions.commit({**state, "version": state["version"] + 1, "paths": paths})
+
+    def _new(self) -> str:
+        return f"{self.path}/data/{uuid.uuid4().hex}"
+
+    # reading
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _gone(self, deltas: list[dict]) -> DataFrame:
+        """doc_id, _until: up to which delta, itself left out, a document's rows are taken out."""
+        kind = self._rows([]).select("doc_id").schema
+        each = [self.spark.read.schema(kind).parquet(f"{d['path']}/gone").withColumn("_until", F.lit(d["seq"])) for d in deltas]
+        every = each[0]
+        for one in each[1:]:
+            every = every.union(one)
+        return every.groupBy("doc_id").agg(F.max("_until").alias("_until"))
+
+    def _merged(self, base: list[str], deltas: list[dict]) -> DataFrame:
+        rows = self._rows(base)
+        if not deltas:
+            return rows
+        every = rows.withColumn("_seq", F.lit(0))
+        for d in deltas:
+            every = every.union(self._rows([f"{d['path']}/rows"]).withColumn("_seq", F.lit(d["seq"])))
+        kept = every.join(self._gone(deltas), "doc_id", "left").where("_until is null or _seq >= _until")
+        return kept.select(*rows.columns)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, the newest unless one is named."""
+        state = self._state(version)
+        return self._merged([b["path"] for b in state["buckets"] if b["path"]], state["deltas"])
+
+    # writing
+
+    def _write_delta(self, rows: DataFrame, gone: DataFrame) -> dict:
+        path = self._new()
+        rows.sortWithinPartitions("doc_id", "chunk_index").write.parquet(f"{path}/rows")
+        gone.write.parquet(f"{path}/gone")
+        return {"path": path, "bytes": self.versions.size(path)}
+
+    def replace(self, rows: DataFrame | None, gone: DataFrame, writer: str, batch: int) -> None:
+        """Takes out all chunks of the documents in gone (doc_id) and puts rows in; their documents count as gone before, too. Rows without
+        doc_id are left out. Writes in proportion to the batch."""
+        done = lambda s: batch <= s["writers"].get(writer, -1)
+        if done(self._state()):
+            return
+        new = self._rows([]) if rows is None else rows.where("doc_id is not null").select(*self._rows([]).columns)
+        ids = gone.select("doc_id").union(new.select("doc_id")).where("doc_id is not null").distinct()
+        delta = self._write_delta(new, ids)
+        while not done(state := self._state()):
+            change = {"deltas": [*state["deltas"], {**delta, "seq": state["version"] + 1}], "writers": {**state["writers"], writer: batch}}
+            if self._commit({**state, **change}):
+                break
+        self.tidy()
+
+    # merging
+
+    def tidy(self) -> None:
+        """Merges deltas of one size, and all of them into the buckets where they have become large. Gives up where another writer's merge
+        came first; the next batch tries again."""
+        state = self._state()
+        size = sum(d["bytes"] for d in state["deltas"])
+        if size > max(self.layout.least, self.layout.ratio * sum(b["bytes"] for b in state["buckets"])):
+            self._into_buckets(state)
+            return
+        tier = lambda d: int(math.log(d["bytes"] + 1, self.layout.fan))
+        tail: list[dict] = []
+        for d in reversed(state["deltas"]):
+            if tail and tier(d) > max(map(tier, tail)):
+                break
+            tail.insert(0, d)
+        if len(tail) >= self.layout.fan:
+            self._join_deltas(state, tail)
+
+    def _replaced(self, old: list[dict], new: list[dict], buckets: tuple[list[dict], list[dict]] | None = None) -> bool:
+        """Commits a merge of `old` deltas; batches that came in the meantime stay."""
+        while True:
+            state = self._state()
+            if any(d not in state["deltas"] for d in old) or (buckets and state["buckets"] != buckets[0]):
+                return False
+            rest = [d for d in state["deltas"] if d not in old]
+            change = {"deltas": sorted([*new, *rest], key=lambda d: d["seq"])}
+            if self._commit({**state, **change, **({"buckets": buckets[1]} if buckets else {})}):
+                return True
+
+    def _join_deltas(self, state: dict, deltas: list[dict]) -> None:
+        delta = self._write_delta(self._merged([], deltas), self._gone(deltas).select("doc_id"))
+        self._replaced(deltas, [{**delta, "seq": deltas[-1]["seq"]}])
+
+    @staticmethod
+    def _place(buckets: list[dict]) -> Column:
+        """The number of a document's bucket: a directory over as many first bits of the hash as the smallest bucket has."""
+        depth = max(b["bits"] for b in buckets)
+        if depth == 0:
+            return F.lit(0)
+        directory = [0] * (1 << depth)
+        for i, b in enumerate(buckets):
+            width = depth - b["bits"]
+            directory[b["prefix"] << width : (b["prefix"] + 1) << width] = [i] * (1 << width)
+        return F.element_at(F.lit(directory), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - depth).cast("int") + 1)
+
+    def _into_buckets(self, state: dict) -> None:
+        old, deltas = state["buckets"], state["deltas"]
+        coming = self._gone(deltas).groupBy(self._place(old).alias("bucket")).count().collect()  # a row a bucket
+        share = sum(d["bytes"] for d in deltas) / max(1, sum(r["count"] for r in coming))
+        new, touched, fresh = [], [], []
+        for i, b in enumerate(old):
+            n = next((r["count"] for r in coming if r["bucket"] == i), 0)
+            if n == 0:
+                new.append(b)
+                continue
+            touched.append(b)
+            more = max(0, math.ceil(math.log2(max(1, b["bytes"] + n * share) / self.layout.bucket)))
+            fresh += [{"bits": b["bits"] + more, "prefix": (b["prefix"] << more) + j} for j in range(1 << more)]
+        layout, data = [*new, *fresh], self._new()
+        rows = self._merged([b["path"] for b in touched if b["path"]], deltas).withColumn("_bucket", self._place(layout))
+        # a bucket is one task's: its size has a bound
+        rows.repartition("_bucket").sortWithinPartitions("_bucket", "doc_id", "chunk_index").write.partitionBy("_bucket").parquet(data)
+        fs, at = self.versions._fs()[0], self.versions._hadoop.Path(data)
+        full = {int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if f.isDirectory()}
+        for i, b in enumerate(layout):
+            if "path" not in b:
+                path = f"{data}/_bucket={i}" if i in full else None
+                b |= {"path": path, "bytes": self.versions.size(path) if path else 0}
+        self._replaced(deltas, [], (old, layout))
+
+    def vacuum(self, keep: int = 10) -> list[str]:
+        return self.versions.vacuum(keep)

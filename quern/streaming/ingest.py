@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import threading
-import uuid
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +15,7 @@ from ..operators.chunking import chunk_segments
 from ..operators.enrich import workspace_summary_due
 from ..operators.lexical import refresh_index
 from ..plans.answer import answer_batch
+from ..sources.chunk_store import ChunkStore
 from ..sources.store import read_text_segments
 
 #: Which status may follow which; the last three are final.
@@ -34,61 +31,6 @@ def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.element_at(parts, -2).alias("doc_id"), F.element_at(parts, -1).alias("filename"), "content")
 
 
-class ChunkStore:
-    """A chunk table by key (doc_id, chunk_index), dealt into hash buckets of documents; a batch writes the buckets that it touches anew
-    and leaves the others where they are.
-
-    {path}/data/<id>/bucket=<b> holds the rows, {path}/manifest one row a version and bucket: where its rows are from then on (nowhere if
-    it has none), and which batch of which writer made it. All writers share one sequence of versions. A commit is one file of the
-    manifest, so readers see all of a batch or nothing, and a batch that was committed before does nothing when it is replayed. One
-    application writes a store; its streams take turns.
-    """
-
-    MANIFEST = "version bigint, bucket int, place string, writer string, batch bigint"
-    _locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 64):
-        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
-
-    def _manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], self.MANIFEST)
-
-    def places(self) -> dict[int, str]:
-        """Where the rows of each bucket that has any are: at most `buckets` entries."""
-        newest = self._manifest().where("bucket is not null").groupBy("bucket").agg(F.max_by("place", "version").alias("place"))
-        return {r["bucket"]: r["place"] for r in newest.collect() if r["place"]}
-
-    def _load(self, places: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*places) if places else self.spark.createDataFrame([], self.schema)
-
-    def read(self) -> DataFrame:
-        return self._load(list(self.places().values()))
-
-    def replace(self, rows: DataFrame | None, gone: DataFrame, writer: str, batch: int) -> None:
-        """Takes out all chunks of the documents in gone (doc_id), so that a document that has become shorter keeps no old tail, and puts
-        rows in."""
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
-        with self._locks[self.path]:
-            manifest = self._manifest()
-            if not manifest.where((F.col("writer") == writer) & (F.col("batch") == batch)).isEmpty():
-                return
-            version = (manifest.agg(F.max("version")).first()[0] or 0) + 1
-            ids = gone.select("doc_id") if rows is None else gone.select("doc_id").union(rows.select("doc_id"))
-            touched = sorted(r[0] for r in ids.where("doc_id is not null").select(bucket).distinct().collect())  # at most `buckets`
-            now, data = self.places(), f"{self.path}/data/{uuid.uuid4().hex}"
-            left = self._load([now[b] for b in touched if b in now]).join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-            new = left if rows is None else left.unionByName(rows.where("doc_id is not null").select(*left.columns))
-            new.withColumn("bucket", bucket).repartition("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id", "chunk_index").write.partitionBy("bucket").parquet(data)
-            full = {r[0] for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(data).select("bucket").distinct().collect()}
-            made = [(version, b, f"{data}/bucket={b}" if b in full else None, writer, batch) for b in touched] or [(version, None, None, writer, batch)]
-            self.spark.createDataFrame(made, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-
 def ingest_text(files: DataFrame, store: ChunkStore, checkpoint: str, errors: str | None = None, config: Config = DEFAULT) -> StreamingQuery:
     """files: doc_id, content (a stream). The chunks of each document of a batch take the place of its old ones; a document that gives
     none leaves a row in `errors`, keeps what it had, and stops no other. A batch that runs twice is put in once."""
