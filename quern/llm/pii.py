@@ -41,11 +41,11 @@ _COLON_IP = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?!
 _MARKS = ("(at)", "[at]", "{at}", "(AT)", "[AT]", "{AT}", " at ", " AT ", " @ ", "＠")
 _SPELT_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]++(?:(?:\.| ?[(\[{](?:dot|DOT)[)\]}] ?| (?:dot|DOT) )[A-Za-z0-9-]++)++")
 
-_GAP = r"[\s:=#\"'\[<]*"
-_CUE = re.compile(rf"(?:([^\W\d_]+)(\s+))?([^\W\d_]+)({_GAP})\Z")
-_WORD = re.compile(rf"([^\W\d_]+)({_GAP})")
-#: Characters before a mention in which its patterns are looked for.
-BEFORE = 80
+#: Marks that end the word before them, with a space or none, so that a label and what it labels are two words.
+LABELS = ":=#\"'<["
+_CUT = re.compile(r"\s(?=\w)")
+#: Characters before a mention in which its patterns are looked for, and of a text whose words are counted at a time.
+BEFORE, SLICE = 80, 1 << 20
 #: Slots of the filter that keeps most words of the corpus out of the shuffle; its size is fixed whatever the corpus.
 SLOTS = 1 << 20
 HELD = 100_000
@@ -144,14 +144,22 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _words(text: str) -> list[str]:
+    for mark in LABELS:
+        text = text.replace(f" {mark}", mark).replace(mark, f"{mark} ")
+    return text.casefold().split()
+
+
 def patterns(text: str, start: int) -> list[str]:
-    """What stands before a mention: its last word and the marks after it, and the same with the word before; none at a text's start."""
+    """What stands before a mention: its last word, with the marks of a label after it, and the last two; none at a text's start or within
+    a word."""
     low = max(0, start - BEFORE)
-    cue = _CUE.search(text, low, start)
-    if not cue or (cue.start(3) == low > 0):
+    if not start or not (text[start - 1].isspace() or text[start - 1] in LABELS):
         return []
-    one = cue[3].lower() + "".join(cue[4].split())
-    return [one, f"{cue[1].lower()} {one}"] if cue[1] and not cue.start(1) == low > 0 else [one]
+    words = _words(text[low:start])[-3:]
+    if low and len(words) < 3:
+        words = words[1:]  # the first may have lost its beginning
+    return [" ".join(words[-n:]) for n in (1, 2) if n <= len(words)]
 
 
 MENTION = "start int, kind int, end int, value binary, patterns array<string>"
@@ -183,43 +191,61 @@ def _colons(fields: str) -> str:
 
 def count_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """pattern, places: how often each pattern of `wanted` (pattern) stands in the texts, whatever follows."""
-    slots = [r[0] for r in wanted.select(F.pmod(F.crc32("pattern"), F.lit(SLOTS)).cast("int")).distinct().collect()]  # at most SLOTS
-    marks = bytearray(SLOTS)
-    for s in slots:
-        marks[s] = 1
-    held_marks = bytes(marks)
+    slot = lambda c: F.pmod(F.crc32(c), F.lit(SLOTS)).cast("int")
+    slots = wanted.select(F.explode(F.array(slot("pattern"), slot(F.substring_index("pattern", " ", -1)))).alias("slot")).distinct()
+    marks = np.zeros(SLOTS, np.uint8)
+    marks[[r[0] for r in slots.collect()]] = 1  # at most SLOTS
+    marked = marks.tobytes()
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
+        known: dict[str, int] = {}
+        is_marked = lambda w: marked[zlib.crc32(w.encode()) % SLOTS]
         send = lambda: pa.RecordBatch.from_pydict({"pattern": pa.array(list(held), pa.string()), "places": pa.array(list(held.values()), pa.int64())})
         for batch in by_bytes(batches, "text", 2 << 20):
             for value in batch.column("text"):
-                last = ""
-                for m in _WORD.finditer(value.as_py() or ""):
-                    word, gap = m[1].lower(), m[2]
-                    marks = "".join(gap.split())
-                    for pattern in (word + marks, f"{last} {word}{marks}") if last else (word + marks,):
-                        if held_marks[zlib.crc32(pattern.encode()) % SLOTS]:
-                            held[pattern] += 1
-                    last = word if gap and not marks else ""
-                if len(held) > HELD:
-                    yield send()
-                    held.clear()
+                last: list[str] = []
+                for part in _parts(value.as_py() or ""):
+                    words = _words(part)
+                    counts = Counter(words)
+                    for word in counts.keys() - known.keys():
+                        known[word] = is_marked(word)
+                    hot = {word for word in counts if known[word]}
+                    if hot:
+                        held.update({word: counts[word] for word in hot})
+                        before = [*last, *words] if last else words
+                        for (a, b), n in Counter(zip(before, before[1:], strict=False)).items():
+                            if b in hot and is_marked(pair := f"{a} {b}"):
+                                held[pair] += n
+                    last = words[-1:] or last
+                    if len(known) > HELD:
+                        known.clear()
+                    if len(held) > HELD:
+                        yield send()
+                        held.clear()
         if held:
             yield send()
 
     return docs.select("text").mapInArrow(count, "pattern string, places bigint").groupBy("pattern").agg(F.sum("places").alias("places")).join(wanted, "pattern", "left_semi")
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in slices that begin with a word, so that no label is parted from its mark."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + SLICE)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def bootstrap(docs: DataFrame, mentions: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """kind, value, sure: values known from seeds (1) or accepted through trusted patterns, among those that loose mentions have."""
     each = lambda c: mentions.select(F.explode(c).alias("m")).select("m.kind", "m.value", "m.patterns")
     loose, seeds = each("loose"), each("base").select("kind", "value").distinct()
     wanted = materialize(loose.select(F.explode("patterns").alias("pattern")).distinct(), "patterns")
     known = materialize(seeds.join(loose.select("kind", "value"), ["kind", "value"], "left_semi").withColumn("sure", F.lit(1.0)), "known")
-    if wanted.isEmpty():
-        return known
     both = each("base").withColumn("seed", F.lit(True)).union(loose.withColumn("seed", F.lit(False)))
     edges = both.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).join(wanted, "pattern", "left_semi")
     edges = materialize(edges.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")

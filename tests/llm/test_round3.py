@@ -227,9 +227,25 @@ def test_patterns_find_more(spark):
 
 def test_places_are_counted(spark):
     docs = spark.createDataFrame([("Tel: 1 tel: tel : the tel. tel x THE  tel:é",), (None,), ("",), ("my phone is phone",)], "text string")
-    wanted = spark.createDataFrame([("tel:",), ("the tel",), ("the tel:",), ("phone",), ("my phone",), ("none",)], "pattern string")
-    assert {r.pattern: r.places for r in pii.count_places(docs, wanted).collect()} == {"tel:": 4, "the tel": 1, "the tel:": 1, "phone": 2, "my phone": 1}
+    wanted = spark.createDataFrame([("tel:",), ("the tel.",), ("the tel:",), ("phone",), ("my phone",), ("none",)], "pattern string")
+    assert {r.pattern: r.places for r in pii.count_places(docs, wanted).collect()} == {"tel:": 4, "the tel.": 1, "the tel:": 1, "phone": 2, "my phone": 1}
     assert pii.patterns("the  Tel : 123", 11) == ["tel:", "the tel:"] and pii.patterns("123", 0) == [] and pii.patterns("a " + "x" * 90 + " 1", 93) == []
+    assert pii.patterns("the tel:123", 8) == ["tel:", "the tel:"] and pii.patterns("tel,123", 4) == [] and pii.patterns("tel 1", 4) == ["tel"]
+
+
+def test_places_over_slices(spark, monkeypatch):
+    text = "the tel: 1 and the tel : 2\ntel= 3 and  the tel: x " * 40
+    want = Counter(zip(words := pii._words(text), words[1:], strict=False))
+    got = Counter()
+    for size in (1, 5, 30):
+        monkeypatch.setattr(pii, "SLICE", size)
+        parts = list(pii._parts(text))
+        assert "".join(parts) == text and [w for p in parts for w in pii._words(p)] == words
+    monkeypatch.undo()
+    monkeypatch.setattr(pii, "HELD", 2)
+    docs, wanted = spark.createDataFrame([(text,)], "text string"), spark.createDataFrame([(f"{a} {b}",) for a, b in want], "pattern string")
+    got = {r.pattern: r.places for r in pii.count_places(docs, wanted).collect()}
+    assert got == {f"{a} {b}": n for (a, b), n in want.items()}
 
 
 def test_personal_data_of_tables(spark):
