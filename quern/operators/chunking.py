@@ -103,7 +103,8 @@ def chunk_segments(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
     pieces = F.when(F.col("kind") == "text", split_text(F.when(F.col("kind") == "text", F.col("t")), config)).when(
         (F.col("kind") == "table") & (F.length("t") > config.table_max_chars), split_table(F.when(F.col("kind") == "table", F.col("t")), config)
     ).otherwise(F.array("t"))
-    each = joined.withColumn("pieces", pieces).select("doc_id", "grp", "h", "kind", "bbox", F.posexplode("pieces").alias("pos", "embed_text"))
+    # outer, since the plan would test the size of an array to explode by cutting it, below the shuffle, and then cut it again
+    each = joined.withColumn("pieces", pieces).select("doc_id", "grp", "h", "kind", "bbox", F.posexplode_outer("pieces").alias("pos", "embed_text")).where("pos is not null")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp", "pos")) - 1
     crumbs = F.col("h.breadcrumbs")
     text = F.when(F.size(crumbs) > 0, F.concat(F.lit("[Bölüm: "), F.array_join(crumbs, " > "), F.lit("]\n"), "embed_text")).otherwise(F.col("embed_text"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: The words that open a field of a citation, in lower case; a longer word stands before one that it begins with.
 PAGE_WORDS, PART_WORDS = ("sayfa", "page"), ("parçalar", "parça", "chunks", "chunk")
 IMAGE_WORDS, SOURCE_WORDS = ("görsel", "image"), ("belge", "kaynak", "document", "source")
-_SPLITS = 16
+#: Spans whose brackets are no citations: fenced and inline code, displayed and inline mathematics. The first group keeps what is a bracket.
+_NO_TEXT = r"(\[[^\]]*\])|```[\s\S]*?```|`[^`]+`|\$\$[\s\S]+?\$\$|\$[^\s$](?:[^$\n]*[^\s$])?\$"
 
 
 def _after(text: Column, words: tuple[str, ...]) -> Column:
@@ -28,15 +31,15 @@ def _labelled(text: Column, words: tuple[str, ...]) -> Column:
 def parse_citations(texts: DataFrame, *keys: str, text: str = "content") -> DataFrame:
     """Per citation of a text: the `keys`, bracket and place (its order in the text), kind (citation or image), target, page, part.
 
-    A bracket holds parts between semicolons: images, and what is left, which is one citation if it has a name, a page if it likes, and
+    Brackets in code and in mathematics don't count. A bracket holds parts between semicolons: images, and what is left, which is one citation if it has a name, a page if it likes, and
     a part, between commas. The name ends before the first field that is a part, or a page with a part after it.
     """
-    closed = F.split(text, r"\]")
-    opened = F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda p: F.instr(p, "[") > 0)
-    brackets = texts.select(*keys, F.posexplode(F.transform(opened, lambda p: F.substring(p, F.instr(p, "[") + 1, F.length(p)))).alias("bracket", "_inner"))
+    closed = texts.select(*keys, F.split(F.regexp_replace(text, _NO_TEXT, "$1"), r"\]").alias("_closed"))
+    opened = F.filter(F.slice("_closed", 1, F.size("_closed") - 1), lambda p: F.instr(p, "[") > 0)
+    brackets = closed.select(*keys, F.posexplode_outer(F.transform(opened, lambda p: F.substring(p, F.instr(p, "[") + 1, F.length(p)))).alias("bracket", "_inner")).where("bracket is not null")
     parts = F.transform(F.filter(F.split("_inner", ";"), lambda p: F.trim(p) != ""), lambda p: F.struct(F.trim(p).alias("text"), _labelled(F.trim(p), IMAGE_WORDS).alias("image")))
     split = brackets.withColumn("_parts", parts)
-    images = split.select(*keys, "bracket", F.posexplode("_parts").alias("place", "_p")).where("_p.image <> ''").select(*keys, "bracket", (F.col("place") + 1).alias("place"), F.lit("image").alias("kind"), F.col("_p.image").alias("target"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("part"))
+    images = split.select(*keys, "bracket", F.posexplode_outer("_parts").alias("place", "_p")).where("_p.image <> ''").select(*keys, "bracket", (F.col("place") + 1).alias("place"), F.lit("image").alias("kind"), F.col("_p.image").alias("target"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("part"))
 
     rest = F.array_join(F.transform(F.filter("_parts", lambda p: p["image"].isNull()), lambda p: p["text"]), "; ")
     fields = split.select(*keys, "bracket", F.split(rest, ",").alias("_fields"))
@@ -54,19 +57,42 @@ def parse_citations(texts: DataFrame, *keys: str, text: str = "content") -> Data
     return cited.unionByName(images)
 
 
+def _grams(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """workspace_id, text, gram: the different substrings of a text (column text) of each of the sizes."""
+    of = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return texts.select("workspace_id", "text", F.explode_outer(F.array_distinct(F.concat(*(of(n) for n in sizes)))).alias("gram")).where("gram is not null")
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """parts, wholes: workspace_id, text (different rows, not empty). workspace_id, part, whole of each part that a whole of its workspace
+    holds.
+
+    A part's 3-grams (a shorter part itself) all stand in what holds it. So the one that fewest wholes have finds all candidates, which
+    are then compared; a part with a gram that no whole has meets none.
+    """
+    key = ["workspace_id", "gram"]
+    index = _grams(wholes, (1, 2, 3)).withColumnRenamed("text", "whole")
+    own = _grams(parts.where(F.length("text") >= 3), (3,)).unionByName(parts.where(F.length("text") < 3).withColumn("gram", F.col("text")))
+    common = index.join(own.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
+    rarest = own.join(common, key, "left").groupBy("workspace_id", "text").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).select("workspace_id", F.col("text").alias("part"), F.col("r.gram").alias("gram"))
+    return rarest.join(index, key).where(F.col("whole").contains(F.col("part"))).select("workspace_id", "part", "whole")
+
+
 def name_matches(targets: DataFrame, documents: DataFrame) -> DataFrame:
     """targets: workspace_id, target (different rows, lower case); documents: id, workspace_id, filename. workspace_id, target,
     document_id: the first whose name equals the target without regard to case, else the first that holds it or is held by it.
 
-    Equality is an equi-join. Only what it leaves is compared by content, once a target however often it is cited; the documents of a
-    workspace are dealt over `_SPLITS` groups for that.
+    Equality is an equi-join. What it leaves is looked up by 3-grams, once a target and a name however often they occur.
     """
-    named = documents.where("filename <> ''").select(F.col("id").alias("document_id"), "workspace_id", F.lower(F.trim("filename")).alias("target"))
-    equal = named.join(targets, ["workspace_id", "target"], "left_semi").groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id"))
-    missed = targets.join(equal, ["workspace_id", "target"], "left_anti").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SPLITS - 1))))
-    dealt = named.select("document_id", "workspace_id", F.col("target").alias("_f"), F.pmod(F.xxhash64("document_id"), F.lit(_SPLITS)).cast("int").alias("_s"))
-    held = missed.join(dealt, ["workspace_id", "_s"]).where(F.col("_f").contains(F.col("target")) | F.col("target").contains(F.col("_f")))
-    return equal.unionByName(held.groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id")))
+    named = documents.where("filename <> ''").select(F.col("id").alias("document_id"), "workspace_id", F.lower(F.trim("filename")).alias("text"))
+    names = materialize(named.where("text <> ''").groupBy("workspace_id", "text").agg(F.min("document_id").alias("document_id")), "names")
+    wanted = targets.withColumnRenamed("target", "text")
+    equal = names.join(wanted, ["workspace_id", "text"], "left_semi")
+    missed = materialize(wanted.join(equal, ["workspace_id", "text"], "left_anti"), "missed")
+    inside = contained(missed, names.select("workspace_id", "text")).select("workspace_id", F.col("part").alias("target"), F.col("whole").alias("text"))
+    around = contained(names.select("workspace_id", "text"), missed).select("workspace_id", F.col("whole").alias("target"), F.col("part").alias("text"))
+    held = inside.union(around).join(names, ["workspace_id", "text"]).groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id"))
+    return equal.select("workspace_id", F.col("text").alias("target"), "document_id").unionByName(held)
 
 
 def extract_citations(messages: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -77,7 +103,7 @@ def extract_citations(messages: DataFrame, documents: DataFrame, chunks: DataFra
     """
     answers = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), "workspace_id", "content")
     order = Window.partitionBy("message_id").orderBy("bracket", "place")
-    found = parse_citations(answers, "message_id", "workspace_id").withColumn("n", F.row_number().over(order) - 1)
+    found = materialize(parse_citations(answers, "message_id", "workspace_id"), "found").withColumn("n", F.row_number().over(order) - 1)
     keyed = found.withColumn("_key", F.when(F.col("kind") == "citation", F.nullif(F.lower(F.trim("target")), F.lit(""))))
     targets = keyed.where("_key is not null").select("workspace_id", F.col("_key").alias("target")).distinct()
     matches = name_matches(targets, documents).withColumnRenamed("target", "_key")

@@ -19,8 +19,9 @@ CHUNK = ["workspace_id", "doc_id", "chunk_index"]
 def postings(chunks: DataFrame) -> DataFrame:
     """workspace_id, doc_id, chunk_index, term, tf, first_pos, dl (tokens of the chunk, parts of compounds too)."""
     tokens = chunks.select(*CHUNK, tokenize(F.col("text")).alias("tokens"))
-    each = tokens.select(*CHUNK, F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    # outer, so that no test of the array's size makes the tokens once more
+    each = tokens.select(*CHUNK, F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
+    return each.where("pos is not null").groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
 
 def corpus_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def expand_terms(questions: DataFrame, vocab: DataFrame, config: Config = DEFAUL
 
     The exact term comes first, then terms that share the first `stem_min` characters in order of first appearance, `stem_cap` in all.
     """
-    tokens = questions.select("q_id", "workspace_id", F.posexplode(tokenize(F.col("question"))).alias("pos", "token")).withColumn("prefix", F.when(F.length("token") >= config.stem_min, F.left("token", F.lit(config.stem_min))))
+    tokens = questions.select("q_id", "workspace_id", F.posexplode_outer(tokenize(F.col("question"))).alias("pos", "token")).where("pos is not null").withColumn("prefix", F.when(F.length("token") >= config.stem_min, F.left("token", F.lit(config.stem_min))))
     exact = vocab.select("workspace_id", F.col("term").alias("token"), "idf")
     found = tokens.join(exact, ["workspace_id", "token"]).select("q_id", "workspace_id", "pos", "token", F.col("token").alias("term"), "idf")
     order = Window.partitionBy("workspace_id", "prefix").orderBy("first")

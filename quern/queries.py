@@ -314,7 +314,7 @@ def o42_group_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(fx.NORMAL, fx.CUTS) + "SELECT doc_id, i AS pos, md5(piece) AS piece FROM pieces")
 def o43_split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.read(spark, sf_dir, "documents").select("doc_id", chunking.split_text(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.posexplode("p").alias("pos", "piece")).withColumn("piece", F.md5("piece"))
+    return rows.select("doc_id", F.posexplode_outer("p").alias("pos", "piece")).where("pos is not null").withColumn("piece", F.md5("piece"))
 
 
 @_query()
@@ -322,7 +322,7 @@ def o44_split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines as rows of a table under a caption."""
     body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
     rows = fx.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[Tablo: t]\n| a |\n| --- |\n"), body).alias("t"))
-    return rows.select("doc_id", F.posexplode(chunking.split_table(F.col("t"))).alias("pos", "piece")).withColumn("piece", F.md5("piece"))
+    return rows.select("doc_id", F.posexplode_outer(chunking.split_table(F.col("t"))).alias("pos", "piece")).where("pos is not null").withColumn("piece", F.md5("piece"))
 
 
 @_query(_with(fx.NORMAL, fx.CUTS) + "SELECT doc_id, i AS chunk_index, 'text' AS content_type, md5('[Bölüm: ' || source || ' > ' || lang || ']' || chr(10) || piece) AS text, md5(piece) AS embed_text FROM pieces JOIN documents USING (doc_id)")
@@ -716,12 +716,21 @@ def o74_sample_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message cites a document by its name, a fifth by a part of it, a fifth by more than it, and once more within code."""
     n = fx.read(spark, sf_dir, "documents").count()
-    return fx.messages(spark, sf_dir).withColumn("_d", F.length("content") % max(1, n)).withColumn("content", F.concat("content", F.lit(" [Belge: DOC_"), F.col("_d").cast("string"), F.lit(".txt, sayfa 2, parça 1, 4; Görsel: "), F.col("_d").cast("string"), F.lit("/a.png]"))).drop("_d")
-
-
-@_query(_with(fx.CHUNKS, fx.DOCUMENTS, fx.MESSAGES) + """, c AS (SELECT id AS message_id, workspace_id, length(content) % (SELECT count(*) FROM documents) AS d FROM msgs WHERE role = 'assistant')
-SELECT message_id, 0 AS n, 'citation' AS kind, 'DOC_' || d || '.txt' AS target, 2 AS page, 1 AS part, docs.id AS document_id, docs.id IN (SELECT doc_id FROM chunks) AND docs.id IS NOT NULL AS supported FROM c LEFT JOIN docs ON docs.id = d AND docs.workspace_id = c.workspace_id
+    rows = fx.messages(spark, sf_dir).withColumn("_d", (F.length("content") % max(1, n)).cast("string"))
+    kind = F.length("content") % 5
+    name = F.when(kind == 0, F.concat(F.lit("DOC_"), "_d")).when(kind == 1, F.concat(F.lit("My doc_"), "_d", F.lit(".txt copy"))).otherwise(F.concat(F.lit("DOC_"), "_d", F.lit(".txt")))
+    return rows.withColumn("content", F.concat("content", F.lit(" `[Belge: code.txt, parça 1]` $$x[y, parça 1]$$ [Belge: "), name, F.lit(", sayfa 2, parça 1, 4; Görsel: "), "_d", F.lit("/a.png]"))).drop("_d")
+
+
+@_query(_with(fx.CHUNKS, fx.DOCUMENTS, fx.MESSAGES) + """, c AS (
+  SELECT id AS message_id, workspace_id, d, CASE length(content) % 5 WHEN 0 THEN 'DOC_' || d WHEN 1 THEN 'My doc_' || d || '.txt copy' ELSE 'DOC_' || d || '.txt' END AS target
+  FROM (SELECT *, length(content) % (SELECT count(*) FROM documents) AS d FROM msgs WHERE role = 'assistant')),
+t AS (SELECT DISTINCT workspace_id, target FROM c),
+m AS (SELECT t.workspace_id, target, coalesce(min(docs.id) FILTER (lower(filename) = lower(target)), min(docs.id)) AS document_id
+  FROM t JOIN docs ON docs.workspace_id = t.workspace_id AND (contains(filename, lower(target)) OR contains(lower(target), filename)) GROUP BY 1, 2)
+SELECT message_id, 0 AS n, 'citation' AS kind, target, 2 AS page, 1 AS part, document_id, document_id IN (SELECT doc_id FROM chunks) AND document_id IS NOT NULL AS supported FROM c LEFT JOIN m USING (workspace_id, target)
 UNION ALL SELECT message_id, 1, 'image', d || '/a.png', NULL, NULL, NULL, false FROM c""")
 def o84_extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.extract_citations(_cited(spark, sf_dir), fx.documents(spark, sf_dir), fx.chunks(spark, sf_dir))
