@@ -209,15 +209,15 @@ def count_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for part in _parts(value.as_py() or ""):
                     words = _words(part)
                     counts = Counter(words)
-                    for word in counts.keys() - known.keys():
-                        known[word] = is_marked(word)
+                    for word in counts:
+                        if word not in known:
+                            known[word] = is_marked(word)
                     hot = {word for word in counts if known[word]}
                     if hot:
                         held.update({word: counts[word] for word in hot})
-                        before = [*last, *words] if last else words
-                        for (a, b), n in Counter(zip(before, before[1:], strict=False)).items():
-                            if b in hot and is_marked(pair := f"{a} {b}"):
-                                held[pair] += n
+                        every = [*last, *words]
+                        pairs = [f"{every[i]} {word}" for i, word in enumerate(every[1:]) if word in hot]
+                        held.update(pair for pair in pairs if is_marked(pair))
                     last = words[-1:] or last
                     if len(known) > HELD:
                         known.clear()
@@ -227,7 +227,9 @@ def count_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if held:
             yield send()
 
-    return docs.select("text").mapInArrow(count, "pattern string, places bigint").groupBy("pattern").agg(F.sum("places").alias("places")).join(wanted, "pattern", "left_semi")
+    counted = docs.select("text").mapInArrow(count, "pattern string, places bigint").groupBy("pattern").agg(F.sum("places").alias("places"))
+    # written first: joined at once, the plan would leave the texts unread where nothing is wanted, and cost would jump with the first candidate
+    return materialize(counted, "places").join(wanted, "pattern", "left_semi")
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -249,7 +251,7 @@ def bootstrap(docs: DataFrame, mentions: DataFrame, settings: Settings = Setting
     both = each("base").withColumn("seed", F.lit(True)).union(loose.withColumn("seed", F.lit(False)))
     edges = both.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).join(wanted, "pattern", "left_semi")
     edges = materialize(edges.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
-    places = materialize(count_places(docs, wanted), "places")
+    places = count_places(docs, wanted)
     before, fixed = None, known
     for _ in range(settings.rounds):
         sure = F.when(F.col("seed"), 1.0).otherwise(F.col("sure"))
