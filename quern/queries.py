@@ -11,7 +11,7 @@ from .operators import chunking, citations, dense, enrich, fusion, layout, lexic
 from .plans import fixtures as fx
 from .plans.answer import answer_batch
 from .sources import store
-from .sources.chunk_store import ChunkStore, Layout
+from .sources.keyed_store import ChunkStore, Layout, PostingIndex
 from .sources.scratch import materialize, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,25 @@ def o59_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.refresh_index(lexical.postings(chunks), new, changed).select("workspace_id", "doc_id", "chunk_index", "term", "tf")
 
 
+_CHANGED = """now AS (SELECT workspace_id, doc_id, chunk_index, CASE WHEN workspace_id = 'src1' THEN text || chr(10) || text ELSE text END AS text FROM chunks WHERE NOT (workspace_id = 'src2' AND doc_id % 2 = 0)),
+tok AS (SELECT workspace_id, doc_id, chunk_index, """ + fx.TOKENS.format("text") + """ AS w FROM now)"""
+
+
+@_query(_with(fx.CHUNKS, _CHANGED) + """SELECT workspace_id, term, count(DISTINCT (doc_id, chunk_index)) AS df, count(*) AS tf, n_chunks, round(tokens / n_chunks, 6) AS avgdl
+FROM (SELECT workspace_id, doc_id, chunk_index, unnest(w) AS term FROM tok) JOIN (SELECT workspace_id, count(*) AS n_chunks, sum(len(w)) AS tokens FROM tok GROUP BY 1) USING (workspace_id) GROUP BY ALL""")
+def o59_versioned_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all workspaces; then src1's texts stand twice and src2 loses documents, and these two alone are refreshed. Terms with
+    their chunks and occurrences, as from scratch."""
+    chunks = materialize(fx.chunks(spark, sf_dir).select("workspace_id", "doc_id", "chunk_index", "text"), "chunks")
+    index = PostingIndex(spark, scratch(spark, "index"))
+    index.refresh(chunks, chunks.select("workspace_id"), "all", 0)
+    text = F.when(F.col("workspace_id") == "src1", F.concat_ws("\n", "text", "text")).otherwise(F.col("text"))
+    now = chunks.where("NOT (workspace_id = 'src2' AND doc_id % 2 = 0)").withColumn("text", text)
+    index.refresh(now, spark.createDataFrame([("src1",), ("src2",)], "workspace_id string"), "all", 1)
+    terms = index.postings().groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return terms.join(index.stats(), "workspace_id").withColumn("avgdl", F.round("avgdl", 6))
+
+
 # dense
 
 

@@ -13,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState
 from ..config import DEFAULT, Config
 from ..operators.chunking import chunk_segments
 from ..operators.enrich import workspace_summary_due
+from ..operators import lexical
 from ..operators.lexical import refresh_index
 from ..plans.answer import answer_batch
-from ..sources.chunk_store import ChunkStore
+from ..sources.keyed_store import ChunkStore, PostingIndex
+from ..sources.scratch import materialize
 from ..sources.store import read_text_segments
 
 #: Which status may follow which; the last three are final.
@@ -87,6 +89,12 @@ def on_changed_workspaces(changes: DataFrame, act: Callable[[DataFrame, int], No
     return changes.writeStream.foreachBatch(lambda batch, number: act(batch.select("workspace_id").distinct(), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_index(changes: DataFrame, chunks: Callable[[], DataFrame], index: PostingIndex, checkpoint: str) -> StreamingQuery:
+    """changes: workspace_id (a stream). Refreshes the postings of a batch's workspaces from what `chunks` gives then; a batch that runs
+    twice does so once."""
+    return on_changed_workspaces(changes, lambda touched, number: index.refresh(chunks(), touched, checkpoint, number), checkpoint)
+
+
 def refresh_touched(index: DataFrame, chunks: DataFrame, touched: DataFrame) -> DataFrame:
     return refresh_index(index, chunks, touched)
 
@@ -96,10 +104,21 @@ def summaries_due(workspaces: DataFrame, documents: DataFrame, touched: DataFram
     return workspace_summary_due(workspaces, documents.join(touched, "workspace_id", "left_semi"))
 
 
-def answer_stream(questions: DataFrame, chunks: DataFrame, sink: str, checkpoint: str, config: Config = DEFAULT) -> StreamingQuery:
-    """questions (a stream) against a fixed chunk table: a batch's answers go to {sink}/batch=<n>."""
+def answer_stream(questions: DataFrame, chunks: DataFrame, sink: str, checkpoint: str, config: Config = DEFAULT, index: PostingIndex | None = None) -> StreamingQuery:
+    """questions (a stream) against a chunk table: a batch's answers go to {sink}/batch=<n>.
+
+    Postings are those of `index` at the version that is newest when a batch begins; without one, those of chunks are written once, when
+    the first batch comes. No batch tokenizes the corpus again."""
+    written: list[DataFrame] = []
+
+    def postings() -> DataFrame:
+        if index is not None:
+            return index.postings()
+        if not written:
+            written.append(materialize(lexical.postings(chunks), "postings"))
+        return written[0]
 
     def run(batch: DataFrame, number: int) -> None:
-        answer_batch(batch, chunks, config).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        answer_batch(batch, chunks, config, postings()).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

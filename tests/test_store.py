@@ -3,7 +3,10 @@
 import random
 import tempfile
 
-from quern.sources.chunk_store import ChunkStore, Layout
+from pyspark.sql import functions as F
+
+from quern.operators import lexical
+from quern.sources.keyed_store import ChunkStore, Layout, PostingIndex
 from quern.sources.versions import Versions
 
 SCHEMA = "doc_id string, chunk_index int, text string"
@@ -36,7 +39,7 @@ def test_random_batches(spark):
         apply(spark, store, held, "w", batch, put, names[4:])
         state = store._state()
         seen[state["version"]] = listed(held)
-        joined |= len(state["deltas"]) < batch + 1 and not state["buckets"][0]["path"]
+        joined |= len(state["deltas"]) < batch + 1 and not state["buckets"][0]["paths"]
         if batch % 3 == 2 or batch == 13:
             assert rows_of(store.read()) == listed(held)
     state = store._state()
@@ -86,3 +89,38 @@ def test_a_version_is_put_in_place_once(spark):
     assert log.latest() == {"version": 0, "paths": []} and log.numbers() == []
     assert log.commit({"version": 1, "paths": [], "by": "a"}) and not log.commit({"version": 1, "paths": [], "by": "b"})
     assert log.latest()["by"] == "a" and log.vacuum(keep=1) == []
+
+
+def test_index_by_versions(spark):
+    """Refreshed workspaces equal an index from scratch, others are as they were, texts of others aren't read, and a reader keeps its
+    version through refreshes and merges."""
+    text = lambda seed: " ".join(random.Random(seed).choices(["elma", "armut", "kiraz", "e-posta", "dut", "incir"], k=12))
+    rows = [(f"w{i % 6}", i, 0, text(i)) for i in range(60)] + [("empty", 99, 0, " "), (None, 98, 0, "elma")]
+    schema = "workspace_id string, doc_id bigint, chunk_index int, text string"
+    chunks = spark.createDataFrame(rows, schema)
+    index = PostingIndex(spark, tempfile.mkdtemp(prefix="spark-"), layout=Layout(fan=3, ratio=0.5, least=1, bucket=3000))
+
+    def check(now, version=None):
+        post = lexical.postings(now.where("workspace_id is not null"))
+        assert sorted(map(tuple, index.postings(version).collect())) == sorted(map(tuple, post.select(*index.postings().columns).collect()))
+        want = {r.workspace_id: (r.n_chunks, r.avgdl) for r in lexical.corpus_stats(now.where("workspace_id is not null"), post).collect()}
+        assert {r.workspace_id: (r.n_chunks, r.avgdl) for r in index.stats(version).collect()} == want
+
+    index.refresh(chunks, chunks.select("workspace_id"), "r", 0)
+    pinned = index.version()
+    check(chunks)
+    poison = F.udf(lambda w, t: t.upper() if w in ("w1", "w2") else 1 / 0, "string")
+    now = chunks.where("workspace_id <> 'w2' and not (workspace_id = 'w1' and doc_id < 20)").withColumn("text", F.concat("text", F.lit(" üzüm")))
+    index.refresh(now.withColumn("text", poison("workspace_id", "text")), spark.createDataFrame([("w1",), ("w2",)], "workspace_id string"), "r", 1)
+    changed = now.where("workspace_id = 'w1'").withColumn("text", F.upper("text"))
+    check(chunks.where("workspace_id not in ('w1', 'w2')").union(changed))
+    check(chunks, pinned)
+    index.refresh(chunks, spark.createDataFrame([("w1",)], "workspace_id string"), "r", 1)  # was done before
+    check(chunks.where("workspace_id not in ('w1', 'w2')").union(changed))
+    for batch in range(2, 5):
+        index.refresh(chunks, spark.createDataFrame([("w1",), ("w2",)], "workspace_id string"), "r", batch)
+    assert len(index._state()["buckets"]) > 1
+    check(chunks)
+    check(chunks, pinned)
+    index.vacuum(keep=1)
+    check(chunks)
