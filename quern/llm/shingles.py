@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SPACE = re.compile(rb"[\x20\t-\r]")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text whose words are hashed at a time; a slice ends at white space, or within a word that is longer.
+SLICE = 512 << 10
+#: Hashes of short words that a worker keeps.
+KEPT, SHORT = 1 << 17, 64
+_kept: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -22,91 +24,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, step in enumerate((_STEP, _BACK)):
-            table = np.full(n, step, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
-#: Bytes that are hashed at a time; a slice ends at white space, or within a word that is longer.
-SLICE = 512 << 10
-
-
-def _sums(data: np.ndarray) -> np.ndarray:
-    """Sums of the bytes' values times the powers of their places, before each place."""
-    power, _ = _power(len(data) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[_LOWER[data]] * power[:-1], dtype=np.uint64)])
-
-
-def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unmixed hashes of the words of data, which begins and ends with white space, and where they begin."""
-    space = _SPACE[data]
-    begin, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-    total, back = _sums(data), _power(len(data) + 1)[1]
-    return (total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64), begin
-
-
-def _long_word(data: np.ndarray) -> np.ndarray:
-    """The same hash of one word of any length, by slices."""
-    total = 0
-    for at in range(0, len(data), SLICE):
-        total += int(_sums(data[at : at + SLICE])[-1]) * pow(int(_STEP), at, 1 << 64)
-    return np.array([(total + len(data)) & ((1 << 64) - 1)], np.uint64)
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """Of each word eight bytes of BLAKE2b: no way to write texts makes different words equal, as it does with sums of powers."""
+    if len(_kept) > KEPT:
+        _kept.clear()
+    for word in set(words):
+        if word not in _kept:
+            _kept[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    out = np.fromiter(map(_kept.__getitem__, words), np.uint64, len(words))
+    for word in {w for w in words if len(w) > SHORT}:
+        del _kept[word]
+    return out
 
 
-def _slices(data: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """begin, end and whether it is one long word, of parts of data that cut no word."""
+def _slices(text: bytes) -> Iterator[bytes]:
     at = 0
-    while at < len(data):
-        end = min(at + SLICE, len(data))
-        if end < len(data):
-            gaps = np.flatnonzero(_SPACE[data[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-            else:
-                while end < len(data) and not _SPACE[data[end : end + SLICE]].any():
-                    end = min(end + SLICE, len(data))
-                end += int(np.argmax(_SPACE[data[end : end + SLICE]])) if end < len(data) else 0
-                yield at, end, True
-                at = end
-                continue
-        yield at, end, False
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE)
+        end = space.start() if space else len(text)
+        yield text[at:end]
         at = end
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A-Z lower-cased, words split at the space and bytes 9 to 13: a hash of each word of all texts, and len(texts) + 1 offsets. Memory
     beyond the texts and their words' hashes is that of a slice."""
-    hashes, begins, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    part: list[bytes] = []
-
-    def flush() -> None:
-        nonlocal base
-        data = np.frombuffer(b" ".join([*part, b""]), np.uint8)
-        for low, high, long in _slices(data):
-            if long:
-                found, begin = _long_word(data[low:high]), np.zeros(1, np.int64)
-            else:
-                found, begin = _hashed(np.concatenate([[np.uint8(32)], data[low:high], [np.uint8(32)]]))
-                begin = begin - 1
-            hashes.append(found)
-            begins.append(base + low + begin)
-        base += len(data)
-        part.clear()
-
-    held = 0
+    hashes, offsets = [np.zeros(0, np.uint64)], [0]
     for text in texts:
-        if part and held + len(text) > SLICE:
-            flush()
-            held = 0
-        part.append(text)
-        held += len(text) + 1
-    flush()
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return mix(np.concatenate(hashes)), np.searchsorted(np.concatenate(begins), starts)
+        found = [_hashed(part.lower().split()) for part in _slices(text)]
+        hashes += found
+        offsets.append(offsets[-1] + sum(map(len, found)))
+    return np.concatenate(hashes), np.array(offsets)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:

@@ -84,6 +84,17 @@ def test_long_words_and_slices(monkeypatch):
         assert [x.tolist() for x in shingles.shingle_sets(texts, 3)] == whole
 
 
+def test_words_that_sums_of_powers_confuse(spark):
+    """Thue-Morse words and their complements: any sum of letters times powers of an odd number modulo 2^64 is the same for both."""
+    word = lambda n, a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    rows = [(2 * i + j, word(1 << (10 + i), *"abba"[2 * j : 2 * j + 2])) for i in range(3) for j in range(2)]
+    rows += [(10 + j, " ".join([word(1024, *"abba"[2 * j : 2 * j + 2])] * 2 + [f"w{i}" for i in range(2)])) for j in range(2)] + [(12, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for settings in (minhash.Settings(words=3, percent=85), minhash.Settings()):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, settings).collect()}
+        assert got == {i: 0 if i == 12 else i for i, _ in rows}
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
