@@ -91,6 +91,38 @@ def search(questions: DataFrame, chunks: DataFrame, config: Config = DEFAULT, in
     return bm25_topk(questions, chunks, scores, config=config)
 
 
+def blocked_postings(index: DataFrame, stats: DataFrame, size: int = 4, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The postings with `weight` (what a term adds to a chunk's score, without its idf) and the chunk's block, of about `size` chunks; and
+    workspace_id, term, block, most (the largest weight in it). Both are written once, beside the index."""
+    part = F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * (F.col("dl") / F.col("avgdl"))))
+    block = F.pmod(F.xxhash64("doc_id", "chunk_index"), F.ceil(F.col("n_chunks") / size)).cast("int")
+    blocked = materialize(index.join(stats, "workspace_id").select(*CHUNK, "term", block.alias("block"), part.alias("weight")), "blocked")
+    return blocked, materialize(blocked.groupBy("workspace_id", "term", "block").agg(F.max("weight").alias("most")), "maxima")
+
+
+def pruned_scores(expanded: DataFrame, blocked: DataFrame, maxima: DataFrame, k: int, first: int = 8) -> DataFrame:
+    """bm25_scores of a part of the chunks that holds the k best of each question, ties included.
+
+    A block's bound is the sum of its terms' largest weights. The `first` blocks of each question are scored, and the k-th score in them is
+    one that a chunk has to reach; a block whose bound stays below is passed over whole. A question whose first blocks have fewer than k
+    chunks has all its blocks scored.
+    """
+    wanted = materialize(expanded.groupBy("q_id", "workspace_id", "term").agg(F.sum("idf").alias("gain")), "wanted")
+    bounds = wanted.join(maxima, ["workspace_id", "term"]).groupBy("q_id", "workspace_id", "block").agg(F.sum(F.col("gain") * F.col("most")).alias("bound"))
+    ranked = materialize(bounds.withColumn("_r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bound"), "block"))), "bounds")
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        terms = blocks.select("q_id", "block").join(wanted, "q_id")
+        hits = terms.join(blocked, ["workspace_id", "term", "block"])
+        return hits.groupBy("q_id", *CHUNK).agg(F.round(F.sum(F.col("gain") * F.col("weight")), 9).alias("bm25"))
+
+    top = materialize(scored(ranked.where(F.col("_r") <= first)), "first")
+    order = Window.partitionBy("q_id").orderBy(F.desc("bm25"))
+    reach = top.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == k).select("q_id", F.col("bm25").alias("reach"))
+    rest = ranked.where(F.col("_r") > first).join(reach, "q_id", "left").where(F.coalesce(F.col("bound") + 1e-8 >= F.col("reach"), F.lit(True)))
+    return top.unionByName(scored(rest))
+
+
 def refresh_index(index: DataFrame, chunks: DataFrame, changed: DataFrame) -> DataFrame:
     """The postings with those of the workspaces in `changed` (workspace_id) derived anew from chunks; write it beside the old version."""
     return index.join(changed, "workspace_id", "left_anti").unionByName(postings(chunks.join(changed, "workspace_id", "left_semi")))

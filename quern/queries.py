@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import DEFAULT
 from .operators import chunking, citations, dense, enrich, fusion, layout, lexical, ops
 from .plans import fixtures as fx
 from .plans.answer import answer_batch
 from .sources import store
 from .sources.keyed_store import ChunkStore, Layout, PostingIndex
 from .sources.scratch import materialize, scratch
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +87,30 @@ def o58_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(fx.questions(spark, sf_dir), chunks, index=index).select("q_id", "doc_id", "chunk_index", "bm25", "bm25_rank")
 
 
+def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, chunks, all their scores (not evaluated yet) and those that bounds leave."""
+    chunks, index = _index(spark, sf_dir)
+    questions, stats = fx.questions(spark, sf_dir), materialize(lexical.corpus_stats(chunks, index), "stats")
+    expanded = materialize(lexical.expand_terms(questions, lexical.vocabulary(index, stats)), "expanded")
+    scores = materialize(lexical.pruned_scores(expanded, *lexical.blocked_postings(index, stats), k=DEFAULT.bm25_k), "scores")
+    return questions, chunks, lexical.bm25_scores(expanded, index, stats), scores
+
+
+@_query(_with(fx.INDEX) + "SELECT q_id, doc_id, chunk_index, bm25, bm25_rank::INT AS bm25_rank FROM words")
+def o58_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of o58, from the blocks that can hold them."""
+    questions, chunks, _, scores = _pruned(spark, sf_dir)
+    return lexical.bm25_topk(questions, chunks, scores)
+
+
+@_query()
+def o58_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of a question and a chunk with one of its terms there are, and how many o58_block_max scores."""
+    _, _, every, scores = _pruned(spark, sf_dir)
+    counts = every.agg(F.count(F.lit(1)).alias("pairs")).join(scores.agg(F.count(F.lit(1)).alias("scored")))
+    return counts.withColumn("share", F.round(F.col("scored") / F.col("pairs"), 4))
+
+
 @_query(_with(fx.INDEX) + "SELECT workspace_id, doc_id, chunk_index, term, CASE WHEN workspace_id IN ('src1', 'src2') THEN tf * 2 ELSE tf END AS tf FROM post")
 def o59_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two workspaces changed (their texts now stand twice in each chunk); only their postings are derived anew."""
@@ -133,9 +159,11 @@ def o52_approx_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def o52_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of o51's rows the share that o52 has."""
+    """Of o51's rows the share that o52 has, and of all pairs the share that it scores whole."""
     questions, chunks = fx.questions(spark, sf_dir), materialize(fx.chunks(spark, sf_dir).where("embedding IS NOT NULL"), "chunks")
-    return dense.recall(dense.approx_topk(questions, chunks), dense.exact_cosine(questions, chunks))
+    found = materialize(dense.bounded_search(questions, chunks), "found")
+    counts = found.agg(F.sum("pairs").alias("pairs"), F.sum("scored").alias("scored"), F.count(F.when(F.col("sure"), 1)).alias("sure"))
+    return dense.recall(found.where("doc_id is not null"), dense.exact_cosine(questions, chunks)).join(counts)
 
 
 _COUNTED = "aeiı"
@@ -593,6 +621,26 @@ def o13_append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "level", "stage", "workspace_id", F.col("day").cast("string").alias("day"))
 
 
+_STATUS = "element_at(array('pending', 'embedding', 'embedded', 'pending', 'failed', 'embedding', 'cancelled'), cast(event_id % 7 AS int) + 1)"
+
+
+@_query("""WITH e AS (SELECT user_id AS document_id, event_id AS seq, ['pending', 'embedding', 'embedded', 'pending', 'failed', 'embedding', 'cancelled'][event_id % 7 + 1] AS status FROM events),
+f AS (SELECT document_id, list_reduce(list_prepend('uploading:0', list(status ORDER BY seq)), lambda a, w: CASE
+    WHEN (split_part(a, ':', 1) = 'uploading' AND w IN ('pending', 'cancelled', 'failed')) OR (split_part(a, ':', 1) = 'pending' AND w IN ('embedding', 'cancelled', 'failed'))
+      OR (split_part(a, ':', 1) = 'embedding' AND w IN ('embedded', 'failed', 'cancelled')) THEN w || ':' || split_part(a, ':', 2)
+    WHEN split_part(a, ':', 1) = w THEN a ELSE split_part(a, ':', 1) || ':' || (split_part(a, ':', 2)::INT + 1) END) AS r FROM e GROUP BY 1)
+SELECT document_id, split_part(r, ':', 1) AS status, split_part(r, ':', 2)::INT AS rejected FROM f""")
+def s01_fold_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as statuses of documents, dealt over five batches of a stream without regard to their order."""
+    path = scratch(spark, "statuses")
+    events = fx.read(spark, sf_dir, "events").selectExpr("user_id AS document_id", f"{_STATUS} AS status", "event_id AS seq")
+    for part in range(5):
+        events.where(F.pmod(F.xxhash64("seq"), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest.keep_statuses(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return ingest.statuses(spark, f"{path}/out", dict(events.dtypes)["document_id"])
+
+
 @_query("SELECT event_id, user_id, event_type FROM events")
 def o14_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_table(spark, f"{sf_dir}/events.parquet", "event_id bigint, user_id bigint, event_type string")

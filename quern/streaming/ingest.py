@@ -49,25 +49,53 @@ def ingest_text(files: DataFrame, store: ChunkStore, checkpoint: str, errors: st
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fold_one(events: list[tuple[int, str]]) -> tuple[str, int]:
+    """The status after events (seq, status) in order, and how many may not follow what was then."""
+    status, rejected = "uploading", 0
+    for _, wanted in sorted(events):
+        if wanted in NEXT.get(status, ()):
+            status = wanted
+        elif wanted != status:
+            rejected += 1
+    return status, rejected
+
+
 def fold_statuses(events: DataFrame) -> DataFrame:
-    """events: document_id, status, seq (a stream). Per batch and document its status after the events in order of seq: document_id,
-    status, rejected (events that may not follow). A final status ends the document's state."""
+    """events: document_id, status, seq (a stream). Per batch and document its status after all its events so far in order of seq:
+    document_id, status, rejected (how many of all may not follow).
+
+    A document's events stay in its state, final or not, so any split of the events into batches, late ones too, ends in the same rows,
+    and what follows a final status is rejected whenever it comes; an event that comes again counts once. No timer ends
+    a state: with one, a run over what is available would never end.
+    """
+    kind = dict(events.dtypes)["document_id"]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, rejected = (state.get[0], 0) if state.exists else ("uploading", 0)
-        for wanted in pd.concat(list(frames)).sort_values("seq")["status"]:
-            if wanted in NEXT.get(status, ()):
-                status = wanted
-            elif wanted != status:
-                rejected += 1
-        if status in FINAL:
-            state.remove()
-        else:
-            state.update((status,))
+        seqs, statuses = state.get if state.exists else ([], [])
+        known = set(zip(seqs, statuses, strict=True))
+        for frame in frames:
+            known.update(zip(frame["seq"].tolist(), frame["status"].tolist(), strict=True))
+        known = sorted((s, w) for s, w in known if w is not None)
+        state.update(([s for s, _ in known], [w for _, w in known]))
+        status, rejected = fold_one(known)
         yield pd.DataFrame({"document_id": [key[0]], "status": [status], "rejected": [rejected]})
 
-    kind = dict(events.dtypes)["document_id"]
-    return events.groupBy("document_id").applyInPandasWithState(fold, f"document_id {kind}, status string, rejected int", "status string", "update", "NoTimeout")
+    return events.groupBy("document_id").applyInPandasWithState(fold, f"document_id {kind}, status string, rejected int", "seqs array<bigint>, statuses array<string>", "update", "NoTimeout")
+
+
+def keep_statuses(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Folds the stream into {path}/batch=<n>; `statuses` reads the newest row of each document. A batch that runs twice is written once."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return fold_statuses(events).writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def statuses(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """document_id, status, rejected."""
+    rows = spark.read.schema(f"document_id {kind}, status string, rejected int, batch int").parquet(path)
+    return rows.groupBy("document_id").agg(F.max_by(F.struct("status", "rejected"), "batch").alias("s")).select("document_id", "s.*")
 
 
 def latest_status(events: DataFrame) -> DataFrame:

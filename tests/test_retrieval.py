@@ -93,7 +93,17 @@ def test_approximate_recall(spark):
     c = spark.createDataFrame([("w", i, 0, v.tolist()) for i, v in enumerate(x.astype(np.float32))], VECTORS)
     q = spark.createDataFrame([(i, "w", (v + 0.1).tolist()) for i, v in enumerate(centres.astype(np.float32))], ASKED)
     found, exact = dense.approx_topk(q, c), dense.exact_cosine(q, c)
-    assert dense.recall(found, exact).first().recall >= 0.9
+    assert dense.recall(found, exact).first().recall >= 0.99
+    rows = dense.bounded_search(q, c).collect()
+    counts = [r for r in rows if r.doc_id is None]
+    assert len(counts) == 40 and all(r.pairs == 400 and 8 <= r.scored < 100 and r.dense_rank is None for r in counts)
+    # a question whose block is sure has exactly the rows of the exact search
+    steep = np.diag(0.5 ** np.arange(32))
+    c, q = (df.rdd.map(lambda r: (*r[:-1], (np.array(r[-1]) @ steep).tolist())).toDF(df.schema) for df in (c, q))
+    rows, want = dense.bounded_search(q, c).collect(), dense.exact_cosine(q, c).collect()
+    sure = {r.q_id for r in rows if r.sure}
+    pick = lambda found: {(r.q_id, r.doc_id, r.dense_rank, r.sim) for r in found if r.q_id in sure and r.doc_id is not None}
+    assert len(sure) > 20 and pick(rows) == pick(want)
     assert dense.recall(exact, exact).first().recall == 1.0
 
 

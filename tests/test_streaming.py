@@ -1,3 +1,4 @@
+import random
 import tempfile
 
 from quern.streaming import ingest
@@ -94,3 +95,24 @@ def test_fold_statuses(spark):
     query.awaitTermination()
     rows = {r.document_id: (r.status, r.rejected) for r in spark.sql("select * from folded").collect()}
     assert rows == {1: ("embedded", 0), 2: ("pending", 1), 3: ("cancelled", 0)}
+
+
+def test_any_split_of_events_folds_alike(spark):
+    """One batch, a few in order, and a few in any order with repeats: the same rows; nothing follows a final status."""
+    rng = random.Random(2)
+    words = ["pending", "embedding", "embedded", "failed", "cancelled", "uploading"]
+    events = [(d, rng.choice(words[: 2 + d % 5]), seq) for d in range(12) for seq in rng.sample(range(50), rng.randint(1, 7))]
+    events += [(100, w, i) for i, w in enumerate(["pending", "embedding", "cancelled", "pending", "embedding"])]
+    want = {d: ingest.fold_one([(s, w) for e, w, s in events if e == d]) for d in {e for e, _, _ in events}}
+    assert want[100] == ("cancelled", 2)
+    ordered = sorted(events, key=lambda e: e[2])
+    mixed = rng.sample(events, len(events))
+    splits = [[events], [ordered[:20], ordered[20:]], [mixed[:9], mixed[9:30], mixed[30:] + mixed[:5]]]
+    schema = "document_id bigint, status string, seq bigint"
+    for batches in splits:
+        root = tempfile.mkdtemp(prefix="spark-")
+        for batch in batches:
+            write(spark, f"{root}/in", batch, schema)
+        ingest.keep_statuses(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), f"{root}/out", f"{root}/c").awaitTermination()
+        got = {r.document_id: (r.status, r.rejected) for r in ingest.statuses(spark, f"{root}/out").collect()}
+        assert got == want
