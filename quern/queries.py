@@ -12,6 +12,7 @@ from .operators import chunking, citations, dense, enrich, fusion, layout, lexic
 from .plans import fixtures as fx
 from .plans.answer import answer_batch
 from .sources import store
+from .sources.event_log import EventLog, LogLayout
 from .sources.keyed_store import ChunkStore, Layout, PostingIndex
 from .sources.scratch import materialize, scratch
 from .streaming import ingest
@@ -641,6 +642,52 @@ def s01_fold_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.statuses(spark, f"{path}/out", dict(events.dtypes)["document_id"])
 
 
+_LOG = "id bigint, document_id bigint, workspace_id string, level string, stage string, message string, created_at timestamp"
+
+
+def _kept_logs(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The logs, dealt over ten batches of a stream; days' parts are joined on the way."""
+    path, rows = scratch(spark, "log"), fx.logs(spark, sf_dir)
+    for part in range(10):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(10)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    kept = EventLog(spark, f"{path}/log", _LOG, layout=LogLayout(fan=4))
+    ingest.keep_events(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), kept, f"{path}/checkpoint").awaitTermination()
+    return kept
+
+
+@_query(_with(fx.LOGS) + "SELECT stage, level, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT id) AS n_ids, sum(document_id)::BIGINT AS documents FROM logs GROUP BY 1, 2, 3")
+def s02_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by stage and day of a log that took its batches from a stream, and the last of them once more, which adds nothing."""
+    kept = _kept_logs(spark, sf_dir)
+    writer, batch = next(iter(kept._state()["writers"].items()))
+    kept.append(kept.read(), writer, batch)
+    rows = kept.read().withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    return rows.groupBy("stage", "level", "day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.sum("document_id").alias("documents"))
+
+
+@_query(_with(fx.LOGS) + """SELECT id, workspace_id, level, stage, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM logs
+WHERE workspace_id = 'src3' AND level = 'error' AND created_at <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY logs.created_at DESC, id DESC LIMIT 50""")
+def o81_recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of one workspace's errors before a time, from the days that hold it."""
+    wanted = (F.col("workspace_id") == "src3") & (F.col("level") == "error")
+    rows = _kept_logs(spark, sf_dir).newest_days(50, wanted, "2024-01-20T12:00:00Z")
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(50).select("id", "workspace_id", "level", "stage", _time("created_at"))
+
+
+@_query(_with(fx.INDEX) + "SELECT workspace_id, n_chunks, round(avgdl, 6) AS avgdl, n_documents, 0::BIGINT AS n_failed FROM stats JOIN (SELECT source AS workspace_id, count(*) AS n_documents FROM documents GROUP BY 1) USING (workspace_id)")
+def s03_ingest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come in four batches, through the store, the index and the log."""
+    path = scratch(spark, "chain")
+    files = fx.read(spark, sf_dir, "documents").selectExpr("source AS workspace_id", "doc_id", "cast(text AS binary) AS content", "timestamp_seconds(0) AS modified")
+    for part in range(4):
+        files.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    kept = ChunkStore(spark, f"{path}/store", "workspace_id string, doc_id bigint, chunk_index int, text string, version bigint")
+    index, log = PostingIndex(spark, f"{path}/index"), EventLog(spark, f"{path}/log", ingest.DOCUMENT_LOG)
+    ingest.ingest_chain(spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), kept, index, log, f"{path}/checkpoint").awaitTermination()
+    events = log.read().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("stage = 'failed'").alias("n_failed"))
+    return index.stats().join(events, "workspace_id").select("workspace_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"), "n_documents", "n_failed")
+
+
 @_query("SELECT event_id, user_id, event_type FROM events")
 def o14_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_table(spark, f"{sf_dir}/events.parquet", "event_id bigint, user_id bigint, event_type string")

@@ -13,17 +13,21 @@ from pyspark.sql.streaming.state import GroupState
 from ..config import DEFAULT, Config
 from ..operators.chunking import chunk_segments
 from ..operators.enrich import workspace_summary_due
-from ..operators import lexical
+from ..operators import fusion, lexical
 from ..operators.lexical import refresh_index
 from ..plans.answer import answer_batch
+from ..sources.event_log import EventLog
 from ..sources.keyed_store import ChunkStore, PostingIndex
 from ..sources.scratch import materialize
-from ..sources.store import read_text_segments
+from ..sources.store import qa_events, read_text_segments
 
 #: Which status may follow which; the last three are final.
 NEXT = {"uploading": {"pending", "cancelled", "failed"}, "pending": {"embedding", "cancelled", "failed"}, "embedding": {"embedded", "failed", "cancelled"}}
 FINAL = {"embedded", "failed", "cancelled"}
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+#: What the logs of documents and of answers hold.
+DOCUMENT_LOG = "id string, workspace_id string, document_id bigint, level string, stage string, message string, created_at timestamp"
+ANSWER_LOG = "id string, workspace_id string, q_id bigint, seq int, event string, data string, created_at timestamp"
 
 
 def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -33,14 +37,19 @@ def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.element_at(parts, -2).alias("doc_id"), F.element_at(parts, -1).alias("filename"), "content")
 
 
+def _cut(texts: DataFrame, config: Config) -> DataFrame:
+    """Chunks of texts as `read_text_segments` gives them; those with an error have none."""
+    bare = {"breadcrumbs": F.array().cast("array<string>"), "bbox": F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), "image_path": F.lit(""), "image_kind": F.lit("")}
+    return chunk_segments(texts.where("error is null").drop("error").withColumns(bare), config)
+
+
 def ingest_text(files: DataFrame, store: ChunkStore, checkpoint: str, errors: str | None = None, config: Config = DEFAULT) -> StreamingQuery:
     """files: doc_id, content (a stream). The chunks of each document of a batch take the place of its old ones; a document that gives
     none leaves a row in `errors`, keeps what it had, and stops no other. A batch that runs twice is put in once."""
 
     def run(batch: DataFrame, number: int) -> None:
         texts = read_text_segments(batch, config)
-        whole = texts.where("error is null").drop("error").withColumns({"breadcrumbs": F.array().cast("array<string>"), "bbox": F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), "image_path": F.lit(""), "image_kind": F.lit("")})
-        rows = chunk_segments(whole, config).select("doc_id", "chunk_index", "text", F.lit(number).cast("bigint").alias("version")).persist()
+        rows = _cut(texts, config).select("doc_id", "chunk_index", "text", F.lit(number).cast("bigint").alias("version")).persist()
         store.replace(rows, rows.select("doc_id"), checkpoint, number)
         rows.unpersist()
         if errors:
@@ -49,6 +58,43 @@ def ingest_text(files: DataFrame, store: ChunkStore, checkpoint: str, errors: st
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_events(rows: DataFrame, log: EventLog, checkpoint: str) -> StreamingQuery:
+    """Appends a stream of event rows to a log. A batch that runs twice, wherever the run before was cut off, is in the log once."""
+    return rows.writeStream.foreachBatch(lambda batch, number: log.append(batch, checkpoint, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_chain(files: DataFrame, store: ChunkStore, index: PostingIndex, log: EventLog, checkpoint: str, summarize: Callable[[DataFrame, int], None] | None = None, config: Config = DEFAULT) -> StreamingQuery:
+    """files: workspace_id, doc_id, content, modified (a stream; a document stays in its workspace). From files to an index that can be asked:
+    chunks into the store, postings of the batch's workspaces anew, an event for each document (embedded, or failed with its error), then
+    `summarize` with those workspaces. Of several rows of a document in a batch the last modified counts (ties: the greatest content).
+
+    Each sink commits the batch under the checkpoint's name in its own versions. A run that ends between two sinks is taken up by the
+    next: those that have the batch leave it, the others take it, and the result is that of a run without a fault. `summarize` comes
+    last and may be called again for a batch, so it has to be idempotent.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        newest = batch.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("modified", "content", "workspace_id")).alias("f")).select("doc_id", "f.workspace_id", "f.content")
+        newest = newest.persist()
+        places, texts = newest.select("doc_id", "workspace_id"), read_text_segments(newest, config)
+        rows = _cut(texts, config).join(places, "doc_id").select("workspace_id", "doc_id", "chunk_index", "text", F.lit(number).cast("bigint").alias("version"))
+        store.replace(rows, texts.where("error is null").select("doc_id"), checkpoint, number)
+        touched = places.select("workspace_id").distinct()
+        index.refresh(store.read(), touched, checkpoint, number)
+        failed = F.col("error").isNotNull()
+        log.append(
+            texts.join(places, "doc_id").select(
+                F.concat_ws(":", "doc_id", F.lit(number)).alias("id"), "workspace_id", F.col("doc_id").alias("document_id"), F.when(failed, "error").otherwise("info").alias("level"),
+                F.when(failed, "failed").otherwise("embedded").alias("stage"), F.col("error").alias("message"), F.current_timestamp().alias("created_at"),
+            ), checkpoint, number,
+        )
+        if summarize:
+            summarize(touched, number)
+        newest.unpersist()
+
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def fold_one(events: list[tuple[int, str]]) -> tuple[str, int]:
     """The status after events (seq, status) in order, and how many may not follow what was then."""
     status, rejected = "uploading", 0
@@ -132,8 +178,22 @@ def summaries_due(workspaces: DataFrame, documents: DataFrame, touched: DataFram
     return workspace_summary_due(workspaces, documents.join(touched, "workspace_id", "left_semi"))
 
 
-def answer_stream(questions: DataFrame, chunks: DataFrame, sink: str, checkpoint: str, config: Config = DEFAULT, index: PostingIndex | None = None) -> StreamingQuery:
-    """questions (a stream) against a chunk table: a batch's answers go to {sink}/batch=<n>.
+def answer_events(questions: DataFrame, answers: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """The event rows (O15) of answers as `answer_batch` gives them: q_id, seq, event, data, workspace_id. A question's meta holds the ids of its
+    chunks in order, their scores, its confidence and level and whether it was refused. replies: q_id, deltas, error of the model, one row each;
+    a question without one, as those that were refused, has no delta."""
+    heads = answers.groupBy("q_id").agg(F.bool_or(~F.col("passed")).alias("rejected"), F.max("confidence").alias("confidence"), F.max("level").alias("confidence_level"))
+    heads = heads.join(fusion.chunk_scores(answers.where("passed")), "q_id", "left")
+    meta = F.to_json(F.struct("chunk_ids", "chunk_scores", "confidence", "confidence_level", "rejected"))
+    none = {"deltas": F.lit(None).cast("array<string>"), "error": F.lit(None).cast("string")}
+    results = heads.select("q_id", meta.alias("meta"))
+    results = results.withColumns(none) if replies is None else results.join(replies.select("q_id", "deltas", "error"), "q_id", "left")
+    return qa_events(results).join(questions.select("q_id", "workspace_id"), "q_id")
+
+
+def answer_stream(questions: DataFrame, chunks: DataFrame, sink: str, checkpoint: str, config: Config = DEFAULT, index: PostingIndex | None = None, log: EventLog | None = None, reply: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """questions (a stream) against a chunk table: a batch's answers go to {sink}/batch=<n>, their events (ANSWER_LOG) to `log`, once. `reply`
+    gets a batch's answers and gives the model's replies (q_id, deltas, error).
 
     Postings are those of `index` at the version that is newest when a batch begins; without one, those of chunks are written once, when
     the first batch comes. No batch tokenizes the corpus again."""
@@ -147,6 +207,11 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, sink: str, checkpoint
         return written[0]
 
     def run(batch: DataFrame, number: int) -> None:
-        answer_batch(batch, chunks, config, postings()).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        found = answer_batch(batch, chunks, config, postings())
+        found.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if log is not None:
+            answers = batch.sparkSession.read.schema(found.schema).parquet(f"{sink}/batch={number}")
+            events = answer_events(batch, answers, reply and reply(answers)).withColumns({"id": F.concat_ws(":", "q_id", "seq"), "created_at": F.current_timestamp()})
+            log.append(events, checkpoint, number)
 
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ import pytest
 from quern.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["o01_scan_files", "o02_admit_files", "o05_read_text_segments", "o06_read_page_blocks", "o07_upsert_chunks", "o13_append_log", "o15_qa_events", "o20_drop_table_overlaps", "o26_equation_route", "o29_table_caption", "o31_order_blocks", "o34_is_heading_line", "o37_ocr_stats", "o42_group_segments", "o45_chunk_segments", "o48_embed_chunks", "o49_check_dim", "o50_dense_topk", "o51_exact_cosine", "o58_bm25_topk", "o66_assemble_context", "o68_answer_batch", "o69_build_sample", "o71_clean_summary", "o72_workspace_summary_due", "o73_workspace_digest", "o73_store_summary", "o77_last_messages", "o79_document_detail", "o81_qa_log_page", "o84_extract_citations", "o86_workspace_progress"]
+PICKED = ["o01_scan_files", "o02_admit_files", "o05_read_text_segments", "o06_read_page_blocks", "o07_upsert_chunks", "o13_append_log", "o15_qa_events", "o20_drop_table_overlaps", "o26_equation_route", "o29_table_caption", "o31_order_blocks", "o34_is_heading_line", "o37_ocr_stats", "o42_group_segments", "o45_chunk_segments", "o48_embed_chunks", "o49_check_dim", "o50_dense_topk", "o51_exact_cosine", "o58_bm25_topk", "o66_assemble_context", "o68_answer_batch", "o69_build_sample", "o71_clean_summary", "o72_workspace_summary_due", "o73_workspace_digest", "o73_store_summary", "o77_last_messages", "o79_document_detail", "o81_qa_log_page", "o81_recent_logs", "o84_extract_citations", "o86_workspace_progress", "s02_event_log", "s03_ingest_chain"]
 
 
 def test_every_query_has_a_name_and_a_function():
