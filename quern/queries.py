@@ -646,11 +646,11 @@ _LOG = "id bigint, document_id bigint, workspace_id string, level string, stage
 
 
 def _kept_logs(spark: SparkSession, sf_dir: str) -> EventLog:
-    """The logs, dealt over ten batches of a stream; days' parts are joined on the way."""
+    """The logs, dealt over five batches of a stream; days' parts are joined on the way."""
     path, rows = scratch(spark, "log"), fx.logs(spark, sf_dir)
-    for part in range(10):
-        rows.where(F.pmod(F.xxhash64("id"), F.lit(10)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    kept = EventLog(spark, f"{path}/log", _LOG, layout=LogLayout(fan=4))
+    for part in range(5):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    kept = EventLog(spark, f"{path}/log", _LOG, layout=LogLayout(fan=3))
     ingest.keep_events(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), kept, f"{path}/checkpoint").awaitTermination()
     return kept
 
@@ -684,7 +684,7 @@ def s03_ingest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ChunkStore(spark, f"{path}/store", "workspace_id string, doc_id bigint, chunk_index int, text string, version bigint")
     index, log = PostingIndex(spark, f"{path}/index"), EventLog(spark, f"{path}/log", ingest.DOCUMENT_LOG)
     ingest.ingest_chain(spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), kept, index, log, f"{path}/checkpoint").awaitTermination()
-    events = log.read().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("stage = 'failed'").alias("n_failed"))
+    events = log.read().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("stage") == "failed").alias("n_failed"))
     return index.stats().join(events, "workspace_id").select("workspace_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"), "n_documents", "n_failed")
 
 
