@@ -43,9 +43,9 @@ def _time(column: str):
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks and their postings, both written once."""
+    """Chunks and their postings, packed, both written once."""
     chunks = materialize(fx.chunks(spark, sf_dir), "chunks")
-    return chunks, materialize(lexical.postings(chunks), "postings")
+    return chunks, materialize(lexical.packed_postings(chunks), "postings")
 
 
 @_query(f"SELECT doc_id, array_to_string({fx.TOKENS.format('text')}, ' ') AS tokens, len({fx.TOKENS.format('text')}) AS n FROM documents")
@@ -77,8 +77,8 @@ def o56_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(fx.INDEX) + "SELECT q_id, workspace_id, doc_id, chunk_index, bm25 FROM scores")
 def o57_bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, index = _index(spark, sf_dir)
-    stats = lexical.corpus_stats(chunks, index)
-    expanded = lexical.expand_terms(fx.questions(spark, sf_dir), lexical.vocabulary(index, stats))
+    stats = materialize(lexical.corpus_stats(chunks, index), "stats")
+    expanded = materialize(lexical.expand_terms(fx.questions(spark, sf_dir), lexical.vocabulary(index, stats)), "expanded")
     return lexical.bm25_scores(expanded, index, stats).select("q_id", "workspace_id", "doc_id", "chunk_index", "bm25")
 
 
@@ -88,27 +88,25 @@ def o58_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(fx.questions(spark, sf_dir), chunks, index=index).select("q_id", "doc_id", "chunk_index", "bm25", "bm25_rank")
 
 
-def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Questions, chunks, all their scores (not evaluated yet) and those that bounds leave."""
+def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, chunks and the scores that bounds leave."""
     chunks, index = _index(spark, sf_dir)
     questions, stats = fx.questions(spark, sf_dir), materialize(lexical.corpus_stats(chunks, index), "stats")
     expanded = materialize(lexical.expand_terms(questions, lexical.vocabulary(index, stats)), "expanded")
-    scores = materialize(lexical.pruned_scores(expanded, *lexical.blocked_postings(index, stats), k=DEFAULT.bm25_k), "scores")
-    return questions, chunks, lexical.bm25_scores(expanded, index, stats), scores
+    return questions, chunks, materialize(lexical.pruned_scores(expanded, index, stats, k=DEFAULT.bm25_k), "scores")
 
 
 @_query(_with(fx.INDEX) + "SELECT q_id, doc_id, chunk_index, bm25, bm25_rank::INT AS bm25_rank FROM words")
 def o58_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of o58, from the blocks that can hold them."""
-    questions, chunks, _, scores = _pruned(spark, sf_dir)
-    return lexical.bm25_topk(questions, chunks, scores)
+    questions, chunks, scores = _pruned(spark, sf_dir)
+    return lexical.bm25_topk(questions, chunks, scores.where("doc_id is not null"))
 
 
 @_query()
 def o58_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs of a question and a chunk with one of its terms there are, and how many o58_block_max scores."""
-    _, _, every, scores = _pruned(spark, sf_dir)
-    counts = every.agg(F.count(F.lit(1)).alias("pairs")).join(scores.agg(F.count(F.lit(1)).alias("scored")))
+    counts = _pruned(spark, sf_dir)[-1].agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
     return counts.withColumn("share", F.round(F.col("scored") / F.col("pairs"), 4))
 
 
