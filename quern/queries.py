@@ -575,7 +575,8 @@ def o01_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as text files in folders, read back as files."""
     path = scratch(spark, "storage")
     lines = fx.read(spark, sf_dir, "documents").selectExpr("doc_id % 16 AS folder", "concat(doc_id, ' ', hex(text)) AS value")
-    lines.repartition("folder").write.partitionBy("folder").text(path)
+    # a file is one row when it is read, so its size has a bound, whatever a folder holds
+    lines.write.option("maxRecordsPerFile", 256).partitionBy("folder").text(path)
     rows = store.scan_files(spark, path, "*.txt").select(F.col("doc_id").alias("folder"), F.explode(F.split(F.rtrim(F.decode("content", "utf-8"), F.lit("\n")), "\n")).alias("line"))
     parts = F.split("line", " ")
     return rows.select(parts[0].cast("long").alias("doc_id"), "folder", F.md5(F.unhex(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).alias("digest"))

@@ -53,3 +53,57 @@ def test_scores_by_blocks(spark):
         assert best([(r.q_id, r.doc_id, r.bm25) for r in pruned if r.doc_id is not None]) == every
         counts = [r for r in pruned if r.doc_id is None]
         assert sum(r.pairs for r in counts) == len(want) and all(r.scored <= r.pairs for r in counts)
+
+
+def test_files_have_a_bound(spark, monkeypatch):
+    """A folder of many documents is many files."""
+    import tempfile
+
+    from quern import queries
+
+    path = tempfile.mkdtemp(prefix="spark-")
+    spark.range(9000).selectExpr("id * 16 AS doc_id", "repeat('x', 10) AS text").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    monkeypatch.setattr(queries, "scratch", lambda _, name: f"{path}/{name}")
+    assert queries.QUERIES["o01_scan_files"](spark, path).count() == 9000
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/storage")
+    assert files.count() >= 9000 / 256 and files.agg(F.max("length")).first()[0] <= 256 * 40
+
+
+def test_grams_are_not_broadcast(spark):
+    import tempfile
+
+    from quern.operators import citations
+
+    path = tempfile.mkdtemp(prefix="spark-")
+    for name, mark in (("parts", "a"), ("wholes", "b")):  # as files, which look small
+        spark.createDataFrame([("w", f"{mark}{i}") for i in range(50)], "workspace_id string, text string").write.parquet(f"{path}/{name}")
+    found = citations.contained(spark.read.parquet(f"{path}/parts"), spark.read.parquet(f"{path}/wholes"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_is_a_row(spark):
+    """Reading order without a pandas group for each page; boxes as before."""
+    from quern.operators import layout
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    items = [(1, p, i, "table" if i == 4 else "text", (300.0 * (i % 2), 50.0 * i, 300.0 * (i % 2) + 200, 50.0 * i + 10)) for p in range(3) for i in range(6)]
+    rows = layout.order_blocks(spark.createDataFrame(items, f"doc_id bigint, page int, item_no int, kind string, bbox {box}"), spark.createDataFrame([(1, p, 612.0, 792.0) for p in range(3)], "doc_id bigint, page int, width double, height double"))
+    assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    for p in range(3):
+        assert [r.item_no for r in sorted(rows.where(F.col("page") == p).collect(), key=lambda r: r.order)] == [0, 2, 1, 3, 4, 5]
+
+
+def test_texts_are_cut_a_few_at_a_time():
+    import pyarrow as pa
+
+    from quern.operators import chunking
+
+    held = []
+
+    def cut(text):
+        held.append(text)
+        return [text, "x"]
+
+    texts = pa.array([str(i) if i % 7 else None for i in range(500)])
+    want = [[str(i) if i % 7 else "", "x"] for i in range(500)]
+    assert chunking._each(texts, cut).to_pylist() == want and len(held) == 500 and chunking._each(texts.slice(0, 0), cut).to_pylist() == []
