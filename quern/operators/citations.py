@@ -71,10 +71,11 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     are then compared; a part with a gram that no whole has meets none.
     """
     key = ["workspace_id", "gram"]
-    index = _grams(wholes, (1, 2, 3)).withColumnRenamed("text", "whole")
+    # written texts are small and their grams many: what looks fit to be sent to all would go whole through the driver
+    index = _grams(wholes, (1, 2, 3)).withColumnRenamed("text", "whole").hint("merge")
     own = _grams(parts.where(F.length("text") >= 3), (3,)).unionByName(parts.where(F.length("text") < 3).withColumn("gram", F.col("text")))
     common = index.join(own.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
-    rarest = own.join(common, key, "left").groupBy("workspace_id", "text").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).select("workspace_id", F.col("text").alias("part"), F.col("r.gram").alias("gram"))
+    rarest = own.join(common.hint("merge"), key, "left").groupBy("workspace_id", "text").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).select("workspace_id", F.col("text").alias("part"), F.col("r.gram").alias("gram"))
     return rarest.join(index, key).where(F.col("whole").contains(F.col("part"))).select("workspace_id", "part", "whole")
 
 
@@ -85,13 +86,13 @@ def name_matches(targets: DataFrame, documents: DataFrame) -> DataFrame:
     Equality is an equi-join. What it leaves is looked up by 3-grams, once a target and a name however often they occur.
     """
     named = documents.where("filename <> ''").select(F.col("id").alias("document_id"), "workspace_id", F.lower(F.trim("filename")).alias("text"))
-    names = materialize(named.where("text <> ''").groupBy("workspace_id", "text").agg(F.min("document_id").alias("document_id")), "names")
+    names = materialize(named.where("text <> ''").groupBy("workspace_id", "text").agg(F.min("document_id").alias("document_id")), "names").hint("merge")
     wanted = targets.withColumnRenamed("target", "text")
     equal = names.join(wanted, ["workspace_id", "text"], "left_semi")
     missed = materialize(wanted.join(equal, ["workspace_id", "text"], "left_anti"), "missed")
     inside = contained(missed, names.select("workspace_id", "text")).select("workspace_id", F.col("part").alias("target"), F.col("whole").alias("text"))
     around = contained(names.select("workspace_id", "text"), missed).select("workspace_id", F.col("whole").alias("target"), F.col("part").alias("text"))
-    held = inside.union(around).join(names, ["workspace_id", "text"]).groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id"))
+    held = inside.union(around).hint("merge").join(names, ["workspace_id", "text"]).groupBy("workspace_id", "target").agg(F.min("document_id").alias("document_id"))
     return equal.select("workspace_id", F.col("text").alias("target"), "document_id").unionByName(held)
 
 
