@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,23 +188,31 @@ def inject(flow: list[float], anchors: list[float]) -> list[tuple[bool, int]]:
     return [(a, i) for a, i, _ in out]
 
 
+def order_page(page: list[dict], width: float, height: float) -> list[dict]:
+    """item_no and order of the items of a page: item_no, free (a table or an image), box."""
+    nan = float("nan")
+    boxes = [tuple(nan if x is None else x for x in item["box"]) for item in page]
+    flow, anchors = ([i for i, item in enumerate(page) if item["free"] == free] for free in (False, True))
+    flow = [flow[i] for i in reading_order([boxes[i] for i in flow], width, height)]
+    middle = lambda i: (boxes[i][1] + boxes[i][3]) / 2
+    merged = inject([middle(i) for i in flow], [middle(i) for i in anchors])
+    return [{"item_no": page[anchors[i] if a else flow[i]]["item_no"], "order": n} for n, (a, i) in enumerate(merged)]
+
+
 def order_blocks(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items: doc_id, page, item_no, kind, bbox. Adds `order` within the page: text in reading order, tables and images put into it
-    (O31, O32). One page is one group."""
-
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("item_no").reset_index(drop=True)
-        boxes = list(zip(page["x0"], page["y0"], page["x1"], page["y1"], strict=True))
-        free = page["kind"].isin(["table", "image"])
-        flow, anchors = page.index[~free].tolist(), page.index[free].tolist()
-        flow = [flow[i] for i in reading_order([boxes[i] for i in flow], page["width"].iloc[0], page["height"].iloc[0])]
-        middle = lambda i: (boxes[i][1] + boxes[i][3]) / 2
-        merged = inject([middle(i) for i in flow], [middle(i) for i in anchors])
-        places = [anchors[i] if a else flow[i] for a, i in merged]
-        return pd.DataFrame({"doc_id": page["doc_id"], "page": page["page"], "item_no": page["item_no"], "order": pd.Series(range(len(places)), index=places).sort_index()})
-
-    slim = items.join(pages.select(*PAGE, "width", "height"), PAGE).select(*PAGE, "item_no", "kind", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1", "width", "height")
-    places = slim.groupBy(*PAGE).applyInPandas(order, f"doc_id {dict(items.dtypes)['doc_id']}, page int, item_no int, `order` int")
+    (O31, O32). One page is one row, and pages go to Python by batches."""
+    kind = pa.list_(pa.struct([("item_no", pa.int32()), ("order", pa.int32())]))
+
+    @F.arrow_udf("array<struct<item_no:int,order:int>>")
+    def order(page: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+        parts = ((x.slice(at, 64).to_pylist() for x in (page, width, height)) for at in range(0, len(page), 64))
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([order_page(*one) for one in zip(*part, strict=True)], kind) for part in parts)])
+
+    box = F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    slim = items.join(pages.select(*PAGE, "width", "height"), PAGE).select(*PAGE, "width", "height", F.struct(F.col("item_no").cast("int").alias("item_no"), F.coalesce(F.col("kind").isin("table", "image"), F.lit(False)).alias("free"), box.alias("box")).alias("_item"))
+    whole = slim.groupBy(*PAGE).agg(F.sort_array(F.collect_list("_item")).alias("_page"), F.first("width").alias("_w"), F.first("height").alias("_h"))
+    places = whole.select(*PAGE, order("_page", "_w", "_h").alias("_places")).select(*PAGE, F.inline_outer("_places"))
     return items.join(places, [*PAGE, "item_no"])
 
 

@@ -491,13 +491,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, page, block_no AS item_no, y0 + 6 AS mid, false AS anchor FROM blocks WHERE {fx.sql_strip('text')} <> '' UNION ALL SELECT DISTINCT doc_id, page, 100000000, 156.0, true FROM blocks WHERE doc_id % 3 = 0)""")
 def o31_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With tables put in."""
-    return layout.order_blocks(_items(spark, sf_dir), fx.pages_geom(spark, sf_dir)).select("doc_id", "page", "item_no", "order")
+    return layout.order_blocks(materialize(_items(spark, sf_dir).select("doc_id", "page", "item_no", "kind", "bbox"), "items"), fx.pages_geom(spark, sf_dir)).select("doc_id", "page", "item_no", "order")
 
 
 @_query()
 def o35_emit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
-    ordered = layout.order_blocks(items, fx.pages_geom(spark, sf_dir))
+    items = materialize(_items(spark, sf_dir), "items")  # for the order and the body's size; the order is then read by lines, texts and tables
+    ordered = materialize(layout.order_blocks(items, fx.pages_geom(spark, sf_dir)), "ordered")
     segments = layout.emit_segments(ordered, layout.body_font_size(items))
     return segments.select("doc_id", "page_number", "order", "content_type", F.md5("text").alias("text"), "page_context", F.array_join("breadcrumbs", "|").alias("breadcrumbs"))
 
