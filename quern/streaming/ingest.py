@@ -78,6 +78,7 @@ def ingest_chain(files: DataFrame, store: ChunkStore, index: PostingIndex, log:
         newest = newest.persist()
         places, texts = newest.select("doc_id", "workspace_id"), read_text_segments(newest, config)
         rows = _cut(texts, config).join(places, "doc_id").select("workspace_id", "doc_id", "chunk_index", "text", F.lit(number).cast("bigint").alias("version"))
+        rows = materialize(rows, "cut")  # written, and asked for its keys
         store.replace(rows, texts.where("error is null").select("doc_id"), checkpoint, number)
         touched = places.select("workspace_id").distinct()
         index.refresh(store.read(), touched, checkpoint, number)
