@@ -4,8 +4,9 @@ because each of its cuts depends on the one before."""
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,12 +66,18 @@ def split_table_one(text: str, size: int) -> list[str]:
     return ["\n".join(top + rows) for rows in groups]
 
 
+def _each(texts: pa.Array, cut: Callable[[str], list[str]], rows: int = 64) -> pa.Array:
+    """The pieces of each text; only few texts at a time are Python objects."""
+    kind = pa.list_(pa.string())
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([cut(t or "") for t in texts.slice(at, rows).to_pylist()], kind) for at in range(0, len(texts), rows))])
+
+
 def split_text(text: Column, config: Config = DEFAULT) -> Column:
     """Pieces of a text, normalised first."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_one(t or "", config.chunk_chars, config.chunk_overlap))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return _each(texts, lambda t: split_one(t, config.chunk_chars, config.chunk_overlap))
 
     return cut(normalize_text(text))
 
@@ -78,9 +85,9 @@ def split_text(text: Column, config: Config = DEFAULT) -> Column:
 def split_table(text: Column, config: Config = DEFAULT) -> Column:
     """Pieces of a long markdown table."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_table_one(t or "", config.chunk_chars))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return _each(texts, lambda t: split_table_one(t, config.chunk_chars))
 
     return cut(text)
 
