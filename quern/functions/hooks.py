@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Embed = Callable[[list[str]], np.ndarray]
@@ -36,17 +36,17 @@ def complete(prompts: DataFrame, model: Complete, column: str = "context") -> Da
     """prompts with answer, by `model` for each prompt; an exception becomes the row's error and stops no other."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):  # few prompts at a time are Python objects
             rows = []
-            for prompt in frame[column]:
+            for prompt in part[column].to_pylist():
                 try:
                     rows.append((model(prompt or ""), None))
                 except Exception as e:  # the user's function
                     rows.append((None, f"{type(e).__name__}: {e}"))
-            yield frame.assign(answer=[a for a, _ in rows], error=[e for _, e in rows])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([a for a, _ in rows], pa.string()), pa.array([e for _, e in rows], pa.string())], [*part.schema.names, "answer", "error"])
 
-    return prompts.mapInPandas(run, f"{schema}, answer string, error string")
+    return prompts.mapInArrow(run, f"{schema}, answer string, error string")
 
 
 #: Images and equations take the same form: bytes or text in, text out, one row each.
