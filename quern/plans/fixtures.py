@@ -124,16 +124,18 @@ pieces AS (SELECT doc_id, i::INT AS i, CASE WHEN c > 1 AND i = c - 2 AND length(
 
 
 def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one segment."""
-    return read(spark, sf_dir, "documents").selectExpr("doc_id", "1 AS page_number", "0 AS order", "'text' AS content_type", "text", "left(text, 200) AS page_context", "array(source, lang) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
+    """Each document as one segment. Segments are dealt out by document before their text is worked on, so they aren't spread first."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "1 AS page_number", "0 AS order", "'text' AS content_type", "text", "left(text, 200) AS page_context", "array(source, lang) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents (O41 to O45). A document's vector is its first chunk's; those that questions have are left out."""
+    """Chunks of all documents (O41 to O45). A document's vector is its first chunk's; those that questions have are left out. Vectors come by
+    document alone, as the chunks lie already, so that no chunk's text is shuffled for them."""
     own = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    vectors = read(spark, sf_dir, "embeddings").join(own, "vec_id", "left_anti").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding")
+    vectors = read(spark, sf_dir, "embeddings").join(own, "vec_id", "left_anti").select(F.col("vec_id").alias("_vec"), "embedding")
     rows = chunk_segments(text_segments(spark, sf_dir)).select(F.element_at("breadcrumbs", 1).alias("workspace_id"), "doc_id", "chunk_index", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("embed_text").alias("text"), "content_type", "page_number", "page_context", "breadcrumbs", F.nullif("image_path", F.lit("")).alias("image_path"))
-    return rows.join(vectors, ["doc_id", "chunk_index"], "left")
+    first = (F.col("doc_id") == F.col("_vec")) & (F.col("chunk_index") == 0)
+    return rows.join(vectors, first, "left").select("doc_id", "chunk_index", *(c for c in rows.columns if c not in ("doc_id", "chunk_index")), "embedding")
 
 
 CHUNKS = f"""{NORMAL},

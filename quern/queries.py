@@ -42,10 +42,11 @@ def _time(column: str):
 # lexical
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks and their postings, packed, both written once."""
-    chunks = materialize(fx.chunks(spark, sf_dir), "chunks")
-    return chunks, materialize(lexical.packed_postings(chunks), "postings")
+def _index(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks (their keys and the columns named) and their postings, packed, written once side by side: a text that no one asks for is never
+    written."""
+    both = materialize(lexical.packed_postings(fx.chunks(spark, sf_dir), *columns), "postings")
+    return both.select(*lexical.CHUNK, *columns), both.select(*lexical.CHUNK, "dl", "terms")
 
 
 @_query(f"SELECT doc_id, array_to_string({fx.TOKENS.format('text')}, ' ') AS tokens, len({fx.TOKENS.format('text')}) AS n FROM documents")
@@ -191,8 +192,8 @@ def o49_check_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 # fusion
 
 
-def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    questions, (chunks, index) = fx.questions(spark, sf_dir), _index(spark, sf_dir)
+def _channels(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    questions, (chunks, index) = fx.questions(spark, sf_dir), _index(spark, sf_dir, "embedding", *columns)
     near = materialize(dense.dense_topk(questions, chunks), "near")
     return questions, chunks, near, materialize(lexical.search(questions, chunks, index=index), "words")
 
@@ -222,16 +223,17 @@ def o63_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.confidence(signals).select("q_id", "qualifying", "confidence", "level")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, chunks, near, words = _channels(spark, sf_dir)
+def _hits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The chunks of each question's context with the columns named."""
+    _, chunks, near, words = _channels(spark, sf_dir, *columns)
     context = fusion.rrf_fuse(near, words).where("fused_rank < 5").withColumnRenamed("fused_rank", "rank")
-    return context.join(chunks.select("doc_id", "chunk_index", "name", "page_number", "content_type", "breadcrumbs", "image_path", "text"), ["doc_id", "chunk_index"])
+    return context.join(chunks.select("doc_id", "chunk_index", *columns), ["doc_id", "chunk_index"])
 
 
 @_query(_with(fx.INDEX, fx.DENSE, fx.FUSED) + """SELECT q_id, string_agg('doc_' || doc_id || '.txt=' || n || ' parça', ';' ORDER BY first) AS sources
 FROM (SELECT q_id, doc_id, min(fused_rank) AS first, count(*) AS n FROM fused WHERE fused_rank < 5 GROUP BY ALL) GROUP BY q_id""")
 def o64_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.sources(_hits(spark, sf_dir))
+    rows = fusion.sources(_hits(spark, sf_dir, "name"))
     return rows.select("q_id", F.array_join(F.transform("sources", lambda s: F.concat(s["label"], F.lit("="), s["meta"])), ";").alias("sources"))
 
 
@@ -243,7 +245,7 @@ def o65_chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(fx.INDEX, fx.DENSE, fx.FUSED) + """SELECT q_id, md5(string_agg('[doc_' || f.doc_id || '.txt, sayfa 1, parça ' || (f.chunk_index + 1) || ']' || chr(10) || '[Section: ' || workspace_id || ' > ' || lang || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank)) AS context
 FROM fused f JOIN chunks c ON c.doc_id = f.doc_id AND c.chunk_index = f.chunk_index WHERE fused_rank < 5 GROUP BY q_id""")
 def o66_assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.assemble_context(_hits(spark, sf_dir)).select("q_id", F.md5("context").alias("context"))
+    return fusion.assemble_context(_hits(spark, sf_dir, "name", "page_number", "content_type", "breadcrumbs", "image_path", "text")).select("q_id", F.md5("context").alias("context"))
 
 
 @_query(_with(fx.CHUNKS, fx.QUESTIONS, fx.JOBS) + """SELECT q_id, CASE WHEN (SELECT count(*) FROM jobs WHERE status IN ('pending', 'running')) > 0 THEN 'busy' ELSE 'empty' END AS error
@@ -256,7 +258,7 @@ def o67_no_corpus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM levels JOIN fused USING (q_id) WHERE fused_rank < 5
 UNION ALL SELECT q_id, NULL, NULL, NULL, NULL, NULL, false, round(100 * top_dense, 1), 'yetersiz' FROM passing WHERE NOT passed""")
 def o68_answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, index = _index(spark, sf_dir)
+    chunks, index = _index(spark, sf_dir, "embedding")
     return answer_batch(fx.questions(spark, sf_dir), chunks, index=index)
 
 

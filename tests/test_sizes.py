@@ -107,3 +107,42 @@ def test_texts_are_cut_a_few_at_a_time():
     texts = pa.array([str(i) if i % 7 else None for i in range(500)])
     want = [[str(i) if i % 7 else "", "x"] for i in range(500)]
     assert chunking._each(texts, cut).to_pylist() == want and len(held) == 500 and chunking._each(texts.slice(0, 0), cut).to_pylist() == []
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def merged(spark, make) -> str:
+    """The plan of a frame where nothing is small enough to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return plan(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_chunks_are_not_shuffled_for_their_vectors(spark):
+    from quern import queries
+    from quern.plans import fixtures as fx
+
+    found = merged(spark, lambda: fx.chunks(spark, "/root/testdata/sf0.001"))
+    assert found.count("Exchange hashpartitioning(doc_id") == 2 and "RoundRobin" not in found
+    chunks, index = queries._index(spark, "/root/testdata/sf0.001", "embedding")
+    assert chunks.columns == ["workspace_id", "doc_id", "chunk_index", "embedding"] and chunks.where("embedding is not null and chunk_index > 0").count() == 0
+    assert index.count() == chunks.count() == fx.chunks(spark, "/root/testdata/sf0.001").count()
+    assert chunks.where("embedding is not null").count() == fx.chunks(spark, "/root/testdata/sf0.001").where("embedding is not null").count() > 0
+
+
+def test_first_places_need_no_sort(spark):
+    """The order of terms by document, chunk and place, with ids at both ends."""
+    ends = [-(1 << 63), -5, 0, 7, (1 << 63) - 1]
+    rows = [("w", d, c, f"t{d % 97} u{c} v{d % 89}{c}") for d in ends for c in (0, 3, (1 << 31) - 1)]
+    index = lexical.packed_postings(spark.createDataFrame(rows, "workspace_id string, doc_id bigint, chunk_index int, text string"))
+    vocab = lexical.vocabulary(index, lexical.corpus_stats(index, index))
+    assert "SortAggregate" not in plan(vocab)
+    firsts = defaultdict(list)
+    for r in lexical.unpacked(index).collect():
+        firsts[r.term].append((r.doc_id, r.chunk_index, r.first_pos))
+    assert [r.term for r in sorted(vocab.collect(), key=lambda r: r.first)] == sorted(firsts, key=lambda t: min(firsts[t]))
