@@ -146,3 +146,12 @@ def test_first_places_need_no_sort(spark):
     for r in lexical.unpacked(index).collect():
         firsts[r.term].append((r.doc_id, r.chunk_index, r.first_pos))
     assert [r.term for r in sorted(vocab.collect(), key=lambda r: r.first)] == sorted(firsts, key=lambda t: min(firsts[t]))
+
+
+def test_a_refresh_deals_nothing_by_workspace(spark):
+    chunks = corpus(spark)
+    changed = chunks.select("workspace_id").where("workspace_id = 'w1'").distinct()
+    new = chunks.withColumn("text", F.concat_ws(" ", "text", "text"))
+    assert "SortMergeJoin" not in merged(spark, lambda: lexical.refresh_index(lexical.postings(chunks), new, changed))
+    got = {tuple(r) for r in lexical.refresh_index(lexical.postings(chunks), new, changed).collect()}
+    assert got == {tuple(r) for t, w in ((chunks, "w0"), (new, "w1")) for r in lexical.postings(t.where(F.col("workspace_id") == w)).collect()}
