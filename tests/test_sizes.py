@@ -155,3 +155,13 @@ def test_a_refresh_deals_nothing_by_workspace(spark):
     assert "SortMergeJoin" not in merged(spark, lambda: lexical.refresh_index(lexical.postings(chunks), new, changed))
     got = {tuple(r) for r in lexical.refresh_index(lexical.postings(chunks), new, changed).collect()}
     assert got == {tuple(r) for t, w in ((chunks, "w0"), (new, "w1")) for r in lexical.postings(t.where(F.col("workspace_id") == w)).collect()}
+
+
+def test_words_of_an_image_are_two_arrays(spark):
+    from quern.operators import layout
+
+    words = [("b", 2, " two "), ("a", 1, "x"), ("b", 0, "zero"), ("b", None, "none"), ("a", 0, None), ("b", 1, " "), ("c", 0, "")]
+    rows = spark.createDataFrame([(i, n, t, -1.0 if n == 0 else 80.0, 0, 0, 5, 10, 100, 10) for i, n, t in words], "image_id string, word_no int, text string, conf double, left int, top int, width int, height int, img_w int, img_h int").repartition(3)
+    found = layout.ocr_stats(rows)
+    assert {r.image_id: (r.text, r.mean_conf, r.word_count, r.text_coverage) for r in found.collect()} == {"a": ("x", 80.0, 1, 0.05), "b": ("none zero two", 80.0, 3, 0.15), "c": ("", 0.0, 0, 0.0)}
+    assert "collect_list(CASE WHEN NOT (text" in plan(found) and "img_w" not in plan(found).split("Exchange")[0]
