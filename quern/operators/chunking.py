@@ -6,6 +6,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ def _windows(n: int, newlines: list[int], spaces: list[int], size: int, overlap:
 def split_one(text: str, size: int, overlap: int) -> list[str]:
     """Overlapping windows of a normalised text, each ended at the last newline, or else space, of its second half; the next begins
     after a space within the overlap. A last piece shorter than 0.3 sizes joins the one before after an empty line."""
-    newlines, spaces = ([i for i, c in enumerate(text) if c == mark] for mark in "\n ")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    newlines, spaces = (np.flatnonzero(points == ord(mark)).tolist() for mark in "\n ")
     spans = _windows(len(text), newlines, spaces, size, overlap) if text else []
     if len(spans) == 1:
         return [text]
