@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Fixed value: the setting by which a command's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,9 +29,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and reads it back: later uses neither recompute it nor depend on any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """Writes df once and reads it back: later uses neither recompute it nor depend on any executor. What the write has shuffled goes with its
+    end, not when the driver happens to collect its garbage, so a query holds the shuffles of one step at a time."""
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

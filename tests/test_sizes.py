@@ -184,3 +184,12 @@ def test_words_of_an_image_are_two_arrays(spark):
     found = layout.ocr_stats(rows)
     assert {r.image_id: (r.text, r.mean_conf, r.word_count, r.text_coverage) for r in found.collect()} == {"a": ("x", 80.0, 1, 0.05), "b": ("none zero two", 80.0, 3, 0.15), "c": ("", 0.0, 0, 0.0)}
     assert "collect_list(CASE WHEN NOT (text" in plan(found) and "img_w" not in plan(found).split("Exchange")[0]
+
+
+def test_a_written_step_keeps_no_shuffle_files(spark):
+    from quern.sources.scratch import CLEANUP, materialize
+
+    kept = lambda: {b for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, was = kept(), spark.conf.get(CLEANUP, None)
+    materialize(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), "steps")
+    assert kept() <= before and spark.conf.get(CLEANUP, None) == was
