@@ -90,6 +90,7 @@ def assemble_context(hits: DataFrame) -> DataFrame:
 def no_corpus_check(questions: DataFrame, chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     """q_id and error: "busy" while any job is pending or running, else "empty" for workspaces without chunks; others give no row."""
     busy = jobs.where(F.col("status").isin("pending", "running")).limit(1).select(F.lit(True).alias("_busy"))
-    empty = questions.join(chunks.select("workspace_id"), "workspace_id", "left_anti").select("q_id", F.lit(True).alias("_empty"))
+    # a task sends each workspace once, however many of its chunks it holds
+    empty = questions.join(chunks.select("workspace_id").distinct(), "workspace_id", "left_anti").select("q_id", F.lit(True).alias("_empty"))
     rows = questions.select("q_id").join(F.broadcast(busy), F.lit(True), "left").join(empty, "q_id", "left")
     return rows.select("q_id", F.when(F.col("_busy"), "busy").when(F.col("_empty"), "empty").alias("error")).where("error is not null")

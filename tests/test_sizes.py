@@ -216,3 +216,16 @@ def test_written_steps_are_packed_well(spark):
 
     paths = materialize(spark.range(10).withColumn("x", F.lit("a")), "packed").inputFiles()
     assert paths and all(".zstd." in os.path.basename(p) for p in paths)
+
+
+def test_chunks_of_a_workspace_are_not_dealt(spark):
+    """Whether a workspace is empty takes its name from each task, not its chunks (F32)."""
+    from quern.operators import fusion
+
+    chunks = corpus(spark).unionByName(spark.createDataFrame([(None, 1, 0, "x")], "workspace_id string, doc_id bigint, chunk_index int, text string"))
+    questions = spark.createDataFrame([(0, "w0"), (1, "w1"), (2, "w2"), (3, None)], "q_id bigint, workspace_id string")
+    jobs = lambda *status: spark.createDataFrame([(s,) for s in status], "status string")
+    asked = lambda *status: {tuple(r) for r in fusion.no_corpus_check(questions, chunks, jobs("done", *status)).collect()}
+    assert asked() == {(2, "empty"), (3, "empty")} and asked("running") == {(i, "busy") for i in range(4)}
+    dealt = [p.split("\n")[1] for p in merged(spark, lambda: fusion.no_corpus_check(questions, chunks, jobs())).split("Exchange hashpartitioning(workspace_id")[1:]]
+    assert len(dealt) == 2 and sum("HashAggregate" in x for x in dealt) == 1
