@@ -94,6 +94,25 @@ def split_table(text: Column, config: Config = DEFAULT) -> Column:
     return cut(text)
 
 
+def _cut_groups(kinds: Column, texts: Column, config: Config) -> Column:
+    """The pieces of each of a document's groups: texts (normalised) and long tables are cut, all else is one piece."""
+
+    def cut(kind: str, text: str | None) -> list[str | None]:
+        if kind == "text":
+            return split_one(text or "", config.chunk_chars, config.chunk_overlap)
+        if kind == "table" and len(text or "") > config.table_max_chars:
+            return split_table_one(text, config.chunk_chars)
+        return [text]
+
+    @F.arrow_udf("array<array<string>>")
+    def cuts(kinds: pa.Array, texts: pa.Array) -> pa.Array:
+        kind, rows = pa.list_(pa.list_(pa.string())), 64
+        parts = ((kinds.slice(at, rows).to_pylist(), texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows))
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([[cut(k, t) for k, t in zip(ks, ts, strict=True)] for ks, ts in zip(*part, strict=True)], kind) for part in parts)])
+
+    return cuts(kinds, texts)
+
+
 def group_segments(segments: DataFrame) -> DataFrame:
     """segments with `grp`: neighbours of kind text or equation on one page and context share a group, all else stands alone."""
     order = Window.partitionBy("doc_id").orderBy("page_number", "order")
@@ -109,15 +128,17 @@ def chunk_segments(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
     groups = group_segments(segments).groupBy("doc_id", "grp").agg(head, parts, F.bool_or(F.col("content_type") == "text").alias("_text"))
     kind = F.when(F.col("_text"), F.lit("text")).otherwise(F.col("h.content_type"))
     joined = groups.select("doc_id", "grp", "h", kind.alias("kind"), F.array_join(F.transform("p", lambda s: s["text"]), "\n").alias("t"), F.flatten(F.transform("p", lambda s: F.coalesce(s["bbox"], F.array()))).alias("bbox"))
-    pieces = F.when(F.col("kind") == "text", split_text(F.when(F.col("kind") == "text", F.col("t")), config)).when(
-        (F.col("kind") == "table") & (F.length("t") > config.table_max_chars), split_table(F.when(F.col("kind") == "table", F.col("t")), config)
-    ).otherwise(F.array("t"))
+    shown = joined.withColumn("t", F.when(F.col("kind") == "text", normalize_text(F.col("t"))).otherwise(F.col("t")))
+    # a document's groups are one row while they are cut, so its pieces are numbered without dealing them out by document once more: after
+    # a Python function the plan no longer knows how rows lie
+    whole = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("grp", "h", "kind", "bbox", "t"))).alias("g"))
+    cut = whole.select("doc_id", F.transform("g", lambda s: s.dropFields("t")).alias("g"), _cut_groups(F.col("g.kind"), F.col("g.t"), config).alias("_p"))
+    pieces = F.flatten(F.zip_with("g", "_p", lambda g, p: F.transform(p, lambda x: F.struct(g.alias("g"), x.alias("x")))))
     # outer, since the plan would test the size of an array to explode by cutting it, below the shuffle, and then cut it again
-    each = joined.withColumn("pieces", pieces).select("doc_id", "grp", "h", "kind", "bbox", F.posexplode_outer("pieces").alias("pos", "embed_text")).where("pos is not null")
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp", "pos")) - 1
+    each = cut.select("doc_id", F.posexplode_outer(pieces).alias("chunk_index", "s")).where("chunk_index is not null").select("doc_id", "chunk_index", "s.g.h", "s.g.kind", "s.g.bbox", F.col("s.x").alias("embed_text"))
     crumbs = F.col("h.breadcrumbs")
     text = F.when(F.size(crumbs) > 0, F.concat(F.lit("[Bölüm: "), F.array_join(crumbs, " > "), F.lit("]\n"), "embed_text")).otherwise(F.col("embed_text"))
-    return each.select("doc_id", index.alias("chunk_index"), F.col("kind").alias("content_type"), "h.page_number", "h.page_context", "h.breadcrumbs", "h.image_path", "h.image_kind", "bbox", text.alias("text"), "embed_text")
+    return each.select("doc_id", "chunk_index", F.col("kind").alias("content_type"), "h.page_number", "h.page_context", "h.breadcrumbs", "h.image_path", "h.image_kind", "bbox", text.alias("text"), "embed_text")
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:

@@ -128,16 +128,25 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "1 AS page_number", "0 AS order", "'text' AS content_type", "text", "left(text, 200) AS page_context", "array(source, lang) AS breadcrumbs", "cast(array() AS array<struct<x0:double,y0:double,x1:double,y1:double>>) AS bbox", "'' AS image_path", "'' AS image_kind")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents (O41 to O45). A document's vector is its first chunk's; those that questions have are left out. Vectors come by
-    document alone, as the chunks lie already, so that no chunk's text is shuffled for them."""
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents (O41 to O45), without vectors."""
+    return chunk_segments(text_segments(spark, sf_dir)).select(F.element_at("breadcrumbs", 1).alias("workspace_id"), "doc_id", "chunk_index", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("embed_text").alias("text"), "content_type", "page_number", "page_context", "breadcrumbs", F.nullif("image_path", F.lit("")).alias("image_path"))
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows (doc_id, chunk_index and others) with a document's vector at its first chunk; vectors that questions have are left out.
+    Where there are many vectors rows are dealt out by document, so wide ones are better written before."""
     own = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     vectors = read(spark, sf_dir, "embeddings").join(own, "vec_id", "left_anti").select(F.col("vec_id").alias("_vec"), "embedding")
-    rows = chunk_segments(text_segments(spark, sf_dir)).select(F.element_at("breadcrumbs", 1).alias("workspace_id"), "doc_id", "chunk_index", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("embed_text").alias("text"), "content_type", "page_number", "page_context", "breadcrumbs", F.nullif("image_path", F.lit("")).alias("image_path"))
     first = (F.col("doc_id") == F.col("_vec")) & (F.col("chunk_index") == 0)
     return rows.join(vectors, first, "left").select("doc_id", "chunk_index", *(c for c in rows.columns if c not in ("doc_id", "chunk_index")), "embedding")
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pieces with vectors."""
+    return with_vectors(spark, sf_dir, pieces(spark, sf_dir))
+
+
 CHUNKS = f"""{NORMAL},
 {CUTS},
 chunks AS (SELECT source AS workspace_id, doc_id, i AS chunk_index, piece AS text, lang, left(documents.text, 200) AS page_context, CASE WHEN i = 0 THEN embedding END AS embedding

@@ -44,9 +44,11 @@ def _time(column: str):
 
 def _index(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
     """Chunks (their keys and the columns named) and their postings, packed, written once side by side: a text that no one asks for is never
-    written."""
-    both = materialize(lexical.packed_postings(fx.chunks(spark, sf_dir), *columns), "postings")
-    return both.select(*lexical.CHUNK, *columns), both.select(*lexical.CHUNK, "dl", "terms")
+    written, and vectors come to the keys of what is written."""
+    own = [c for c in columns if c != "embedding"]
+    both = materialize(lexical.packed_postings(fx.pieces(spark, sf_dir), *own), "postings")
+    chunks = both.select(*lexical.CHUNK, *own)
+    return fx.with_vectors(spark, sf_dir, chunks) if "embedding" in columns else chunks, both.select(*lexical.CHUNK, "dl", "terms")
 
 
 @_query(f"SELECT doc_id, array_to_string({fx.TOKENS.format('text')}, ' ') AS tokens, len({fx.TOKENS.format('text')}) AS n FROM documents")
@@ -58,7 +60,7 @@ def o53_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(fx.INDEX) + "SELECT workspace_id, doc_id, chunk_index, term, tf, first_pos, dl FROM post")
 def o54_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(fx.chunks(spark, sf_dir)).select("workspace_id", "doc_id", "chunk_index", "term", "tf", F.col("first_pos").cast("long").alias("first_pos"), F.col("dl").cast("long").alias("dl"))
+    return lexical.postings(fx.pieces(spark, sf_dir)).select("workspace_id", "doc_id", "chunk_index", "term", "tf", F.col("first_pos").cast("long").alias("first_pos"), F.col("dl").cast("long").alias("dl"))
 
 
 @_query(_with(fx.INDEX) + "SELECT workspace_id, term, df, round(idf, 9) AS idf, n_chunks, round(avgdl, 6) AS avgdl FROM idfs JOIN stats USING (workspace_id)")
@@ -114,7 +116,7 @@ def o58_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(fx.INDEX) + "SELECT workspace_id, doc_id, chunk_index, term, CASE WHEN workspace_id IN ('src1', 'src2') THEN tf * 2 ELSE tf END AS tf FROM post")
 def o59_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two workspaces changed (their texts now stand twice in each chunk); only their postings are derived anew."""
-    chunks = fx.chunks(spark, sf_dir)
+    chunks = fx.pieces(spark, sf_dir)
     changed = chunks.select("workspace_id").where("workspace_id IN ('src1', 'src2')").distinct()
     new = chunks.withColumn("text", F.when(F.col("workspace_id").isin("src1", "src2"), F.concat_ws("\n", "text", "text")).otherwise(F.col("text")))
     return lexical.refresh_index(lexical.postings(chunks), new, changed).select("workspace_id", "doc_id", "chunk_index", "term", "tf")
@@ -129,7 +131,7 @@ FROM (SELECT workspace_id, doc_id, chunk_index, unnest(w) AS term FROM tok) JOIN
 def o59_versioned_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all workspaces; then src1's texts stand twice and src2 loses documents, and these two alone are refreshed. Terms with
     their chunks and occurrences, as from scratch."""
-    chunks = materialize(fx.chunks(spark, sf_dir).select("workspace_id", "doc_id", "chunk_index", "text"), "chunks")
+    chunks = materialize(fx.pieces(spark, sf_dir).select("workspace_id", "doc_id", "chunk_index", "text"), "chunks")
     index = PostingIndex(spark, scratch(spark, "index"))
     index.refresh(chunks, chunks.select("workspace_id"), "all", 0)
     text = F.when(F.col("workspace_id") == "src1", F.concat_ws("\n", "text", "text")).otherwise(F.col("text"))
@@ -175,7 +177,7 @@ def o48_embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
     counted = _COUNTED
-    rows = dense.embed_chunks(fx.chunks(spark, sf_dir).select("doc_id", "chunk_index", "text"), lambda texts: np.array([[t.count(c) for c in counted] for t in texts], np.float32))
+    rows = dense.embed_chunks(fx.pieces(spark, sf_dir).select("doc_id", "chunk_index", "text"), lambda texts: np.array([[t.count(c) for c in counted] for t in texts], np.float32))
     return rows.select("doc_id", "chunk_index", *(F.get("embedding", F.lit(i)).alias(f"c{i}") for i in range(len(counted))))
 
 
@@ -251,7 +253,7 @@ def o66_assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(fx.CHUNKS, fx.QUESTIONS, fx.JOBS) + """SELECT q_id, CASE WHEN (SELECT count(*) FROM jobs WHERE status IN ('pending', 'running')) > 0 THEN 'busy' ELSE 'empty' END AS error
 FROM questions WHERE (SELECT count(*) FROM jobs WHERE status IN ('pending', 'running')) > 0 OR workspace_id NOT IN (SELECT workspace_id FROM chunks)""")
 def o67_no_corpus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.no_corpus_check(fx.questions(spark, sf_dir), fx.chunks(spark, sf_dir), fx.jobs(spark, sf_dir))
+    return fusion.no_corpus_check(fx.questions(spark, sf_dir), fx.pieces(spark, sf_dir), fx.jobs(spark, sf_dir))
 
 
 @_query(_with(fx.INDEX, fx.DENSE, fx.FUSED) + """SELECT q_id, fused_rank::INT AS rank, doc_id, chunk_index, coalesce(score, 0) AS score, coalesce(bm25, 0) AS bm25, true AS passed, confidence, level
@@ -385,7 +387,7 @@ def o46_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(fx.CHUNKS) + "SELECT doc_id, 'no chunks' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks WHERE doc_id % 5 <> 0)")
 def o47_assert_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.assert_chunked(fx.read(spark, sf_dir, "documents"), fx.chunks(spark, sf_dir).where("doc_id % 5 <> 0"))
+    return chunking.assert_chunked(fx.read(spark, sf_dir, "documents"), fx.pieces(spark, sf_dir).where("doc_id % 5 <> 0"))
 
 
 # layout
@@ -424,7 +426,7 @@ def o21_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(fx.CHUNKS) + """SELECT doc_id, chunk_index, lang AS section_title, '["' || workspace_id || '","' || lang || '"]' AS breadcrumbs FROM chunks""")
 def o22_encode_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fx.chunks(spark, sf_dir).withColumn("bbox", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    chunks = fx.pieces(spark, sf_dir).withColumn("bbox", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
     encoded = layout.encode_meta(chunks)
     again = layout.decode_meta(encoded).select("doc_id", "chunk_index", F.to_json("breadcrumbs").alias("breadcrumbs"))
     return encoded.select("doc_id", "chunk_index", "section_title").join(again, ["doc_id", "chunk_index"])
@@ -696,7 +698,7 @@ def o14_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(fx.CHUNKS) + "SELECT doc_id, chunk_index, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS text FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 def o07_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = fx.chunks(spark, sf_dir)
+    base = fx.pieces(spark, sf_dir)
     target = base.where("doc_id % 2 = 0").select("doc_id", "chunk_index", F.lit("old").alias("text"), F.lit(1).alias("version"))
     batch = base.where("doc_id % 3 = 0").select("doc_id", "chunk_index", F.explode(F.array(F.struct(F.lit("stale").alias("text"), F.lit(2).alias("version")), F.struct(F.lit("new").alias("text"), F.lit(3).alias("version")))).alias("x")).select("doc_id", "chunk_index", "x.text", "x.version")
     return store.upsert_chunks(target, batch).drop("version")
@@ -724,7 +726,7 @@ def o07_store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(fx.CHUNKS) + "SELECT doc_id, chunk_index FROM chunks WHERE doc_id % 10 <> 3")
 def o08_delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fx.chunks(spark, sf_dir)
+    chunks = fx.pieces(spark, sf_dir)
     return store.delete_document(chunks, chunks.where("doc_id % 10 = 3").select("doc_id").distinct()).select("doc_id", "chunk_index")
 
 
@@ -738,17 +740,17 @@ def o09_delete_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with(fx.CHUNKS) + "SELECT doc_id, chunk_index, md5(text) AS text FROM chunks WHERE doc_id = 7")
 def o10_chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.chunks_of_document(fx.chunks(spark, sf_dir), 7).select("doc_id", "chunk_index", F.md5("text").alias("text"))
+    return store.chunks_of_document(fx.pieces(spark, sf_dir), 7).select("doc_id", "chunk_index", F.md5("text").alias("text"))
 
 
 @_query(_with(fx.CHUNKS) + "SELECT id, n::INT AS n, doc_id, doc_id IS NOT NULL AS found FROM (VALUES (0, '3:0'), (1, '5:1'), (2, '8:0')) v(n, id) LEFT JOIN chunks ON doc_id || ':' || chunk_index = id")
 def o11_chunks_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.chunks_by_ids(fx.chunks(spark, sf_dir), [" 3:0", "5:1", "", "8:0 "]).select("id", "n", "doc_id", "found")
+    return store.chunks_by_ids(fx.pieces(spark, sf_dir), [" 3:0", "5:1", "", "8:0 "]).select("id", "n", "doc_id", "found")
 
 
 @_query(_with(fx.CHUNKS) + "SELECT doc_id, chunk_index, md5(text) AS text FROM chunks WHERE workspace_id = 'src2'")
 def o12_chunks_of_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.chunks_of_workspace(fx.chunks(spark, sf_dir), "src2").select("doc_id", "chunk_index", F.md5("text").alias("text"))
+    return store.chunks_of_workspace(fx.pieces(spark, sf_dir), "src2").select("doc_id", "chunk_index", F.md5("text").alias("text"))
 
 
 @_query(_with(fx.DOCUMENTS, fx.MESSAGES) + """SELECT id AS q_id, unnest([0, 1, 2])::INT AS seq, unnest(['meta', 'delta', 'done']) AS event, unnest([workspace_id, md5(content), NULL]) AS data FROM msgs WHERE role = 'assistant'
@@ -769,7 +771,7 @@ SELECT doc_id, left(CASE WHEN c <> '' THEN 'BAŞLIKLAR:' || chr(10) || '- ' || c
   || CASE WHEN n // 2 > 0 AND n // 2 < n - 1 THEN chr(10) || chr(10) || 'BELGE ORTASI:' || chr(10) || {_CLIP.format("l[n // 2 + 1]")} ELSE '' END
   || CASE WHEN n > 1 THEN chr(10) || chr(10) || 'BELGE SONU:' || chr(10) || {_CLIP.format("l[n]")} ELSE '' END, 2500) AS sample FROM s""")
 def o69_build_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.build_sample(fx.chunks(spark, sf_dir))
+    return enrich.build_sample(fx.pieces(spark, sf_dir))
 
 
 def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -848,7 +850,7 @@ m AS (SELECT t.workspace_id, target, coalesce(min(docs.id) FILTER (lower(filenam
 SELECT message_id, 0 AS n, 'citation' AS kind, target, 2 AS page, 1 AS part, document_id, document_id IN (SELECT doc_id FROM chunks) AND document_id IS NOT NULL AS supported FROM c LEFT JOIN m USING (workspace_id, target)
 UNION ALL SELECT message_id, 1, 'image', d || '/a.png', NULL, NULL, NULL, false FROM c""")
 def o84_extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.extract_citations(_cited(spark, sf_dir), fx.documents(spark, sf_dir), fx.chunks(spark, sf_dir))
+    return citations.extract_citations(_cited(spark, sf_dir), fx.documents(spark, sf_dir), fx.pieces(spark, sf_dir))
 
 
 @_query("SELECT doc_id, md5('[doc_' || doc_id || '.txt]') AS answer FROM documents")
@@ -866,4 +868,4 @@ def o87_inspect_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fx.read(spark, sf_dir, "documents").count()
     rows = fx.messages(spark, sf_dir).where("role = 'assistant'").selectExpr("id", f"cast(length(content) % {2 * max(1, n)} AS string) AS d")
     cited = rows.selectExpr("id", "named_struct('sources', cast(array() AS array<struct<label:string,meta:string>>), 'chunk_ids', array(concat(d, ':0'), concat(d, ':9')), 'chunk_scores', array(named_struct('id', concat(d, ':0'), 'dense', 0.5D, 'bm25', cast(NULL AS double)), named_struct('id', concat(d, ':9'), 'dense', cast(NULL AS double), 'bm25', 2.0D))) AS citations")
-    return citations.inspect_answer(cited, fx.chunks(spark, sf_dir)).withColumn("text", F.md5("text"))
+    return citations.inspect_answer(cited, fx.pieces(spark, sf_dir)).withColumn("text", F.md5("text"))
