@@ -117,7 +117,7 @@ def o58_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o59_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two workspaces changed (their texts now stand twice in each chunk); only their postings are derived anew."""
     chunks = fx.pieces(spark, sf_dir)
-    changed = chunks.select("workspace_id").where("workspace_id IN ('src1', 'src2')").distinct()
+    changed = fx.documents(spark, sf_dir).select("workspace_id").where("workspace_id IN ('src1', 'src2')").distinct()
     new = chunks.withColumn("text", F.when(F.col("workspace_id").isin("src1", "src2"), F.concat_ws("\n", "text", "text")).otherwise(F.col("text")))
     return lexical.refresh_index(lexical.postings(chunks), new, changed).select("workspace_id", "doc_id", "chunk_index", "term", "tf")
 

@@ -1,4 +1,4 @@
-"""Texts travel once: pieces are numbered where they are cut, vectors come to written keys."""
+"""Texts travel once: pieces are numbered where they are cut, vectors come to written keys, a refresh cuts only what it reads."""
 
 import random
 
@@ -8,7 +8,7 @@ from quern.config import DEFAULT
 from quern.functions.text import normalize_text
 from quern.operators import chunking
 from quern.plans import fixtures as fx
-from quern.queries import _index
+from quern.queries import QUERIES, _index
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,6 +31,10 @@ def test_postings_are_written_without_vectors(spark):
     assert rows(chunks.where("embedding is not null").select(*want.columns)) == rows(want) != []
 
 
+def test_a_refresh_cuts_for_the_old_and_the_new_postings_alone(spark):
+    assert executed(QUERIES["o59_refresh_index"](spark, DATA)).count("ArrowEvalPython") == 2
+
+
 def test_pieces_of_many_groups_are_numbered_in_order(spark):
     """Documents of up to 30 segments of all kinds, against the groups of each cut one by one."""
     rng = random.Random(3)
