@@ -139,7 +139,7 @@ def with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame
     own = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     vectors = read(spark, sf_dir, "embeddings").join(own, "vec_id", "left_anti").select(F.col("vec_id").alias("_vec"), "embedding")
     first = (F.col("doc_id") == F.col("_vec")) & (F.col("chunk_index") == 0)
-    return rows.join(vectors, first, "left").select("doc_id", "chunk_index", *(c for c in rows.columns if c not in ("doc_id", "chunk_index")), "embedding")
+    return rows.join(vectors, first, "left").select(*rows.columns, "embedding")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
