@@ -685,7 +685,7 @@ def s03_ingest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ChunkStore(spark, f"{path}/store", "workspace_id string, doc_id bigint, chunk_index int, text string, version bigint")
     index, log = PostingIndex(spark, f"{path}/index"), EventLog(spark, f"{path}/log", ingest.DOCUMENT_LOG)
     for part in range(4):  # what a run finds is one batch, of as many files as its rows need
-        files.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part).write.mode("append").parquet(f"{path}/in")
+        files.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part).write.mode("append").parquet(f"{path}/in", compression="zstd")
         ingest.ingest_chain(spark.readStream.schema(files.schema).parquet(f"{path}/in"), kept, index, log, f"{path}/checkpoint").awaitTermination()
     events = log.read().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("stage") == "failed").alias("n_failed"))
     return index.stats().join(events, "workspace_id").select("workspace_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"), "n_documents", "n_failed")

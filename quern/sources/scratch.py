@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once and reads it back: later uses neither recompute it nor depend on any executor. What the write has shuffled goes with its
     end, not when the driver happens to collect its garbage, so a query holds the shuffles of one step at a time."""
-    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    return _written(df, scratch(df.sparkSession, name))
+
+
+@contextmanager
+def borrowed(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """What `materialize` gives, deleted at the block's end."""
+    path = scratch(df.sparkSession, name)
+    try:
+        yield _written(df, path)
+    finally:
+        discard(df.sparkSession, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:

@@ -42,10 +42,10 @@ def route_by_type(files: DataFrame) -> DataFrame:
     return files.withColumn("handler", handler).withColumn("error", F.when(handler.isNull(), F.lit("allowed: " + ", ".join(sorted(HANDLERS)))))
 
 
-def read_text_segments(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """files: doc_id, content. One text segment each, or an error where nothing is left."""
-    rows = files.select("doc_id", decode_text(F.col("content")).alias("text"))
-    return rows.select("doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("order"), F.lit("text").alias("content_type"), "text", F.left("text", F.lit(config.page_context_chars)).alias("page_context"), F.when(F.col("text") == "", "empty document").alias("error"))
+def read_text_segments(files: DataFrame, config: Config = DEFAULT, *more: str) -> DataFrame:
+    """files: doc_id, content. One text segment each, or an error where nothing is left (O5). `more`: columns of files to keep beside them."""
+    rows = files.select("doc_id", *more, decode_text(F.col("content")).alias("text"))
+    return rows.select("doc_id", *more, F.lit(1).alias("page_number"), F.lit(0).alias("order"), F.lit("text").alias("content_type"), "text", F.left("text", F.lit(config.page_context_chars)).alias("page_context"), F.when(F.col("text") == "", "empty document").alias("error"))
 
 
 #: A parsed page: its blocks by number, each with its box and lines of spans.

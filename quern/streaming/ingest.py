@@ -18,7 +18,7 @@ from ..operators.lexical import refresh_index
 from ..plans.answer import answer_batch
 from ..sources.event_log import EventLog
 from ..sources.keyed_store import ChunkStore, PostingIndex
-from ..sources.scratch import materialize
+from ..sources.scratch import borrowed, materialize
 from ..sources.store import qa_events, read_text_segments
 
 #: Which status may follow which; the last three are final.
@@ -39,7 +39,7 @@ def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def _cut(texts: DataFrame, config: Config) -> DataFrame:
     """Chunks of texts as `read_text_segments` gives them; those with an error have none."""
-    bare = {"breadcrumbs": F.array().cast("array<string>"), "bbox": F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), "image_path": F.lit(""), "image_kind": F.lit("")}
+    bare = {"breadcrumbs": F.col("breadcrumbs") if "breadcrumbs" in texts.columns else F.array().cast("array<string>"), "bbox": F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), "image_path": F.lit(""), "image_kind": F.lit("")}
     return chunk_segments(texts.where("error is null").drop("error").withColumns(bare), config)
 
 
@@ -74,24 +74,31 @@ def ingest_chain(files: DataFrame, store: ChunkStore, index: PostingIndex, log:
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        newest = batch.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("modified", "content", "workspace_id")).alias("f")).select("doc_id", "f.workspace_id", "f.content")
-        newest = newest.persist()
-        places, texts = newest.select("doc_id", "workspace_id"), read_text_segments(newest, config)
-        rows = _cut(texts, config).join(places, "doc_id").select("workspace_id", "doc_id", "chunk_index", "text", F.lit(number).cast("bigint").alias("version"))
-        rows = materialize(rows, "cut")  # written, and asked for its keys
-        store.replace(rows, texts.where("error is null").select("doc_id"), checkpoint, number)
-        touched = places.select("workspace_id").distinct()
+        rows = batch.where("doc_id is not null").select("doc_id", "workspace_id", "content", "modified")
+        many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+        with borrowed(many, "many") as many:  # contents of documents that come once aren't moved to find the last of them
+            last = rows.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("modified", "content", "workspace_id")).alias("f")).select("doc_id", "f.workspace_id", "f.content")
+            newest = rows.join(many, "doc_id", "left_anti").select("doc_id", "workspace_id", "content").unionByName(last)
+            with borrowed(read_text_segments(newest, config, "workspace_id"), "texts") as texts:
+                sinks(texts, number)
+
+    def sinks(texts: DataFrame, number: int) -> None:
+        # the workspace goes along as a text's only breadcrumb, so chunks need no join with their documents
+        cut = _cut(texts.withColumn("breadcrumbs", F.array("workspace_id")), config)
+        rows = cut.select(F.element_at("breadcrumbs", 1).alias("workspace_id"), "doc_id", "chunk_index", F.col("embed_text").alias("text"), F.lit(number).cast("bigint").alias("version"))
+        with borrowed(rows, "cut") as rows:  # written, and asked for its keys
+            store.replace(rows, texts.where("error is null").select("doc_id"), checkpoint, number)
+        touched = texts.select("workspace_id").distinct()
         index.refresh(store.read(), touched, checkpoint, number)
         failed = F.col("error").isNotNull()
         log.append(
-            texts.join(places, "doc_id").select(
+            texts.select(
                 F.concat_ws(":", "doc_id", F.lit(number)).alias("id"), "workspace_id", F.col("doc_id").alias("document_id"), F.when(failed, "error").otherwise("info").alias("level"),
                 F.when(failed, "failed").otherwise("embedded").alias("stage"), F.col("error").alias("message"), F.current_timestamp().alias("created_at"),
             ), checkpoint, number,
         )
         if summarize:
             summarize(touched, number)
-        newest.unpersist()
 
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -202,9 +209,9 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, sink: str, checkpoint
 
     def postings() -> DataFrame:
         if index is not None:
-            return index.postings()
+            return index.packed()
         if not written:
-            written.append(materialize(lexical.postings(chunks), "postings"))
+            written.append(materialize(lexical.packed_postings(chunks), "postings"))
         return written[0]
 
     def run(batch: DataFrame, number: int) -> None:
