@@ -201,7 +201,8 @@ def order_page(page: list[dict], width: float, height: float) -> list[dict]:
 
 def order_blocks(items: DataFrame, pages: DataFrame) -> DataFrame:
     """items: doc_id, page, item_no, kind, bbox. Adds `order` within the page: text in reading order, tables and images put into it
-    (O31, O32). One page is one row, and pages go to Python by batches."""
+    (O31, O32). One page is one row, and pages go to Python by batches. Joins are merged by hint: boxes are so alike that a written table of
+    millions of them is a few MB, which the plan would take for one that the driver can hold and send to all."""
     kind = pa.list_(pa.struct([("item_no", pa.int32()), ("order", pa.int32())]))
 
     @F.arrow_udf("array<struct<item_no:int,order:int>>")
@@ -210,10 +211,10 @@ def order_blocks(items: DataFrame, pages: DataFrame) -> DataFrame:
         return pa.concat_arrays([pa.array([], kind), *(pa.array([order_page(*one) for one in zip(*part, strict=True)], kind) for part in parts)])
 
     box = F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
-    slim = items.join(pages.select(*PAGE, "width", "height"), PAGE).select(*PAGE, "width", "height", F.struct(F.col("item_no").cast("int").alias("item_no"), F.coalesce(F.col("kind").isin("table", "image"), F.lit(False)).alias("free"), box.alias("box")).alias("_item"))
+    slim = items.join(pages.select(*PAGE, "width", "height").hint("merge"), PAGE).select(*PAGE, "width", "height", F.struct(F.col("item_no").cast("int").alias("item_no"), F.coalesce(F.col("kind").isin("table", "image"), F.lit(False)).alias("free"), box.alias("box")).alias("_item"))
     whole = slim.groupBy(*PAGE).agg(F.sort_array(F.collect_list("_item")).alias("_page"), F.first("width").alias("_w"), F.first("height").alias("_h"))
     places = whole.select(*PAGE, order("_page", "_w", "_h").alias("_places")).select(*PAGE, F.inline_outer("_places"))
-    return items.join(places, [*PAGE, "item_no"])
+    return items.join(places.hint("merge"), [*PAGE, "item_no"])
 
 
 def heading_stacks(headings: Column, depth: int) -> Column:

@@ -80,3 +80,12 @@ def test_a_chain_leaves_no_tables_behind(spark):
     assert newest_documents(index) == {3}
     assert rows(store.read().select("doc_id", "text")) == [(1, "elma"), (2, "kiraz"), (3, "incir")]
     assert {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if "-" in f and f.split("-")[0] in ("cut", "touched", "postings", "texts", "many", "unlike")} <= before
+
+
+def test_boxes_are_not_sent_to_all(spark):
+    """A written table of boxes is small as a file, whatever the number of its rows."""
+    from quern.queries import QUERIES
+
+    ordered = QUERIES["o31_order_blocks"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in ordered._jdf.queryExecution().executedPlan().toString() and ordered.count() > 0
+    assert "Broadcast" not in ordered._jdf.queryExecution().executedPlan().toString()
