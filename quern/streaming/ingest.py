@@ -65,7 +65,7 @@ def keep_events(rows: DataFrame, log: EventLog, checkpoint: str) -> StreamingQue
 
 def ingest_chain(files: DataFrame, store: ChunkStore, index: PostingIndex, log: EventLog, checkpoint: str, summarize: Callable[[DataFrame, int], None] | None = None, config: Config = DEFAULT) -> StreamingQuery:
     """files: workspace_id, doc_id, content, modified (a stream; a document stays in its workspace). From files to an index that can be asked:
-    chunks into the store, postings of the batch's workspaces anew, an event for each document (embedded, or failed with its error), then
+    chunks into the store, postings of the batch's workspaces in line with the store, an event for each document (embedded, or failed with its error), then
     `summarize` with those workspaces. Of several rows of a document in a batch the last modified counts (ties: the greatest content).
 
     Each sink commits the batch under the checkpoint's name in its own versions. A run that ends between two sinks is taken up by the
